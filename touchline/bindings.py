@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shifted(date: str, years: int) -> str:
-    return f"date_format(add_months({date}, {12 * years}), 'yyyy-MM-dd')"
+    return f"CAST(add_months({date}, {12 * years}) AS STRING)"
 
 
 def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +80,7 @@ def metric_expr(position: int, metric: str) -> str:
         "crossing": "CAST(round(l_discount * 100) AS INT)",
         "marking": "CAST(round(l_tax * 100) AS INT)",
     }
-    mixed = (
-        f"CAST((l_suppkey * {position + 3} + l_linenumber * 7"
-        f" + CAST(l_quantity AS INT) * {position}) % 100 AS INT)"
-    )
-    return direct.get(metric, mixed)
+    return direct.get(metric, f"CAST((l_suppkey + l_linenumber * {position}) % 100 AS INT)")
 
 
 METRIC_EXPRS = [f"{metric_expr(i, m)} AS {m}" for i, m in enumerate(METRICS)]
@@ -196,8 +192,9 @@ def _label_of_line() -> str:
 
 
 def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return N.season_dimension(lines.selectExpr(f"{_label_of_line()} AS season"))
+    """Labels are made once per day, not once per line."""
+    days = table(spark, sf_dir, "lineitem").select("l_shipdate").distinct()
+    return N.season_dimension(days.selectExpr(f"{_label_of_line()} AS season"))
 
 
 def attributes(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 # A label is made from two digits of a year, so a label dimension has at most this many rows.
 MAX_LABELS = 100
+_LABELS = ", ".join(f"'20{year:02d}/20{year + 1:02d}'" for year in range(MAX_LABELS))
 
 
 def season_label(date: str) -> str:
@@ -12,8 +13,7 @@ def season_label(date: str) -> str:
     Takes characters 3-4 of the date text; year 99 gives ``2099/20100``. NULL stays NULL.
     """
     year = f"CAST(substring(CAST({date} AS STRING), 3, 2) AS INT)"
-    label = f"format_string('20%02d/20%02d', {year}, {year} + 1)"
-    return f"CASE WHEN {date} IS NOT NULL THEN {label} END"
+    return f"element_at(array({_LABELS}), {year} + 1)"
 
 
 def label_year(label: str) -> str:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+# A power of two.
 SALTS = 16
 
 
@@ -25,8 +26,10 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join: dim rows are repeated")
+    if salts & (salts - 1):
+        raise ValueError("salts must be a power of two")
     spread = ", ".join(spread_by or [c for c in fact.columns if c not in on])
-    salted = fact.selectExpr("*", f"CAST(pmod(xxhash64({spread}), {salts}) AS INT) AS _salt")
+    salted = fact.selectExpr("*", f"CAST(xxhash64({spread}) & {salts - 1} AS INT) AS _salt")
     repeated = dim.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 

@@ -14,13 +14,13 @@ _ROW_BITS = 33
 
 
 def contiguous_ids(df: DataFrame, order: Sequence[str], id_col: str) -> DataFrame:
-    """Number the rows 1..N in the order of ``order``, which must identify a row.
+    """Number the rows 1..N in the order of ``order``: SQL expressions that identify a row.
 
     A range shuffle sorts the rows in parallel and each task counts its own. The numbered
     rows are staged, so both uses below see the same placement. The per-task counts that turn
     local into global numbers are one row per shuffle partition, hence the broadcast.
     """
-    ordering = [F.col(c).asc_nulls_last() for c in order]
+    ordering = [F.expr(e).asc_nulls_last() for e in order]
     placed = stage(
         df.repartitionByRange(*ordering)
         .sortWithinPartitions(*ordering)
@@ -37,5 +37,10 @@ def contiguous_ids(df: DataFrame, order: Sequence[str], id_col: str) -> DataFram
 
 
 def label_ids(labels: DataFrame, label: str, id_col: str) -> DataFrame:
-    """Number a short dimension by its label. Only for label sets with a small proven bound."""
-    return labels.selectExpr(f"row_number() OVER (ORDER BY {label}) AS {id_col}", label)
+    """Number a short dimension by its label. Only for label sets with a small proven bound.
+
+    NULL comes last and is dropped after the numbering: a filter before it would be pushed down
+    to every source row.
+    """
+    number = f"row_number() OVER (ORDER BY {label} ASC NULLS LAST) AS {id_col}"
+    return labels.selectExpr(number, label).where(f"{label} IS NOT NULL")

@@ -63,22 +63,27 @@ def wide_lineups(matches: DataFrame, slots: int = SLOTS) -> DataFrame:
     ).distinct()
 
 
-def lineup_slots(matches: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Filled slots as rows: ``match_id, season, side, slot, team_id, player_id``.
-
-    Reads the feed row once instead of joining lineups, fixtures and matches back together.
-    """
-
-    entries = ", ".join(
+def _slot_rows(matches: DataFrame, slots: int, empty_row: bool) -> DataFrame:
+    entries = [
         f"'{side}', {slot}, {side}_team_api_id, {side}_player_{slot}"
         for side in ("home", "away")
         for slot in range(1, slots + 1)
-    )
+    ]
+    if empty_row:
+        entries.append("NULL, NULL, NULL, NULL")
     return matches.selectExpr(
         "match_api_id AS match_id",
         "season",
-        f"stack({2 * slots}, {entries}) AS (side, slot, team_id, player_id)",
-    ).where("player_id IS NOT NULL")
+        f"stack({len(entries)}, {', '.join(entries)}) AS (side, slot, team_id, player_id)",
+    ).where("player_id IS NOT NULL OR side IS NULL")
+
+
+def lineup_slots(matches: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Filled slots as rows: ``match_id, season, side, slot, team_id, player_id``.
+
+    Reads the feed row once instead of joining lineups, fixtures and matches back together.
+    """
+    return _slot_rows(matches, slots, empty_row=False)
 
 
 def squad_membership(matches: DataFrame, teams: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -92,12 +97,10 @@ def squad_membership(matches: DataFrame, teams: DataFrame, slots: int = SLOTS) -
 
 def squad_ids(membership: DataFrame) -> DataFrame:
     """``member_id`` per membership, in (team, player, season) order; none without a season."""
-    known = membership.where("season IS NOT NULL")
-    numbered = contiguous_ids(known, ["team_id", "player_id", "season"], "member_id")
-    unnumbered = membership.where("season IS NULL").selectExpr(
-        "CAST(NULL AS BIGINT) AS member_id", "team_id", "player_id", "season"
+    order = ["season IS NULL", "team_id", "player_id", "season"]
+    return contiguous_ids(membership, order, "member_id").selectExpr(
+        "if(season IS NULL, NULL, member_id) AS member_id", "team_id", "player_id", "season"
     )
-    return numbered.unionByName(unnumbered)
 
 
 def lineup_members(
@@ -123,12 +126,14 @@ def lineup_members(
     for side in ("home", "away"):
         ids = teams.selectExpr(f"team_id AS {side}_team_api_id").distinct()
         known = salted_join(known, ids, [f"{side}_team_api_id"], spread_by=["match_api_id"])
-    filled = lineup_slots(known, slots).join(members.select(*keys, "member_id"), keys)
-    # One empty row per match keeps lineups in which no slot is filled.
-    rows = filled.select("match_id", "side", "slot", "member_id").unionByName(
-        known.selectExpr("match_api_id AS match_id"), allowMissingColumns=True
+    # The empty row of a match has no key; _spread keeps these rows from meeting in one task.
+    rows = _slot_rows(known, slots, empty_row=True).selectExpr(
+        "*", "if(side IS NULL, CAST(xxhash64(match_id) & 1023 AS INT) + 1, 0) AS _spread"
+    )
+    found = rows.join(
+        members.selectExpr(*keys, "member_id", "0 AS _spread"), [*keys, "_spread"], "left"
     )
-    return rows.groupBy("match_id").agg(
+    return found.groupBy("match_id").agg(
         *[
             F.expr(
                 f"max(member_id) FILTER (WHERE side = '{side}' AND slot = {slot})"
@@ -159,9 +164,9 @@ def dated_attributes(raw: DataFrame, players: DataFrame) -> DataFrame:
     rows = raw.distinct().withColumnRenamed("player_api_id", "player_id")
     known = keep_known(rows, players, "player_id", "player_id")
     rest = [c for c in known.columns if c not in ("player_id", "date")]
-    numbered = contiguous_ids(known, ["player_id", "date", *rest], "attribute_id")
-    labelled = numbered.selectExpr("*", f"{season_label('date')} AS season")
-    return labelled.drop("date", "player_fifa_api_id")
+    labelled = known.selectExpr("player_id", f"{season_label('date')} AS season", "date", *rest)
+    numbered = contiguous_ids(labelled, ["player_id", "date", *rest], "attribute_id")
+    return numbered.drop("date", "player_fifa_api_id")
 
 
 def season_dimension(attributes: DataFrame) -> DataFrame:
@@ -169,8 +174,7 @@ def season_dimension(attributes: DataFrame) -> DataFrame:
 
     Labels hold two digits of a year, so there are at most a hundred.
     """
-    labels = attributes.select("season").where("season IS NOT NULL").distinct()
-    return label_ids(labels, "season", "season_id")
+    return label_ids(attributes.select("season").distinct(), "season", "season_id")
 
 
 def with_season_id(df: DataFrame, seasons: DataFrame) -> DataFrame:
@@ -228,7 +232,7 @@ def normalize(
     matches = league_matches(feed["matches"], selected)
     fixture_rows = fixtures(matches)
     teams = home_teams(feed["teams"], fixture_rows)
-    squad = stage(squad_ids(squad_membership(matches, teams, slots)), "squad")
+    squad = squad_ids(squad_membership(matches, teams, slots))
     players = squad_players(feed["players"], squad)
     attributes = dated_attributes(feed["player_attributes"], players)
     seasons = stage(season_dimension(attributes), "seasons")

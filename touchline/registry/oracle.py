@@ -412,17 +412,19 @@ _SQL = {
     "pivot_away": _pivot("sides_chart", "away_goals", "MAX"),
     "pivot_home_away_diff": _pivot("sides_chart", "home_minus_away", "MAX"),
     "rating_vs_goals": """
-        SELECT team_id, long_name, CAST(ratings AS DOUBLE) AS total_rating,
-               CAST(goals AS DOUBLE) AS total_goals, CAST(goals AS DOUBLE) / 100 AS bubble_size
-        FROM (
-            SELECT t.team_id, t.long_name, SUM(a.overall_rating) AS ratings,
-                   SUM(CASE WHEN p.home_team_id = t.team_id THEN p.home_goals
-                            WHEN p.away_team_id = t.team_id THEN p.away_goals ELSE 0 END) AS goals
-            FROM teams t JOIN squad s ON t.team_id = s.team_id
-            JOIN attributes a ON a.player_id = s.player_id
-            JOIN period p ON t.team_id = p.home_team_id OR t.team_id = p.away_team_id
-            WHERE a.season_id BETWEEN 2 AND 5
-            GROUP BY t.team_id, t.long_name)""",
+        , members AS MATERIALIZED (SELECT team_id, player_id FROM squad),
+        ratings AS MATERIALIZED (
+            SELECT player_id, overall_rating FROM attributes WHERE season_id BETWEEN 2 AND 5),
+        played AS MATERIALIZED (
+            SELECT t.team_id, t.long_name,
+                   CASE WHEN p.home_team_id = t.team_id THEN p.home_goals
+                        WHEN p.away_team_id = t.team_id THEN p.away_goals ELSE 0 END AS goals
+            FROM teams t JOIN period p ON t.team_id = p.home_team_id OR t.team_id = p.away_team_id)
+        SELECT team_id, long_name, CAST(SUM(overall_rating) AS DOUBLE) AS total_rating,
+               CAST(SUM(goals) AS DOUBLE) AS total_goals,
+               CAST(SUM(goals) AS DOUBLE) / 100 AS bubble_size
+        FROM played JOIN members USING (team_id) JOIN ratings USING (player_id)
+        GROUP BY team_id, long_name""",
     "rating_vs_goals_unmultiplied": """
         SELECT team_id, long_name, CAST(ratings AS BIGINT) AS total_rating,
                CAST(goals_for AS BIGINT) AS total_goals
