@@ -27,6 +27,7 @@ _KINDS = {
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
+    con.execute("SET temp_directory = ''")  # the long forms must fit in memory
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
@@ -48,9 +49,8 @@ def _rows(names: list[str], rows) -> list[tuple]:
     )
 
 
-def compare(spark, con, sf_dir: str, name: str) -> str:
-    """Empty when both sides agree, else what differs."""
-    df = queries()[name](spark, sf_dir)
+def compare(df, con, name: str) -> str:
+    """Empty when the query's result and its SQL agree, else what differs."""
     found = _rows(df.columns, df.collect())
     result = con.execute(oracle_sql()[name])
     columns = {c[0]: str(c[1]) for c in result.description}
@@ -74,7 +74,7 @@ if __name__ == "__main__":
     bad = 0
     for name in sys.argv[2:] or queries():
         began = time.time()
-        problem = compare(spark, con, sf_dir, name)
+        problem = compare(queries()[name](spark, sf_dir), con, name)
         bad += bool(problem)
         print(f"{name:32s} {time.time() - began:6.1f}s {problem or 'ok'}"[:1500], flush=True)
     sys.exit(bad > 0)

@@ -13,7 +13,7 @@ def season_label(date: str) -> str:
     Takes characters 3-4 of the date text; year 99 gives ``2099/20100``. NULL stays NULL.
     """
     year = f"CAST(substring(CAST({date} AS STRING), 3, 2) AS INT)"
-    return f"element_at(array({_LABELS}), {year} + 1)"
+    return f"get(array({_LABELS}), {year})"
 
 
 def label_year(label: str) -> str:

@@ -182,8 +182,9 @@ def with_season_id(df: DataFrame, seasons: DataFrame) -> DataFrame:
 
     The label stays, so rows of unknown seasons can still be matched with each other.
     """
+    place = df.columns.index("season") + 1
     return df.join(F.broadcast(seasons.select("season", "season_id")), "season", "left").select(
-        *df.columns, "season_id"
+        *df.columns[:place], "season_id", *df.columns[place:]
     )
 
 

@@ -10,8 +10,14 @@ from pyspark.sql import types as T
 
 from touchline.schemas import MULTILINE_TABLES, NORMALIZED, RAW
 
-# Quotes inside a quoted cell are doubled, on both ways.
-_CSV = {"header": "true", "quote": '"', "escape": '"'}
+# Quotes inside a quoted cell are doubled and outer blanks kept, on both ways.
+_CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 # Bounds the size of a file, and with it the work of a task that has to read it unsplit.
 ROWS_PER_FILE = 1_000_000
@@ -35,15 +41,14 @@ def read_csv(
     """CSV with a header line and a given schema; a row that does not fit fails the read.
 
     ``multiline`` is for text cells with line breaks. Such files cannot be split, so ask for it
-    only where needed and keep those files small (:func:`write_csv` does). Cells keep their
-    outer blanks, and ``""`` is an empty text while a bare gap is NULL.
+    only where needed and keep those files small (:func:`write_csv` does). An empty cell is NULL,
+    quoted or not.
     """
     return (
         spark.read.schema(schema)
         .options(**_CSV)
         .option("mode", "FAILFAST")
         .option("enforceSchema", "false")
-        .option("emptyValue", "")
         .option("multiLine", str(multiline).lower())
         .csv(path)
     )
@@ -53,7 +58,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (
         df.write.mode(mode)
         .options(**_CSV)
-        .option("emptyValue", '""')
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .csv(path)
     )
