@@ -26,7 +26,9 @@ def countries(raw: DataFrame, name: str | None = None) -> DataFrame:
 def leagues(raw: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     """League name with its country's id, which takes the place of the league's own."""
     named = raw.selectExpr("name", "country_id AS id")
-    return named if selected is None else named.join(selected.select("id"), "id", "left_semi")
+    if selected is None:
+        return named
+    return salted_join(named, selected.select("id"), ["id"], "left_semi").select("name", "id")
 
 
 def league_matches(raw: DataFrame, selected: DataFrame | None = None) -> DataFrame:
@@ -35,7 +37,9 @@ def league_matches(raw: DataFrame, selected: DataFrame | None = None) -> DataFra
     if selected is None:
         return kept
     ids = selected.selectExpr("id AS league_id")
-    return kept.join(ids, "league_id", "left_semi").select(*kept.columns)
+    return salted_join(
+        kept, ids, ["league_id"], "left_semi", spread_by=["match_api_id"]
+    ).select(*kept.columns)
 
 
 def fixtures(matches: DataFrame) -> DataFrame:

@@ -55,6 +55,16 @@ def stage_path(spark: SparkSession, label: str) -> str:
     )
 
 
+def clear_stage(spark: SparkSession) -> None:
+    """Delete what this application staged; call it when its results have been written."""
+    application = spark.sparkContext.applicationId
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(
+        os.path.join(shared_folder(spark), "touchline-stage", application)
+    )
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 
