@@ -9,6 +9,8 @@ import pytest
 
 from __spark_entry__ import queries
 from oracle_check import TABLES, compare, connect
+from touchline.operators.joins import keep_known
+from touchline.plans import normalize as N
 
 HOT = {
     "lineitem": "l_partkey = 7, l_suppkey = 3",
@@ -83,7 +85,28 @@ def test_result_under_skew(shuffling, skewed, name):
     assert compare(queries()[name](shuffling, skewed), connect(skewed), name) == ""
 
 
-def test_a_hot_scorer_is_split(shuffling, skewed, plan_of):
-    df = queries()["goals_resolved"](shuffling, skewed)
-    df.collect()
-    assert "SortMergeJoin(skew=true)" in plan_of(df)
+def test_a_hot_scorer_is_split(shuffling, plan_of):
+    """One squad member scores a third of the goals; the rest are spread thin."""
+    events = shuffling.range(30000).selectExpr(
+        "id AS goal_id", "1 AS minute", "id AS match_id", "'2008/2009' AS season",
+        "if(id % 3 = 0, 7, id % 1000) AS player_id", "1L AS team_id",
+    )
+    squad = shuffling.range(1000).selectExpr(
+        "id AS member_id", "1L AS team_id", "id AS player_id", "'2008/2009' AS season"
+    )
+    goals = N.resolve_goals(events, squad)
+    assert goals.count() == 30000
+    goals.collect()
+    assert "SortMergeJoin(skew=true)" in plan_of(goals)
+
+
+def test_a_hot_player_is_split_on_the_way_to_numbering(shuffling, plan_of):
+    """A third of the measurements belong to one player, and DISTINCT comes first."""
+    measured = shuffling.range(30000).selectExpr(
+        "if(id % 3 = 0, 7, id % 1000) AS player_id", "id AS reading"
+    )
+    squad = shuffling.range(2000).selectExpr("id % 1000 AS player_id")
+    known = keep_known(measured.distinct(), squad, "player_id", "player_id")
+    ordered = known.repartitionByRange("player_id", "reading")
+    assert len(ordered.collect()) == 30000
+    assert "SortMergeJoin(skew=true)" in plan_of(ordered)

@@ -113,8 +113,11 @@ def _goal_document() -> str:
     return f"concat('<goal>', nullif({body}, ''), '</goal>')"
 
 
-def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wide row per order that has lines. Every aggregate has a fixed size."""
+def _plain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wide row per order that has lines. Every aggregate has a fixed size.
+
+    The lines are folded per order first, so the joins move one row per order.
+    """
     goals = [
         f"CAST(count_if(l_returnflag = '{flag}') AS INT) AS {side}_team_goal"
         for side, flag in SIDES.items()
@@ -131,13 +134,11 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(*[F.expr(e) for e in ["min(l_suppkey) AS s_suppkey", *goals, *slots]])
         .withColumnRenamed("l_orderkey", "o_orderkey")
     )
-    nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS c_nationkey", "n_regionkey")
     joined = (
         per_order.join(table(spark, sf_dir, "orders"), "o_orderkey")
         .withColumnRenamed("o_custkey", "c_custkey")
         .join(table(spark, sf_dir, "customer"), "c_custkey")
         .join(table(spark, sf_dir, "supplier"), "s_suppkey")
-        .join(nation, "c_nationkey")
     )
     moment = _shifted("o_orderdate", MATCH_SHIFT)
     filled = [f"{side}_player_{i}" for side in SIDES for i in range(1, LINE_SLOTS + 1)]
@@ -149,8 +150,6 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     unused = [c for c in UNUSED_MATCH_COLUMNS if c not in ("country_id", "stage")]
     return joined.selectExpr(
         "o_orderkey AS match_api_id",
-        "CAST(n_regionkey AS BIGINT) AS league_id",
-        "CAST(n_regionkey AS BIGINT) AS country_id",
         f"{season_label(moment)} AS season",
         "month(o_orderdate) AS stage",
         f"{moment} AS date",
@@ -161,7 +160,27 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         *filled,
         *empty,
         *[f"o_orderpriority AS `{c}`" for c in unused],
-    ).selectExpr("*", f"{_goal_document()} AS goal")
+    )
+
+
+def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feed row, with the league of the home nation's region and the goal document."""
+    league = table(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey AS BIGINT) AS home_team_api_id",
+        "CAST(n_regionkey AS BIGINT) AS league_id",
+        "CAST(n_regionkey AS BIGINT) AS country_id",
+    )
+    plain = _plain_matches(spark, sf_dir)
+    return plain.join(league, "home_team_api_id").selectExpr(
+        *plain.columns, "league_id", "country_id", f"{_goal_document()} AS goal"
+    )
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match, season and goal document only."""
+    return _plain_matches(spark, sf_dir).selectExpr(
+        "match_api_id", "season", "stage", f"{_goal_document()} AS goal"
+    )
 
 
 def feed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -210,7 +229,7 @@ def attributes(
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized matches that still carry their team ids."""
-    raw = raw_matches(spark, sf_dir).selectExpr(
+    raw = _plain_matches(spark, sf_dir).selectExpr(
         "match_api_id AS match_id",
         "season",
         "home_team_api_id AS home_team_id",
@@ -222,7 +241,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.squad_membership(raw_matches(spark, sf_dir), all_teams(spark, sf_dir))
+    return N.squad_membership(_plain_matches(spark, sf_dir), all_teams(spark, sf_dir))
 
 
 def memberships_with_season(spark: SparkSession, sf_dir: str) -> DataFrame:

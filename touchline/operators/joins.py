@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-# A power of two.
+# Powers of two. The first suits a dimension far shorter than the facts. The second is for a
+# side that was just aggregated on the join key: it gives that side a shuffle of its own, which
+# adaptive execution needs before it can split a hot key as far as necessary.
 SALTS = 16
+FEW_SALTS = 2
 
 
 def salted_join(
@@ -29,6 +32,8 @@ def salted_join(
     if salts & (salts - 1):
         raise ValueError("salts must be a power of two")
     spread = ", ".join(spread_by or [c for c in fact.columns if c not in on])
+    if not spread:
+        return fact.join(dim, list(on), how)
     salted = fact.selectExpr("*", f"CAST(xxhash64({spread}) & {salts - 1} AS INT) AS _salt")
     repeated = dim.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
@@ -37,8 +42,8 @@ def salted_join(
 def keep_known(df: DataFrame, keys: DataFrame, on: str, key: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` occurs in ``keys[key]`` (EXISTS).
 
-    Key values are made unique before they travel, so copies on that side cost nothing. The
-    inner join against unique keys keeps a later skew split possible, also after DISTINCT.
+    Key values are made unique before they travel, so copies on that side cost nothing. An inner
+    join, because a semi join would be moved below a DISTINCT of ``df`` and meet its copies.
     """
     unique = keys.selectExpr(f"{key} AS {on}").distinct()
-    return df.join(unique, on, "inner").select(*df.columns)
+    return salted_join(df, unique, [on], salts=FEW_SALTS).select(*df.columns)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.joins import FEW_SALTS, salted_join
+
 
 def update_from(
     target: DataFrame,
@@ -30,7 +32,7 @@ def update_from(
         new = "_low"
     else:
         raise ValueError(f"unknown rule for ambiguous keys: {ambiguous}")
-    joined = target.join(folded, list(keys), "left").selectExpr(
+    joined = salted_join(target, folded, keys, "left", salts=FEW_SALTS).selectExpr(
         *target.columns, f"CASE WHEN _low IS NOT NULL THEN {new} END AS _new"
     )
     return joined.selectExpr(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.seasons import season_label
-from touchline.operators.joins import keep_known, salted_join
+from touchline.operators.joins import FEW_SALTS, keep_known, salted_join
 from touchline.operators.keys import contiguous_ids, label_ids
 from touchline.operators.xml_events import xml_events
 from touchline.schemas import SLOTS, UNUSED_MATCH_COLUMNS, slot_columns
@@ -74,7 +74,8 @@ def _slot_rows(matches: DataFrame, slots: int, empty_row: bool) -> DataFrame:
         for slot in range(1, slots + 1)
     ]
     if empty_row:
-        entries.append("NULL, NULL, NULL, NULL")
+        # Without a player it joins nothing; the match id in the team's place spreads these rows.
+        entries.append("NULL, NULL, match_api_id, NULL")
     return matches.selectExpr(
         "match_api_id AS match_id",
         "season",
@@ -130,12 +131,14 @@ def lineup_members(
     for side in ("home", "away"):
         ids = teams.selectExpr(f"team_id AS {side}_team_api_id").distinct()
         known = salted_join(known, ids, [f"{side}_team_api_id"], spread_by=["match_api_id"])
-    # The empty row of a match has no key; _spread keeps these rows from meeting in one task.
-    rows = _slot_rows(known, slots, empty_row=True).selectExpr(
-        "*", "if(side IS NULL, CAST(xxhash64(match_id) & 1023 AS INT) + 1, 0) AS _spread"
-    )
-    found = rows.join(
-        members.selectExpr(*keys, "member_id", "0 AS _spread"), [*keys, "_spread"], "left"
+    rows = _slot_rows(known, slots, empty_row=True)
+    found = salted_join(
+        rows,
+        members.select(*keys, "member_id"),
+        keys,
+        "left",
+        spread_by=["match_id"],
+        salts=FEW_SALTS,
     )
     return found.groupBy("match_id").agg(
         *[

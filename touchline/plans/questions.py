@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.seasons import label_year
+from touchline.operators.joins import FEW_SALTS, salted_join
 from touchline.operators.ranking import top_k
 from touchline.operators.sides import match_sides, outcome_rows, team_matches
 
@@ -148,7 +149,7 @@ def top_scorer(
     """
     folded = goals.groupBy("match_id", "member_id").agg(F.expr("count(goal_id) AS goals"))
     per_member = (
-        folded.join(matches.select("match_id"), "match_id")
+        salted_join(folded, matches.select("match_id"), ["match_id"], salts=FEW_SALTS)
         .groupBy("member_id")
         .agg(F.expr("sum(goals) AS goals"))
     )

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.joins import FEW_SALTS, salted_join
 from touchline.operators.sides import team_matches
 from touchline.plans.questions import FIRST_SEASON, LAST_SEASON
 from touchline.plans.rosters import rated
@@ -84,8 +85,12 @@ def squad_metric_totals_keyed(
     """Per team name and season: metric totals of the players in that squad."""
     per_player = rated(attributes).groupBy("player_id", "season_id").agg(*_sums(metrics))
     per_team = (
-        roster_rows.select("player_id", "season_id", "team_id")
-        .join(per_player, ["player_id", "season_id"])
+        salted_join(
+            roster_rows.select("player_id", "season_id", "team_id"),
+            per_player,
+            ["player_id", "season_id"],
+            salts=FEW_SALTS,
+        )
         .groupBy("team_id", "season_id")
         .agg(*_sums(metrics))
     )
@@ -135,7 +140,7 @@ def _ratings_per_team(
     )
     rows = squad_members.groupBy("team_id", "player_id").agg(F.expr("count(*) AS _rows"))
     return (
-        rows.join(per_player, "player_id")
+        salted_join(rows, per_player, ["player_id"], salts=FEW_SALTS)
         .groupBy("team_id")
         .agg(
             F.expr(f"sum({_product('_rows', '_times')}) AS _pairs"),
@@ -180,10 +185,9 @@ def rating_vs_goals_plain(
 ) -> DataFrame:
     """Rating sum of each team's players and goals of the team, nothing multiplied."""
     per_player = rated(attributes).groupBy("player_id").agg(F.expr(f"sum({rating}) AS _sum"))
+    pairs = squad_members.select("team_id", "player_id").distinct()
     ratings = (
-        squad_members.select("team_id", "player_id")
-        .distinct()
-        .join(per_player, "player_id")
+        salted_join(pairs, per_player, ["player_id"], salts=FEW_SALTS)
         .groupBy("team_id")
         .agg(F.expr("sum(_sum) AS total_rating"))
     )

@@ -49,7 +49,7 @@ def _period(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Goal documents with quotes and line breaks, through CSV and back."""
-    documents = B.raw_matches(spark, sf_dir).select("match_api_id", "season", "goal")
+    documents = B.documents(spark, sf_dir).select("match_api_id", "season", "goal")
     path = stage_path(spark, "roundtrip")
     write_csv(documents, path)
     return read_csv(spark, path, documents.schema, multiline=True)
@@ -148,21 +148,21 @@ def update_from_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def goal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.goal_events(B.raw_matches(spark, sf_dir))
+    return N.goal_events(B.documents(spark, sf_dir))
 
 
 @query
 def goal_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """February's documents lose their end and must be reported, the others pass."""
     cut = "if(stage = 2, substring(goal, 1, length(goal) - 7), goal) AS goal"
-    documents = B.raw_matches(spark, sf_dir).selectExpr("match_api_id AS match_id", cut)
+    documents = B.documents(spark, sf_dir).selectExpr("match_api_id AS match_id", cut)
     return xml_rejects(documents, "goal", ["match_id"]).select("match_id", "reason")
 
 
 @query
 def goals_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     squad = B.squad(spark, sf_dir)
-    return N.resolve_goals(N.goal_events(B.raw_matches(spark, sf_dir)), squad)
+    return N.resolve_goals(N.goal_events(B.documents(spark, sf_dir)), squad)
 
 
 # Questions
@@ -229,7 +229,7 @@ def squad_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def top_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     squad = B.squad(spark, sf_dir)
-    goals = N.resolve_goals(N.goal_events(B.raw_matches(spark, sf_dir)), squad)
+    goals = N.resolve_goals(N.goal_events(B.documents(spark, sf_dir)), squad)
     return Q.top_scorer(
         goals, N.squad_members(squad), _period(spark, sf_dir), B.all_players(spark, sf_dir)
     )
