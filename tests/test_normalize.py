@@ -4,7 +4,9 @@ import pytest
 
 from feeds import GOALS, feed
 from touchline.plans import normalize as N
+from touchline.plans.report import answers
 from touchline.schemas import METRICS, NORMALIZED, UNUSED_MATCH_COLUMNS
+from touchline.sources.headings import RESULTS, published_result, published_tables
 from touchline.sources.tables import (
     describe_tables,
     read_csv,
@@ -170,12 +172,58 @@ def test_csv_keeps_blanks_quotes_and_line_breaks(spark, rows, tmp_path):
     assert rows(again) == rows(df.replace("", None, subset=["text"]))
 
 
-def test_csv_with_other_columns_is_refused(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("id,other\n1,x\n")
+def test_csv_columns_are_found_by_name(spark, rows, tmp_path):
+    text = "extra,name,id\nx,Spain,10.0\ny,,\n"
+    (tmp_path / "t.csv").write_text(text)
+    found = read_csv(spark, str(tmp_path / "t.csv"), NORMALIZED["countries"])
+    assert found.dtypes == [("id", "bigint"), ("name", "string"), ("extra", "string")]
+    assert rows(found) == [(10, "Spain", "x"), (None, None, "y")]
+
+
+@pytest.mark.parametrize("text", ["id,other\n1,x\n", "id,name\n1.5,x\n", "id,name\n1,x,3\n"])
+def test_csv_that_does_not_fit_is_refused(spark, tmp_path, text):
+    (tmp_path / "t.csv").write_text(text)
     with pytest.raises(Exception):
         read_csv(spark, str(tmp_path / "t.csv"), NORMALIZED["countries"]).collect()
 
 
+def test_extra_feed_columns_pass_through(spark, rows):
+    raw = feed(spark)
+    raw["matches"] = raw["matches"].selectExpr("*", "'1.73' AS `B365 H`", "match_api_id AS `order`")
+    raw["player_attributes"] = raw["player_attributes"].selectExpr("*", "'high' AS `work rate`")
+    tables = N.normalize(raw, country="Spain")
+    assert rows(tables["matches"], "`B365 H`")[0] == ("1.73",)
+    assert rows(tables["player_attributes"], "`work rate`") == [("high",)] * 5
+
+
+def test_published_names(spark, spain, rows):
+    register_views(published_tables(spain, "_spain"))
+    wins = spark.sql(
+        """
+        SELECT count(*) AS n FROM partidos_spain p
+        JOIN juega_spain j ON j.match_api_id = p.match_api_id
+        JOIN equipos_spain e ON e.team_api_id = j.home_team_api_id
+        WHERE p.home_team_goal > p.away_team_goal AND p.id_temporada BETWEEN 2 AND 5
+        """
+    )
+    assert wins.first()[0] == 1
+    assert spark.table("participan_spain").columns[1:3] == ["home_J_plantel_1", "away_J_plantel_1"]
+
+
+def test_all_answers_over_normalized_tables(spark, spain, rows):
+    found = answers(spain)
+    assert rows(found["most_wins"]) == [(1, "Team 1")]
+    assert rows(found["most_goals_for"]) == [("Team 1", 3)]
+    assert rows(found["top_scorer"]) == [(1, "P101")]
+    assert rows(found["most_clubs"], "player_id") == [(101,), (102,), (103,), (201,), (202,)]
+    for name in RESULTS:
+        published_result(name, found[name])
+    for name, df in found.items():
+        assert df.schema is not None, name
+    heading = published_result("most_losses_by_season", found["most_losses_by_season"])
+    assert rows(heading, "`Cantidad de partidos perdidos`", "Temporada") == [(1, "2008/2009")] * 2
+
+
 def test_views_and_descriptions(spark, spain):
     register_views(spain, prefix="spain_")
     assert spark.sql("SELECT count(*) FROM spain_matches").first()[0] == 6

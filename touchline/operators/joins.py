@@ -13,6 +13,11 @@ SALTS = 16
 FEW_SALTS = 2
 
 
+def quoted(columns: Sequence[str]) -> list[str]:
+    """Column names safe to use inside SQL expressions."""
+    return [f"`{c}`" for c in columns]
+
+
 def salted_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -31,7 +36,7 @@ def salted_join(
         raise ValueError(f"cannot salt a {how} join: dim rows are repeated")
     if salts & (salts - 1):
         raise ValueError("salts must be a power of two")
-    spread = ", ".join(spread_by or [c for c in fact.columns if c not in on])
+    spread = ", ".join(quoted(spread_by or [c for c in fact.columns if c not in on]))
     if not spread:
         return fact.join(dim, list(on), how)
     salted = fact.selectExpr("*", f"CAST(xxhash64({spread}) & {salts - 1} AS INT) AS _salt")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.joins import quoted
 from touchline.session import stage
 
 # monotonically_increasing_id: partition number above bit 33, row number below.
@@ -32,7 +33,7 @@ def contiguous_ids(df: DataFrame, order: Sequence[str], id_col: str) -> DataFram
     offsets = sizes.selectExpr("_task", "sum(count) OVER (ORDER BY _task) - count AS _offset")
     row = f"(_place & {(1 << _ROW_BITS) - 1})"
     return placed.join(F.broadcast(offsets), "_task").selectExpr(
-        f"_offset + {row} + 1 AS {id_col}", *df.columns
+        f"_offset + {row} + 1 AS {id_col}", *quoted(df.columns)
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.seasons import season_label
-from touchline.operators.joins import FEW_SALTS, keep_known, salted_join
+from touchline.operators.joins import FEW_SALTS, keep_known, quoted, salted_join
 from touchline.operators.keys import contiguous_ids, label_ids
 from touchline.operators.xml_events import xml_events
 from touchline.schemas import SLOTS, UNUSED_MATCH_COLUMNS, slot_columns
@@ -170,7 +170,7 @@ def dated_attributes(raw: DataFrame, players: DataFrame) -> DataFrame:
     """Distinct measurements of known players, numbered by player and date, with season label."""
     rows = raw.distinct().withColumnRenamed("player_api_id", "player_id")
     known = keep_known(rows, players, "player_id", "player_id")
-    rest = [c for c in known.columns if c not in ("player_id", "date")]
+    rest = quoted([c for c in known.columns if c not in ("player_id", "date")])
     labelled = known.selectExpr("player_id", f"{season_label('date')} AS season", "date", *rest)
     numbered = contiguous_ids(labelled, ["player_id", "date", *rest], "attribute_id")
     return numbered.drop("date", "player_fifa_api_id")

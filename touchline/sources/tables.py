@@ -35,22 +35,37 @@ BUCKET_KEYS = {
 }
 
 
+def _typed(name: str, kind: T.DataType) -> str:
+    """Cell text to its type. Whole numbers may come as ``7.0``, as tools write columns with gaps."""
+    if isinstance(kind, T.StringType):
+        return f"`{name}`"
+    text = f"`{name}`"
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        text = f"if(endswith({text}, '.0'), left({text}, length({text}) - 2), {text})"
+    return f"CAST({text} AS {kind.simpleString()}) AS `{name}`"
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False
 ) -> DataFrame:
-    """CSV with a header line and a given schema; a row that does not fit fails the read.
+    """CSV with a header line. Columns are found by name and typed by ``schema``.
 
-    ``multiline`` is for text cells with line breaks. Such files cannot be split, so ask for it
-    only where needed and keep those files small (:func:`write_csv` does). An empty cell is NULL,
-    quoted or not.
+    Columns the schema does not know stay as text; a missing one is an error, and a cell or row
+    that does not fit fails the read. ``multiline`` is for text cells with line breaks. Such files
+    cannot be split, so ask for it only where needed and keep those files small
+    (:func:`write_csv` does). An empty cell is NULL, quoted or not.
     """
-    return (
-        spark.read.schema(schema)
-        .options(**_CSV)
-        .option("mode", "FAILFAST")
-        .option("enforceSchema", "false")
-        .option("multiLine", str(multiline).lower())
-        .csv(path)
+    reader = spark.read.options(**_CSV).option("multiLine", str(multiline).lower())
+    names = reader.csv(path).columns
+    missing = [name for name in schema.names if name not in names]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    rows = reader.schema(text).option("mode", "FAILFAST").option("enforceSchema", "false").csv(path)
+    kinds = {field.name: field.dataType for field in schema}
+    extra = [name for name in names if name not in kinds]
+    return rows.selectExpr(
+        *[_typed(name, kinds[name]) for name in schema.names], *[f"`{name}`" for name in extra]
     )
 
 
@@ -76,7 +91,10 @@ def _read_folder(
 
 
 def read_feed(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:
-    """The six raw tables, one file or folder each, named as in ``schemas.RAW``."""
+    """The six raw tables, one file or folder each, named as in ``schemas.RAW``.
+
+    Further columns of the files pass through as text.
+    """
     return _read_folder(spark, folder, RAW, fmt)
 
 
