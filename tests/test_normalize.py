@@ -163,6 +163,35 @@ def test_csv_round_trip_of_feed_and_tables(spark, spain, rows, tmp_path):
         write_tables(tables, str(tmp_path / "x"), fmt="xls")
 
 
+def _scan_of(column, plan):
+    return next(x for x in plan.splitlines() if "FileScan" in x and f"{column}#" in x)
+
+
+def test_season_layout_is_pruned(spark, spain, rows, plan_of, tmp_path):
+    folder = str(tmp_path / "laid out")
+    ordered = {n: t.select(NORMALIZED[n].names) for n, t in spain.items()}
+    write_tables(ordered, folder, by_season=True)
+    back = read_tables(spark, folder)
+    for name in NORMALIZED:
+        assert rows(back[name]) == rows(ordered[name]), name
+    found = answers(back)
+    assert rows(found["most_wins"]) == [(1, "Team 1")]
+    for name, column in (("most_wins", "home_goals"), ("stable_players", "potential")):
+        scan = _scan_of(column, plan_of(found[name]))
+        filters = scan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "season_id" in filters
+
+
+def test_season_filter_reaches_the_files(spark, spain, plan_of, tmp_path):
+    ordered = {n: t.select(NORMALIZED[n].names) for n, t in spain.items()}
+    write_tables(ordered, str(tmp_path))
+    plan = plan_of(answers(read_tables(spark, str(tmp_path)))["team_season_goals"])
+    scan = _scan_of("home_goals", plan)
+    assert "GreaterThanOrEqual(season_id,2)" in scan
+    read = scan.split("ReadSchema: struct<")[1]
+    assert "goal_xml" not in read and "league_id" not in read
+
+
 def test_csv_keeps_blanks_quotes_and_line_breaks(spark, rows, tmp_path):
     df = spark.createDataFrame(
         [(1, ""), (2, None), (3, " a "), (4, 'q "q", \\ \n end')], "id int, text string"

@@ -23,13 +23,15 @@ def main() -> None:
     parser.add_argument("--country", help="keep one country's leagues (normalize)")
     parser.add_argument("--read", default="parquet", choices=["csv", "parquet"])
     parser.add_argument("--write", default="parquet", choices=["csv", "parquet"])
+    parser.add_argument("--by-season", action="store_true", help="one folder per season (parquet)")
     chosen = parser.parse_args()
     spark = SparkSession.builder.appName(f"touchline {chosen.job}").getOrCreate()
     if chosen.job == "normalize":
         results = normalize(read_feed(spark, chosen.source, chosen.read), chosen.country)
     else:
+        chosen.by_season = False
         results = answers(read_tables(spark, chosen.source, chosen.read))
-    write_tables(results, chosen.target, chosen.write)
+    write_tables(results, chosen.target, chosen.write, by_season=chosen.by_season)
     clear_stage(spark)
     spark.stop()
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from touchline.schemas import MULTILINE_TABLES, NORMALIZED, RAW
+from touchline.session import stage
 
 # Quotes inside a quoted cell are doubled and outer blanks kept, on both ways.
 _CSV = {
@@ -22,18 +23,20 @@ _CSV = {
 # Bounds the size of a file, and with it the work of a task that has to read it unsplit.
 ROWS_PER_FILE = 1_000_000
 
-# Tables joined on one long key; equal bucketing makes those joins local.
+# Tables joined on one long key; equal bucketing makes those joins local. Only tables in which
+# the key is unique, so that no bucket can outgrow the others.
 BUCKET_KEYS = {
     "matches": "match_id",
     "fixtures": "match_id",
     "lineups": "match_id",
-    "goals": "match_id",
     "squad_members": "member_id",
     "squad_seasons": "member_id",
     "players": "player_id",
-    "player_attributes": "player_id",
 }
 
+# Long tables that the questions filter by season.
+SEASON_TABLES = {"matches", "player_attributes"}
+
 
 def _typed(name: str, kind: T.DataType) -> str:
     """Cell text to its type. Whole numbers may come as ``7.0``, as tools write columns with gaps."""
@@ -82,10 +85,10 @@ def _read_folder(
     spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType], fmt: str
 ) -> dict[str, DataFrame]:
     def load(name: str, schema: T.StructType) -> DataFrame:
+        path = os.path.join(folder, f"{name}.{fmt}")
         if fmt == "csv":
-            path = os.path.join(folder, f"{name}.csv")
-            return read_csv(spark, path, schema, multiline=name in MULTILINE_TABLES)
-        return spark.read.schema(schema).parquet(os.path.join(folder, f"{name}.parquet"))
+            return stage(read_csv(spark, path, schema, multiline=name in MULTILINE_TABLES), name)
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
 
     return {name: load(name, schema) for name, schema in schemas.items()}
 
@@ -93,7 +96,8 @@ def _read_folder(
 def read_feed(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:
     """The six raw tables, one file or folder each, named as in ``schemas.RAW``.
 
-    Further columns of the files pass through as text.
+    Further columns of CSV files pass through as text. CSV is parsed once and staged as parquet,
+    because every table built from the feed reads some of its columns again.
     """
     return _read_folder(spark, folder, RAW, fmt)
 
@@ -104,17 +108,29 @@ def read_tables(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[
 
 
 def write_tables(
-    tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "overwrite"
+    tables: Mapping[str, DataFrame],
+    folder: str,
+    fmt: str = "parquet",
+    mode: str = "overwrite",
+    by_season: bool = False,
 ) -> None:
-    """One folder per table, written in parallel part files."""
+    """One folder per table, written in parallel part files.
+
+    ``by_season`` lays the long parquet tables out in one folder per season id, so that a question
+    about some seasons opens no other file. Rows are rebalanced for that: adaptive execution cuts a
+    large season into several tasks and files.
+    """
     for name, df in tables.items():
         path = os.path.join(folder, f"{name}.{fmt}")
         if fmt == "csv":
             write_csv(df, path, mode)
-        elif fmt == "parquet":
-            df.write.mode(mode).parquet(path)
-        else:
+        elif fmt != "parquet":
             raise ValueError(f"unknown format: {fmt}")
+        elif by_season and name in SEASON_TABLES:
+            rows = df.hint("rebalance", "season_id")
+            rows.write.mode(mode).partitionBy("season_id").parquet(path)
+        else:
+            df.write.mode(mode).parquet(path)
 
 
 def save_bucketed(
