@@ -16,7 +16,10 @@ from touchline.schemas import METRICS
 def answers(
     tables: Mapping[str, DataFrame], metrics: Sequence[str] = tuple(METRICS)
 ) -> dict[str, DataFrame]:
-    """One lazy result per question, in the order they are asked."""
+    """One lazy result per question, in the order they are asked.
+
+    Lists and tables come sorted; their rows are teams, seasons or both.
+    """
     teams, seasons, players = tables["teams"], tables["seasons"], tables["players"]
     members, attributes = tables["squad_members"], tables["player_attributes"]
     matches = Q.season_matches(tables["matches"], seasons, tables["fixtures"])
@@ -29,7 +32,9 @@ def answers(
     labels = [f"{year}/{year + 1}" for year in Q.YEARS]
     return {
         "most_wins": Q.most_wins(matches, teams),
-        "most_losses_by_season": Q.most_losses_by_season(matches, seasons, teams),
+        "most_losses_by_season": Q.most_losses_by_season(matches, seasons, teams).orderBy(
+            "season", "long_name"
+        ),
         "most_draws_last_season": Q.most_draws_in(matches, seasons, teams),
         "most_goals_for": Q.most_goals_for(matches, teams),
         "best_goal_difference": Q.best_goal_difference(matches, teams),
@@ -47,14 +52,24 @@ def answers(
         "leader_by_metric_keyed": R.leader_by_metric(
             R.metric_grand_totals(keyed, metrics), top_team, metrics
         ),
-        "team_season_goals": chart,
-        "pivot_goals_for": C.team_by_season_mean(chart, "goals_for", labels),
-        "pivot_goals_against": C.team_by_season_mean(chart, "goals_against", labels),
-        "pivot_avg_goals": C.team_by_season_mean(chart, "avg_goals", labels),
-        "home_away_goals": sides,
-        "pivot_home": C.team_by_season_strict(sides, "home_goals", labels),
-        "pivot_away": C.team_by_season_strict(sides, "away_goals", labels),
-        "pivot_home_away_diff": C.team_by_season_strict(sides, "home_minus_away", labels),
+        "team_season_goals": chart.orderBy("team_id", "season_id"),
+        **{
+            name: C.team_by_season_mean(chart, values, labels).orderBy("team_name")
+            for name, values in (
+                ("pivot_goals_for", "goals_for"),
+                ("pivot_goals_against", "goals_against"),
+                ("pivot_avg_goals", "avg_goals"),
+            )
+        },
+        "home_away_goals": sides.orderBy("team_id", "season_id"),
+        **{
+            name: C.team_by_season_strict(sides, values, labels).orderBy("team_name")
+            for name, values in (
+                ("pivot_home", "home_goals"),
+                ("pivot_away", "away_goals"),
+                ("pivot_home_away_diff", "home_minus_away"),
+            )
+        },
         "rating_vs_goals": R.rating_vs_goals(members, attributes, matches, teams),
         "rating_vs_goals_plain": R.rating_vs_goals_plain(members, attributes, matches, teams),
     }

@@ -433,7 +433,7 @@ _SQL = {
             FROM (SELECT DISTINCT team_id, player_id FROM squad) s
             JOIN attributes a ON a.player_id = s.player_id
             WHERE a.season_id BETWEEN 2 AND 5 GROUP BY s.team_id) USING (team_id)""",
-    "duplicate_keys_found": """
+    "duplicate_keys": """
         SELECT l_orderkey, l_linenumber, COUNT(*) AS n_rows FROM lineitem
         GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline import bindings as B
-from touchline.operators.checks import duplicate_keys
+from touchline.operators import checks
 from touchline.operators.updates import update_from
 from touchline.operators.xml_events import xml_rejects
 from touchline.plans import charts as C
@@ -401,5 +401,5 @@ def rating_vs_goals_unmultiplied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def duplicate_keys_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_keys(B.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.duplicate_keys(B.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
