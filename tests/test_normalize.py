@@ -117,6 +117,21 @@ def test_lineups_with_any_membership(spark, rows):
         N.normalize(feed(spark), member_of="last")
 
 
+def test_unordered_ids_name_the_same_rows(spark, spain, rows):
+    loose = N.normalize(feed(spark), country="Spain", ordered_ids=False)
+    for name, key in (("squad_members", "member_id"), ("player_attributes", "attribute_id")):
+        columns = [c for c in spain[name].columns if c != key]
+        assert rows(loose[name], *columns) == rows(spain[name], *columns)
+        ids = [i for (i,) in rows(loose[name], key) if i is not None]
+        assert len(ids) == len(set(ids))
+    resolved = loose["goals"].join(loose["squad_members"], "member_id")
+    assert rows(resolved, "goal_id", "team_id", "player_id") == [
+        (1, 1, 101),
+        (4, 2, 201),
+        (9, 2, 201),
+    ]
+
+
 def test_players_of_squads_only(spain, rows):
     assert rows(spain["players"], "player_id") == [(101,), (102,), (103,), (201,), (202,)]
 

@@ -80,6 +80,15 @@ def test_contiguous_ids_follow_the_order(spark):
     assert numbered[0].asDict().keys() == {"n", "g", "x", "payload"}
 
 
+def test_contiguous_ids_without_an_order(spark, plan_of):
+    df = spark.range(1000).repartition(5).selectExpr("id", "id * 2 AS x")
+    numbered = contiguous_ids(df, None, "n")
+    found = numbered.collect()
+    assert sorted(r["n"] for r in found) == list(range(1, 1001))
+    assert sorted(found) == sorted(numbered.collect())
+    assert all(r["x"] == 2 * r["id"] for r in found)
+
+
 def test_contiguous_ids_of_nothing(spark):
     assert contiguous_ids(spark.range(0), ["id"], "n").count() == 0
 

@@ -14,20 +14,21 @@ from touchline.session import stage
 _ROW_BITS = 33
 
 
-def contiguous_ids(df: DataFrame, order: Sequence[str], id_col: str) -> DataFrame:
+def contiguous_ids(df: DataFrame, order: Sequence[str] | None, id_col: str) -> DataFrame:
     """Number the rows 1..N in the order of ``order``: SQL expressions that identify a row.
 
     A range shuffle sorts the rows in parallel and each task counts its own. The numbered
     rows are staged, so both uses below see the same placement. The per-task counts that turn
     local into global numbers are one row per shuffle partition, hence the broadcast.
+
+    Without an ``order`` the rows are numbered where they are: no shuffle, but another run may
+    number them differently.
     """
-    ordering = [F.expr(e).asc_nulls_last() for e in order]
-    placed = stage(
-        df.repartitionByRange(*ordering)
-        .sortWithinPartitions(*ordering)
-        .withColumn("_place", F.monotonically_increasing_id()),
-        id_col,
-    )
+    rows = df
+    if order is not None:
+        ordering = [F.expr(e).asc_nulls_last() for e in order]
+        rows = df.repartitionByRange(*ordering).sortWithinPartitions(*ordering)
+    placed = stage(rows.withColumn("_place", F.monotonically_increasing_id()), id_col)
     placed = placed.selectExpr("*", f"shiftright(_place, {_ROW_BITS}) AS _task")
     sizes = placed.groupBy("_task").count()
     offsets = sizes.selectExpr("_task", "sum(count) OVER (ORDER BY _task) - count AS _offset")

@@ -100,9 +100,9 @@ def squad_membership(matches: DataFrame, teams: DataFrame, slots: int = SLOTS) -
     )
 
 
-def squad_ids(membership: DataFrame) -> DataFrame:
+def squad_ids(membership: DataFrame, ordered: bool = True) -> DataFrame:
     """``member_id`` per membership, in (team, player, season) order; none without a season."""
-    order = ["season IS NULL", "team_id", "player_id", "season"]
+    order = ["season IS NULL", "team_id", "player_id", "season"] if ordered else None
     return contiguous_ids(membership, order, "member_id").selectExpr(
         "if(season IS NULL, NULL, member_id) AS member_id", "team_id", "player_id", "season"
     )
@@ -166,13 +166,14 @@ def squad_players(raw: DataFrame, squad: DataFrame) -> DataFrame:
     return keep_known(players, squad, "player_id", "player_id")
 
 
-def dated_attributes(raw: DataFrame, players: DataFrame) -> DataFrame:
+def dated_attributes(raw: DataFrame, players: DataFrame, ordered: bool = True) -> DataFrame:
     """Distinct measurements of known players, numbered by player and date, with season label."""
     rows = raw.distinct().withColumnRenamed("player_api_id", "player_id")
     known = keep_known(rows, players, "player_id", "player_id")
     rest = quoted([c for c in known.columns if c not in ("player_id", "date")])
     labelled = known.selectExpr("player_id", f"{season_label('date')} AS season", "date", *rest)
-    numbered = contiguous_ids(labelled, ["player_id", "date", *rest], "attribute_id")
+    order = ["player_id", "date", *rest] if ordered else None
+    numbered = contiguous_ids(labelled, order, "attribute_id")
     return numbered.drop("date", "player_fifa_api_id")
 
 
@@ -233,16 +234,21 @@ def normalize(
     member_of: str = "season_exact",
     strict_goals: bool = False,
     slots: int = SLOTS,
+    ordered_ids: bool = True,
 ) -> dict[str, DataFrame]:
-    """All normalized tables of the feed, for every country or for the named one."""
+    """All normalized tables of the feed, for every country or for the named one.
+
+    ``ordered_ids=False`` saves two range shuffles, at the price of ids that a later run may
+    give to other rows.
+    """
     nations = countries(feed["countries"], country)
     selected = None if country is None else nations
     matches = league_matches(feed["matches"], selected)
     fixture_rows = fixtures(matches)
     teams = home_teams(feed["teams"], fixture_rows)
-    squad = squad_ids(squad_membership(matches, teams, slots))
+    squad = squad_ids(squad_membership(matches, teams, slots), ordered_ids)
     players = squad_players(feed["players"], squad)
-    attributes = dated_attributes(feed["player_attributes"], players)
+    attributes = dated_attributes(feed["player_attributes"], players, ordered_ids)
     seasons = stage(season_dimension(attributes), "seasons")
     return {
         "countries": nations,
