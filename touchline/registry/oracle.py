@@ -280,11 +280,21 @@ def _pivot(table: str, values: str, fold: str) -> str:
     return f"SELECT team_name, {cells} FROM {table} GROUP BY team_name"
 
 
-def _leader_rows() -> str:
+_KEYED_TOTALS = f"""
+    SELECT t.long_name, ss.season_id,
+           {", ".join(f"CAST(SUM({m}) AS BIGINT) AS {m}" for m in METRICS)}
+    FROM player_totals a JOIN squad_seasons ss ON ss.season_id = a.season_id
+    JOIN squad s ON s.member_id = ss.member_id AND s.player_id = a.player_id
+    JOIN teams t ON t.team_id = s.team_id
+    GROUP BY t.long_name, ss.season_id
+"""
+
+
+def _leader_rows(totals: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{m}' AS metric, COUNT(*) AS n_rows, COUNT(*) > 0 AS is_leader
-            FROM grand_totals g JOIN top_team t ON t.long_name = g.long_name
-            WHERE {m} = (SELECT MAX({m}) FROM grand_totals)"""
+            FROM {totals} g JOIN top_team t ON t.long_name = g.long_name
+            WHERE {m} = (SELECT MAX({m}) FROM {totals})"""
         for m in METRICS
     )
 
@@ -390,15 +400,14 @@ _SQL = {
         ) ON l_orderkey = o_orderkey WHERE deviation = 0""",
     "top_scoring_team_union": "SELECT * FROM top_team",
     "squad_metric_totals": "SELECT * FROM season_totals",
-    "squad_metric_totals_keyed": f"""
-        SELECT t.long_name, ss.season_id,
-               {", ".join(f"CAST(SUM({m}) AS BIGINT) AS {m}" for m in METRICS)}
-        FROM player_totals a JOIN squad_seasons ss ON ss.season_id = a.season_id
-        JOIN squad s ON s.member_id = ss.member_id AND s.player_id = a.player_id
-        JOIN teams t ON t.team_id = s.team_id
-        GROUP BY t.long_name, ss.season_id""",
+    "squad_metric_totals_keyed": _KEYED_TOTALS,
     "squad_metric_grand_totals": "SELECT * FROM grand_totals",
-    "leader_by_metric": _leader_rows(),
+    "leader_by_metric": _leader_rows("grand_totals"),
+    "leader_by_metric_keyed": f"""
+        , keyed_totals AS (
+            SELECT long_name, {", ".join(f"SUM({m}) AS {m}" for m in METRICS)}
+            FROM ({_KEYED_TOTALS}) GROUP BY long_name)
+        {_leader_rows("keyed_totals")}""",
     "team_season_goals": "SELECT * FROM chart",
     "pivot_goals_for": _pivot("chart", "goals_for", "AVG"),
     "pivot_goals_against": _pivot("chart", "goals_against", "AVG"),

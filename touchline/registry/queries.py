@@ -297,8 +297,7 @@ def squad_metric_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_double(_season_totals(spark, sf_dir), METRICS)
 
 
-@query
-def squad_metric_totals_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.squad_metric_totals_keyed(
         B.attributes(spark, sf_dir),
         B.memberships_with_season(spark, sf_dir),
@@ -306,6 +305,11 @@ def squad_metric_totals_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def squad_metric_totals_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed_totals(spark, sf_dir)
+
+
 @query
 def squad_metric_grand_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_double(R.metric_grand_totals(_season_totals(spark, sf_dir)), METRICS)
@@ -319,6 +323,14 @@ def leader_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def leader_by_metric_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.leader_by_metric(
+        R.metric_grand_totals(_keyed_totals(spark, sf_dir)),
+        Q.top_scoring_team(_period(spark, sf_dir), B.all_teams(spark, sf_dir)),
+    )
+
+
 # Chart tables
 
 
