@@ -113,10 +113,11 @@ def _goal_document() -> str:
     return f"concat('<goal>', nullif({body}, ''), '</goal>')"
 
 
-def _plain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wide row per order that has lines. Every aggregate has a fixed size.
+def _plain_matches(spark: SparkSession, sf_dir: str, lineups: bool = True) -> DataFrame:
+    """One row per order that has lines, wide when ``lineups`` are wanted.
 
-    The lines are folded per order first, so the joins move one row per order.
+    The lines are folded per order first, so the joins move one row per order. Every aggregate has
+    a fixed size.
     """
     goals = [
         f"CAST(count_if(l_returnflag = '{flag}') AS INT) AS {side}_team_goal"
@@ -127,6 +128,7 @@ def _plain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         f" AS {side}_player_{slot}"
         for side, flag in SIDES.items()
         for slot in range(1, LINE_SLOTS + 1)
+        if lineups
     ]
     per_order = (
         table(spark, sf_dir, "lineitem")
@@ -141,6 +143,16 @@ def _plain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "supplier"), "s_suppkey")
     )
     moment = _shifted("o_orderdate", MATCH_SHIFT)
+    match = [
+        "o_orderkey AS match_api_id",
+        f"{season_label(moment)} AS season",
+        "CAST(c_nationkey AS BIGINT) AS home_team_api_id",
+        "CAST(s_nationkey AS BIGINT) AS away_team_api_id",
+        "home_team_goal",
+        "away_team_goal",
+    ]
+    if not lineups:
+        return joined.selectExpr(*match)
     filled = [f"{side}_player_{i}" for side in SIDES for i in range(1, LINE_SLOTS + 1)]
     empty = [
         f"CAST(NULL AS BIGINT) AS {side}_player_{i}"
@@ -149,14 +161,9 @@ def _plain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     unused = [c for c in UNUSED_MATCH_COLUMNS if c not in ("country_id", "stage")]
     return joined.selectExpr(
-        "o_orderkey AS match_api_id",
-        f"{season_label(moment)} AS season",
+        *match,
         "month(o_orderdate) AS stage",
         f"{moment} AS date",
-        "CAST(c_nationkey AS BIGINT) AS home_team_api_id",
-        "CAST(s_nationkey AS BIGINT) AS away_team_api_id",
-        "home_team_goal",
-        "away_team_goal",
         *filled,
         *empty,
         *[f"o_orderpriority AS `{c}`" for c in unused],
@@ -229,7 +236,7 @@ def attributes(
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized matches that still carry their team ids."""
-    raw = _plain_matches(spark, sf_dir).selectExpr(
+    raw = _plain_matches(spark, sf_dir, lineups=False).selectExpr(
         "match_api_id AS match_id",
         "season",
         "home_team_api_id AS home_team_id",
