@@ -10,8 +10,10 @@ from __spark_entry__ import entry, oracle_sql, queries
 from oracle_check import compare, connect
 from touchline import bindings as B
 from touchline.plans import questions as Q
+from touchline.registry.oracle import all_sql
+from touchline.registry.queries import QUERIES
 
-NAMES = list(queries())
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,8 @@ def con(small):
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == all_sql().keys()
+    assert QUERIES.keys() <= queries().keys() and oracle_sql().keys() <= queries().keys()
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +29,9 @@ def local_session(app: str, cores: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, named by the session.
-
-    Only a local session without one gets a temporary folder, removed when Python ends.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get(_CHECKPOINT_KEY, None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="touchline-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    context.setCheckpointDir(folder)
-    return folder
+    """Folder all executors can reach: the session's checkpoint folder, else its warehouse."""
+    folder = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
