@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import simhash
+from touchline.llm import byte_bpe, decontaminate, rules, simhash, warc
 from touchline.llm.frames import table
+from touchline.session import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,3 +31,108 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.fingerprint_hex("fp").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.benchmark_hits(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13
+    )
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.expr(decontaminate.CONTAMINATED).alias("contaminated"),
+    )
+
+
+SQL["op8_decontaminate"] = """
+WITH doc_words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM documents),
+item_words AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, len(gram) AS size, array_to_string(gram, ' ') AS gram FROM (
+        SELECT item, words[i : i + least(13, len(words)) - 1] AS gram
+        FROM (SELECT item, words, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i
+              FROM item_words WHERE len(words) > 0))),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+    SELECT doc_id, size, i, array_to_string(words[i : i + size - 1], ' ') AS gram
+    FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+          FROM doc_words, sizes)),
+found AS (
+    SELECT doc_id, p.size, i, item FROM places p JOIN windows w USING (gram)
+    WHERE p.size = w.size),
+covered AS (
+    SELECT doc_id, count(DISTINCT word) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + size)) AS word
+          FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id),
+owners AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("doc", "doc_id").select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.digests(
+        table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN
+    )
+    return found.withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path, payloads=False).drop("payload", "url")
+    return warc.resolve_revisits(stage(records, "records")).select(
+        F.col("page").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+SQL["op7_warc"] = """
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+heads AS (
+    SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM payloads),
+latest AS (
+    SELECT page_id, n, digest, max(page_id) OVER (PARTITION BY digest) AS last FROM heads)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+    CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM latest
+"""
