@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, decontaminate, repeats, rules, simhash, warc
+from touchline.llm import byte_bpe, decontaminate, quality, repeats, rules, simhash, warc
 from touchline.llm.frames import table
 from touchline.session import stage, stage_path
 
@@ -148,3 +148,15 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("runs").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs.where(~quality.held_out()), labels.where(~quality.held_out()))
+    return quality.scores(docs, model).select(
+        F.col("doc").alias("doc_id"),
+        quality.held_out("doc").alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
