@@ -66,4 +66,4 @@ def test_odd_rows(spark):
         (i or 0, (t or "").encode()) for i, t, _ in rows
     )
     empty = docs.limit(0)
-    assert byte_bpe.digests(empty, PATH, public_tokenizers.PATTERN).count() == 0
+    assert byte_bpe.encode_and_decode(empty, PATH, public_tokenizers.PATTERN).count() == 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +17,10 @@ from pyspark.sql import functions as F
 from touchline.llm.frames import map_rows, raw
 
 #: Pieces whose ids a worker remembers; beyond that those not met again are forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 _STEPS = 64  # contractions in one recursive query, whose steps all stay in memory
 _LONG = 64  # tokens beyond which a step contracts every place of the pair
-_DECODED = 1_000_000  # ids decoded in one query
-_SPACES = b" \t\n\r\x0b\x0c"
+_DECODED = 500_000  # ids decoded in one query
 
 _CONTRACT = f"""
 WITH RECURSIVE contract(word, toks, step, done) AS (
@@ -53,7 +51,7 @@ SELECT word, toks, done FROM contract WHERE done OR step = {_STEPS}
 """
 
 _DECODE = """
-SELECT part, string_agg(chars, '' ORDER BY pos) AS chars
+SELECT part, string_agg(chars, '' ORDER BY pos) AS chars, count(*) AS n
 FROM ids JOIN vocabulary USING (id) GROUP BY part ORDER BY part
 """
 
@@ -70,12 +68,10 @@ class Codec:
         self.whole = {token: np.array([rank], "<u4").tobytes() for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.octets = np.array([ranks[bytes([c])] for c in range(256)], dtype=np.int32)
-        self.begins = np.zeros(max(ranks.values()) + 1, dtype=bool)
-        self.begins[[rank for token, rank in ranks.items() if token[0] in _SPACES]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '500MB'; SET temp_directory = ''")
+        self.db.execute("SET threads = 1; SET memory_limit = '300MB'; SET temp_directory = ''")
         pairs = [
             (left, right, rank)
             for token, rank in ranks.items()
@@ -87,7 +83,7 @@ class Codec:
         self._create("merges", {"a": a.astype(np.int32), "b": b.astype(np.int32), "id": ids})
         # DuckDB's ordered text aggregation joins text, so bytes travel as the first 256 characters.
         chars = [token.decode("latin-1") for token in ranks]
-        self._create("vocabulary", {"id": np.array([*ranks.values()], np.int32), "chars": chars})
+        self._create("vocabulary", {"id": np.array([*ranks.values()], np.int64), "chars": chars})
 
     def _create(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -153,48 +149,40 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self._learn(pieces)
         else:
-            self._learn(pieces - self.known.keys())
+            self._learn(pieces.difference(self.known))
         return [b"".join(map(self.known.__getitem__, own)) for own in cut]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence; parts that repeat, cut where white space begins, once."""
-        parts: dict[bytes, int] = {}
-        own: list[list[int]] = []
-        for ids in encoded:
+        """Bytes of each id sequence; a long one is decoded in parts."""
+        parts: list[tuple[int, np.ndarray]] = []
+        for k, ids in enumerate(encoded):
             values = np.frombuffer(ids, dtype="<u4")
-            if len(values) and values.max() >= len(self.begins):
-                raise ValueError("an id is not in the vocabulary")
-            begins = np.nonzero(self.begins[values])[0] * 4
-            cuts = [0, *begins.tolist(), len(ids)]
-            own.append(
-                [parts.setdefault(ids[a:b], len(parts)) for a, b in zip(cuts, cuts[1:]) if a < b]
-            )
-        out: list[bytes] = []
-        pending, size = [], 0
-        for part in parts:
-            pending.append(part)
-            size += len(part) // 4
-            if size >= _DECODED:
-                out += self._decode(pending)
-                pending, size = [], 0
-        out += self._decode(pending)
-        return [b"".join(map(out.__getitem__, places)) for places in own]
-
-    def _decode(self, parts: list[bytes]) -> list[bytes]:
-        if not parts:
-            return []
-        sizes = np.array([len(part) // 4 for part in parts])
+            parts += [(k, values[i : i + _DECODED]) for i in range(0, len(values), _DECODED)]
+        out: list[list[bytes]] = [[] for _ in encoded]
+        start = 0
+        while start < len(parts):
+            stop, total = start, 0
+            while stop < len(parts) and (total == 0 or total + len(parts[stop][1]) <= _DECODED):
+                total += len(parts[stop][1])
+                stop += 1
+            for (k, _), text in zip(parts[start:stop], self._decode([v for _, v in parts[start:stop]])):
+                out[k].append(text)
+            start = stop
+        return [b"".join(pieces) for pieces in out]
+
+    def _decode(self, parts: list[np.ndarray]) -> list[bytes]:
+        sizes = np.array([len(part) for part in parts])
         rows = pa.table(
             {
                 "part": np.repeat(np.arange(len(parts), dtype=np.int32), sizes),
-                "pos": np.arange(sizes.sum(), dtype=np.int64),
-                "id": np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32),
+                "pos": np.arange(sizes.sum(), dtype=np.int32),
+                "id": np.concatenate(parts).astype(np.int64),
             }
         )
-        found = self._query(_DECODE, ids=rows)["chars"].to_pylist()
-        if len(found) != len(parts):
+        found = self._query(_DECODE, ids=rows)
+        if found["n"].to_pylist() != sizes.tolist():
             raise ValueError("an id is not in the vocabulary")
-        return [chars.encode("latin-1") for chars in found]
+        return [chars.encode("latin-1") for chars in found["chars"].to_pylist()]
 
 
 @lru_cache(maxsize=2)
@@ -203,7 +191,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _batches(texts: list[bytes], size: int = 8_000_000) -> Iterator[slice]:
+def _batches(texts: list[bytes], size: int = 3_000_000) -> Iterator[slice]:
     start = total = 0
     for i, text in enumerate(texts):
         if total and total + len(text) > size:
@@ -240,20 +228,3 @@ def encode_and_decode(
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return map_rows(chosen, "doc long, n_tokens long, ids binary, decoded binary", work)
-
-
-def digests(docs: DataFrame, path: str, pattern: str, **columns: str) -> DataFrame:
-    """Like :func:`encode_and_decode`, with SHA-256 digests of ids and bytes in their place."""
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sha = [
-            pa.array([hashlib.sha256(value).hexdigest() for value in batch.column(i).to_pylist()])
-            for i in (2, 3)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *sha],
-            ["doc", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-    schema = "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_rows(encode_and_decode(docs, path, pattern, **columns), schema, work)

@@ -104,10 +104,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    found = byte_bpe.digests(
-        table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents")
+    found = byte_bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return found.withColumnRenamed("doc", "doc_id")
 
 
 @query
