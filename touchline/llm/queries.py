@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, decontaminate, quality, repeats, rules, simhash, warc
+from touchline.llm import byte_bpe, decontaminate, lm, quality, repeats, rules, simhash, warc
 from touchline.llm.frames import table
 from touchline.session import stage, stage_path
 
@@ -164,3 +164,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lm.scores(docs, docs.where(~lm.held_out()))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        lm.held_out("doc").alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
