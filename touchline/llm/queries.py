@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, decontaminate, lm, quality, repeats, rules, simhash, warc
+from touchline.llm import (
+    byte_bpe,
+    decontaminate,
+    lm,
+    quality,
+    repeats,
+    rules,
+    simhash,
+    token_files,
+    warc,
+)
 from touchline.llm.frames import table
 from touchline.session import stage, stage_path
 
@@ -179,3 +189,16 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "tokens")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer, end_id=0)
+    return token_files.read_tokens(spark, path).select(
+        F.col("doc").alias("doc_id"),
+        "start",
+        "n_tokens",
+        F.crc32("ids").alias("ids_crc32"),
+    )
