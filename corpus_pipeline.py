@@ -2,23 +2,66 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import simhash
+from touchline.llm import byte_bpe, decontaminate, repeats, rules, simhash
+from touchline.llm.frames import table
 from touchline.session import stage
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    return rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked fingerprints the document with the smallest id stays."""
     return simhash.keep_one(docs, length=3, radius=2)
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that begin earlier in the corpus as well are cut out of the texts."""
+    cut = repeats.without_repeats(docs)
+    kind = docs.schema["n_chars"].dataType
+    return cut.withColumn("n_chars", F.length("text").cast(kind))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the texts, and digests of the ids and of the text they decode to."""
+    path = public_tokenizers.path(VOCABULARY)
+    found = byte_bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "n_tokens",
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", suffix_dedup),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", tokens),
+]
 
+# Fingerprints, learned rules and tokenization are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

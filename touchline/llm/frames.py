@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # ASCII white space, as the regular expression class of every word rule here.
 SPACE = r"[\x20\x09-\x0D]"
@@ -26,7 +27,11 @@ def raw(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
-def map_rows(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
+def map_rows(
+    df: DataFrame,
+    schema: str | StructType,
+    work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
+) -> DataFrame:
     """``work`` on every Arrow batch; Spark bounds a batch in rows and in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import (
     byte_bpe,
+    chat,
     decontaminate,
     lm,
     quality,
@@ -202,3 +203,29 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens",
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.maximal_conversations(table(spark, sf_dir, "conversations"))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+SQL["op3_chat"] = """
+WITH whole AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns
+    FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+    WHERE conv_id IS NOT NULL GROUP BY conv_id),
+kinds AS (
+    SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY turns),
+beginnings AS (
+    SELECT DISTINCT turns[1 : n] AS turns
+    FROM (SELECT turns, unnest(range(1, len(turns))) AS n FROM kinds))
+SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, n_copies,
+    array_to_string([
+        '<|im_start|>' || regexp_replace(coalesce(t.role, ''), '<\\|im_(start|end)\\|>', '', 'g')
+        || chr(10)
+        || regexp_replace(coalesce(t.text, ''), '<\\|im_(start|end)\\|>', '', 'g')
+        || '<|im_end|>' || chr(10) for t in turns], '') AS text
+FROM kinds ANTI JOIN beginnings USING (turns)
+"""

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline.llm.frames import map_rows
 from touchline.llm.suffixes import suffix_ranks
@@ -288,9 +289,10 @@ def _release(spark: SparkSession) -> None:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, doc, text) with a unique d in the order of ids; the id itself where that will do."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    chosen = chosen.withColumn("text", F.coalesce("text", F.lit("")))
+    """(d, doc, text, others) with a unique d in the order of ids; the id itself if it can be."""
+    carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("others")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text, carried)
     ids = chosen.groupBy("doc").agg(F.count("*").alias("n"))
     if ids.where("n > 1 OR doc IS NULL").isEmpty():
         return chosen.withColumn("d", F.col("doc"))
@@ -362,3 +364,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     joined = texts.join(spans, "d", "left").select("doc", "text", "spans")
     return map_rows(joined, schema, work)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what :func:`remove_repeats` leaves in the place of its texts.
+
+    All rows and columns stay; a text that is a copy as a whole becomes empty, and of a character
+    that a cut parts nothing is left. NULL becomes an empty text.
+    """
+    texts = _keyed(docs, id_col, text_col)
+    spans = _spans(repeated_spans(texts))
+    joined = texts.join(spans, "d", "left").select("text", "spans", "others")
+    schema = StructType(
+        [StructField("text", StringType()), StructField("others", joined.schema["others"].dataType)]
+    )
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kept = []
+        for text, own in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1)):
+            left = _cut(text, own.values.to_numpy())[0] if own.is_valid else text
+            kept.append(left.decode(errors="ignore"))
+        columns = [pa.array(kept, pa.string()), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, ["text", "others"])
+
+    cut = map_rows(joined, schema, work)
+    return cut.select(
+        *(
+            F.col("text").alias(text_col) if c == text_col else F.col(f"others.`{c}`").alias(c)
+            for c in docs.columns
+        )
+    )
