@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -41,14 +42,25 @@ def stage_path(spark: SparkSession, label: str) -> str:
     )
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_stage(spark: SparkSession) -> None:
     """Delete what this application staged; call it when its results have been written."""
     application = spark.sparkContext.applicationId
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(
-        os.path.join(shared_folder(spark), "touchline-stage", application)
-    )
-    folder.getFileSystem(conf).delete(folder, True)
+    _delete(spark, os.path.join(shared_folder(spark), "touchline-stage", application))
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more, then let Spark's cleaner drop the
+    shuffle files of the plans that made them."""
+    for df in staged:
+        _delete(df.sparkSession, df._staged_at)
+    gc.collect()
+    if staged:
+        staged[0].sparkSession._jvm.System.gc()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -58,4 +70,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read._staged_at = path
+    return read
