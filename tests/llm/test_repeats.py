@@ -82,7 +82,7 @@ def test_suffix_ranks_equal_sorting(spark):
     strings += [strings[0], [0] * 20, [1, 2] * 9]
     rows = [(7, s, i, c) for s, string in enumerate(strings) for i, c in enumerate(string)]
     df = spark.createDataFrame(rows, "d long, r long, i int, sym long")
-    found = {(r.r, r.i): r["rank"] for r in suffix_ranks(df, 4).collect()}
+    found = {(r.r, r.i): r["rank"] for r in suffix_ranks(df, 4, []).collect()}
     suffixes = {(s, i): strings[s][i:] for _, s, i, _ in rows}
     ordered = sorted(suffixes.values())
     assert found == {place: ordered.index(suffix) for place, suffix in suffixes.items()}

@@ -1,34 +1,36 @@
 """Byte strings that occur earlier in the corpus, found with a distributed suffix array.
 
-Any 100 bytes (``SPAN``) hold a least 32-byte gram by hash, and equal strings hold the same one at
-the same place. Neighbouring places whose strings hold the same gram form a block; a string can only repeat where
+Any 100 bytes (``SPAN``) hold a least gram by hash, and equal strings hold the same one.
+Neighbouring places whose strings hold the same gram form a block; a string can only repeat where
 the gram of its block repeats, and that is where the suffix array is built: over strings of blocks,
 with the blocks' bytes as symbols. Adjacent suffixes that agree over the whole reach of their first
 block (its bytes and the 99 that follow) are copies, and the earliest of them stands for all. What
-is left are blocks at the edges of repeats; their places are compared byte string by byte string.
+is left are blocks at the edges of repeats. They are cut into finer blocks by longer grams, whose
+copies go the same way, and the places that still remain are compared string by string.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline.llm.frames import map_rows
 from touchline.llm.suffixes import suffix_ranks
-from touchline.session import stage
+from touchline.session import stage, stage_path, unstage
 
 SPAN = 100
-GRAM = 32
+GRAM, FINE_GRAM = 32, 80
 #: Bytes hashed at a time; a longer text is cut, which costs nothing but a split block.
 CHUNK = 1 << 20
 #: Symbols of a suffix that the array orders, as a power of three.
-LEVELS = 3
+LEVELS = 2
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -81,18 +83,21 @@ def _chunks(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield start, data[start : start + CHUNK + SPAN - 1]
 
 
-def blocks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, gram): ranges of places whose strings hold the same least gram."""
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U))]
+def blocks(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(first, last, gram, inner): ranges of places whose strings hold the same least gram.
+
+    ``inner`` blocks have their gram in more than one place, so strings can repeat inside.
+    """
+    found = [tuple(np.empty(0, kind) for kind in (np.int64, np.int64, _U, bool))]
     for start, part in _chunks(data):
-        places = np.arange(len(part) - GRAM + 1)
-        grams = Hashes(part).of(places, GRAM)
-        least = _least(grams, SPAN - GRAM + 1)
-        # A block ends with its gram's value, or when its gram's place falls behind.
-        behind = grams[: len(least) - 1] == least[:-1]
-        first = np.flatnonzero(np.concatenate(([True], behind | (least[1:] != least[:-1]))))
+        grams = Hashes(part).of(np.arange(len(part) - size + 1), size)
+        least = _least(grams, SPAN - size + 1)
+        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         last = np.append(first[1:], len(least)) - 1
-        found.append((first + start, last + start, least[first]))
+        # The gram's first place falls behind and the next string has it all the same.
+        again = (grams[: len(least) - 1] == least[:-1]) & (least[1:] == least[:-1])
+        inner = np.logical_or.reduceat(np.append(again, False), first)
+        found.append((first + start, last + start, least[first], inner))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
@@ -129,53 +134,72 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _grams(texts: DataFrame) -> DataFrame:
-    """(gram, d, b): the gram of every block."""
+    """(gram, d, b, inner): the gram of every block."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        grams = [blocks(data)[2] for data in _texts(batch.column(1))]
-        sizes = [len(g) for g in grams]
+        found = [blocks(data, GRAM)[2:] for data in _texts(batch.column(1))]
+        sizes = [len(gram) for gram, _ in found]
+        grams, inner = (np.concatenate(column) for column in zip(*found))
         columns = [
-            _signed(np.concatenate(grams)),
+            _signed(grams),
             np.repeat(_ids(batch.column(0)), sizes),
             np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
+            inner,
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "d", "b"])
+        names = ["gram", "d", "b", "inner"]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return map_rows(texts.select("d", "text"), "gram long, d long, b int, inner boolean", work)
+
+
+def _with_company(rows: DataFrame) -> DataFrame:
+    """Rows whose gram other rows have as well, or whose own strings can repeat.
 
-    return map_rows(texts.select("d", "text"), "gram long, d long, b int", work)
+    The grams in question are a table of their own, so that a gram that very many rows share can
+    be split in the join.
+    """
+    shared = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stage(shared.select("gram", F.lit(True).alias("shared")), "shared")
+    return rows.join(shared, "gram", "left").where("shared OR inner").drop("shared")
+
+
+def _reaches(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    size = last - first + SPAN
+    return [_signed(_hash_pieces(data, first, size, which)) for which in (0, 1)]
 
 
 def _block_strings(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     """Blocks with a repeated gram, as strings of neighbours (d, r) with places i."""
     lists = repeated.groupBy("d").agg(F.collect_list("b").alias("bs"))
-    kinds = "long r, int i, long sym, long gram, long reach1, long reach2, int first, int last"
-    schema = "d long, " + ", ".join(f"{n} {t}" for t, n in (x.split() for x in kinds.split(", ")))
+    schema = (
+        "d long, r long, i int, sym long, gram long, inner boolean, reach1 long, reach2 long,"
+        " first int, last int"
+    )
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for d, data, own in zip(
-            _ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)
-        ):
+        for d, data, own in zip(_ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)):
             b = np.sort(own.values.to_numpy())
-            first, last, gram = (column[b] for column in blocks(data))
+            first, last, gram, inner = (column[b] for column in blocks(data, GRAM))
             new = np.concatenate(([True], b[1:] != b[:-1] + 1))
             begin = b[new][np.cumsum(new) - 1]
-            size = last - first + 1
+            # Symbols are ordered as numbers, and a symbol is never negative.
+            sym = _signed(_hash_pieces(data, first, last - first + 1, 0) >> _U(1))
             out.append(
                 (
                     np.full(len(b), d),
                     begin.astype(np.int64),
                     (b - begin).astype(np.int32),
-                    # Symbols are ordered as numbers, and a symbol is never negative.
-                    _signed(_hash_pieces(data, first, size, 0) >> _U(1)),
+                    sym,
                     _signed(gram),
-                    _signed(_hash_pieces(data, first, size + SPAN - 1, 0)),
-                    _signed(_hash_pieces(data, first, size + SPAN - 1, 1)),
+                    inner,
+                    *_reaches(data, first, last),
                     first.astype(np.int32),
                     last.astype(np.int32),
                 )
             )
         columns = [pa.array(np.concatenate(column)) for column in zip(*out)]
-        names = ["d", "r", "i", "sym", "gram", "reach1", "reach2", "first", "last"]
+        names = [column.split()[0] for column in schema.split(", ")]
         yield pa.RecordBatch.from_arrays(columns, names)
 
     return map_rows(texts.select("d", "text").join(lists, "d"), schema, work)
@@ -185,7 +209,7 @@ def _copies(units: DataFrame) -> DataFrame:
     """``units`` in suffix order with ``copy``: an earlier neighbour has the same reach.
 
     Each range of the array is compared by itself; copies that a range boundary parts are left to
-    the comparison of places.
+    the comparisons that follow.
     """
     ordered = units.repartitionByRange("rank", "d", "first").sortWithinPartitions(
         "rank", "d", "first"
@@ -205,11 +229,12 @@ def _copies(units: DataFrame) -> DataFrame:
         order = np.lexsort((column["first"], column["d"], group))
         copy = np.ones(table.num_rows, dtype=bool)
         copy[order[np.concatenate(([True], group[order][1:] != group[order][:-1]))]] = False
-        out = table.select(["d", "first", "last", "gram"]).append_column("copy", pa.array(copy))
+        out = table.select(names).append_column("copy", pa.array(copy))
         yield from out.to_batches(max_chunksize=100_000)
 
-    return ordered.select("d", "first", "last", "gram", "reach1", "reach2").mapInArrow(
-        run, "d long, first int, last int, gram long, copy boolean"
+    names = ["d", "first", "last", "gram", "inner"]
+    return ordered.select(*names, "reach1", "reach2").mapInArrow(
+        run, "d long, first int, last int, gram long, inner boolean, copy boolean"
     )
 
 
@@ -223,47 +248,73 @@ def _unpack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values >> 32, values & 0xFFFFFFFF
 
 
-def _places(texts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(h, x, d): hashes of the byte strings at the places of ``edges``.
+def _regions(spans: np.ndarray) -> list[tuple[int, int]]:
+    """First and last places, with ranges that follow each other put together."""
+    first, last = _unpack(np.sort(spans))
+    new = np.flatnonzero(np.concatenate(([True], first[1:] != last[:-1] + 1)))
+    return list(zip(first[new].tolist(), last[np.append(new[1:], len(first)) - 1].tolist()))
 
-    ``x`` holds 32 more bits of hash above the place. A string that a batch has twice is sent
-    once, as its first occurrence there; the others are marked by ``done``.
-    """
+
+def _fine_blocks(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Blocks by longer grams at the places of ``edges``."""
+    schema = "d long, first int, last int, gram long, inner boolean, reach1 long, reach2 long"
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for d, data, own in zip(
-            _ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)
-        ):
+        for d, data, own in zip(_ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)):
+            for begin, end in _regions(own.values.to_numpy()):
+                part = data[begin : end + SPAN]
+                first, last, gram, inner = blocks(part, FINE_GRAM)
+                reach = _reaches(part, first, last)
+                first, last = ((x + begin).astype(np.int32) for x in (first, last))
+                out.append((np.full(len(first), d), first, last, _signed(gram), inner, *reach))
+        columns = [pa.array(np.concatenate(column)) for column in zip(*out)]
+        names = [column.split()[0] for column in schema.split(", ")]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return map_rows(texts.select("d", "text").join(_spans(edges), "d"), schema, work)
+
+
+def _places(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(d, first, h1, h2): 96 bits of hash of the strings at the places of ``edges``."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for d, data, own in zip(_ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)):
             first, last = _unpack(np.sort(own.values.to_numpy()))
             sizes = last - first + 1
             offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             places = np.repeat(first, sizes) + offsets
             lengths = np.full(len(places), SPAN)
-            more = _hash_pieces(data, places, lengths, 1) & _U(0xFFFFFFFF00000000)
-            h = _hash_pieces(data, places, lengths, 0)
-            out.append((h, more | places.astype(_U), np.full(len(places), d)))
-        h, x, d = (np.concatenate(column) for column in zip(*out))
-        order = np.lexsort((x & _U(0xFFFFFFFF), d, x >> _U(32), h))
-        h, x, d = h[order], x[order], d[order]
-        again = np.zeros(len(h), dtype=bool)
-        again[1:] = (h[1:] == h[:-1]) & (x[1:] >> _U(32) == x[:-1] >> _U(32))
-        columns = [pa.array(c) for c in (_signed(h), _signed(x), d, again)]
-        yield pa.RecordBatch.from_arrays(columns, ["h", "x", "d", "done"])
+            more = (_hash_pieces(data, places, lengths, 1) >> _U(32)).astype(np.uint32)
+            out.append(
+                (
+                    np.full(len(places), d),
+                    places.astype(np.int32),
+                    _signed(_hash_pieces(data, places, lengths, 0)),
+                    more.view(np.int32),
+                )
+            )
+        columns = [pa.array(np.concatenate(column)) for column in zip(*out)]
+        yield pa.RecordBatch.from_arrays(columns, ["d", "first", "h1", "h2"])
 
     joined = texts.select("d", "text").join(_spans(edges), "d")
-    return map_rows(joined, "h long, x long, d long, done boolean", work)
+    return map_rows(joined, "d long, first int, h1 long, h2 int", work)
 
 
-def _earlier_places(places: DataFrame) -> DataFrame:
-    """(d, first, last): places whose byte string occurs earlier."""
-    ordered = F.expr(
-        "row_number() OVER (PARTITION BY h, shiftrightunsigned(x, 32)"
-        " ORDER BY d, x & 4294967295L)"
+def _marked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``copy``: another row has the same keys and comes first.
+
+    The first of each group is found by partial aggregation and joined back; a string that a third
+    of the rows share is one row there, and the other side of the join can be split.
+    """
+    low = rows.groupBy(*keys).agg(
+        F.min(F.struct("d", "first")).alias("low"), F.count("*").alias("n")
     )
-    later = places.where("NOT done").withColumn("n", ordered).where("n > 1").drop("n")
-    at = F.expr("CAST(x & 4294967295L AS INT)")
-    return later.union(places.where("done")).select("d", at.alias("first"), at.alias("last"))
+    low = stage(low.where("n > 1").drop("n"), "lowest")
+    return rows.join(low, keys, "left").withColumn(
+        "copy", F.expr("low IS NOT NULL AND NOT (d = low.d AND first = low.first)")
+    ).drop("low")
 
 
 def _cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -283,11 +334,6 @@ def _cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join([*kept, data[at:]]), runs
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files that no live table needs any more."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, doc, text, others) with a unique d in the order of ids; the id itself if it can be."""
     carried = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("others")
@@ -302,29 +348,45 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(sorted_.withColumn("d", F.monotonically_increasing_id()), "numbered")
 
 
+def _bucketed(texts: DataFrame) -> DataFrame:
+    """``texts`` dealt by ``d`` once, so that the passes over them need not shuffle them again."""
+    spark = texts.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"touchline_texts_{uuid.uuid4().hex}"
+    writer = texts.repartition(count, "d").write.bucketBy(count, "d").sortBy("d")
+    writer.option("path", stage_path(spark, "texts")).saveAsTable(name)
+    return spark.table(name)
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(d, first, last): places of ``texts`` (d, text) where ``SPAN`` bytes begin that begin
     earlier as well, as ranges that may overlap."""
-    spark = texts.sparkSession
     long = texts.where(F.octet_length("text") >= SPAN)
     grams = stage(_grams(long), "grams")
-    twice = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = stage(grams.join(twice.select("gram"), "gram").select("d", "b"), "repeated")
-    _release(spark)
+    repeated = stage(_with_company(grams).select("d", "b"), "repeated")
+    unstage(grams)
     units = stage(_block_strings(long, repeated), "blocks")
-    ranks = suffix_ranks(units.select("d", "r", "i", "sym"), LEVELS)
-    _release(spark)
-    ranked = units.join(stage(ranks, "ranks"), ["d", "r", "i"])
-    judged = stage(_copies(ranked), "copies")
-    _release(spark)
-    kept = judged.where("NOT copy")
-    several = kept.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    edges = stage(kept.join(several, "gram").select("d", "first", "last"), "edges")
+    scratch: list[DataFrame] = [repeated]
+    ranks = suffix_ranks(units.select("d", "r", "i", "sym"), LEVELS, scratch)
+    ranks = stage(ranks, "ranks")
+    unstage(*scratch)
+    coarse = stage(_copies(units.join(ranks, ["d", "r", "i"])), "copies")
+    unstage(units, ranks)
+    edges = stage(_with_company(coarse.where("NOT copy")).select("d", "first", "last"), "edges")
+    fine = stage(_fine_blocks(long, edges), "fine")
+    marked = stage(_marked(fine, ["reach1", "reach2"]), "marked")
+    unstage(edges, fine)
+    edges = stage(_with_company(marked.where("NOT copy")).select("d", "first", "last"), "edges")
     places = stage(_places(long, edges), "places")
-    _release(spark)
-    later = stage(_earlier_places(places), "later")
-    _release(spark)
-    return judged.where("copy").select("d", "first", "last").union(later)
+    later = stage(_marked(places, ["h1", "h2"]).where("copy").select("d", "first"), "later")
+    unstage(edges, places)
+    place = ["d", "first", "last"]
+    return (
+        coarse.where("copy")
+        .select(place)
+        .union(marked.where("copy").select(place))
+        .union(later.select("d", "first", F.col("first").alias("last")))
+    )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,7 +401,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id come first; rows that share an id are ordered by their text. An empty table gives no rows;
     other columns are not read.
     """
-    texts = _keyed(docs, id_col, text_col)
+    texts = _bucketed(_keyed(docs, id_col, text_col))
     spans = _spans(repeated_spans(texts))
     schema = (
         "doc long, n_bytes long, kept binary, runs array<struct<start:long,stop:long>>"
@@ -372,7 +434,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     All rows and columns stay; a text that is a copy as a whole becomes empty, and of a character
     that a cut parts nothing is left. NULL becomes an empty text.
     """
-    texts = _keyed(docs, id_col, text_col)
+    texts = _bucketed(_keyed(docs, id_col, text_col))
     spans = _spans(repeated_spans(texts))
     joined = texts.join(spans, "d", "left").select("text", "spans", "others")
     schema = StructType(

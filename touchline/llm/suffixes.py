@@ -10,7 +10,9 @@ from touchline.session import stage
 _PLACE = ["d", "r", "i"]
 
 
-def _below(rows: DataFrame, keys: list[str], classes: list[str]) -> DataFrame:
+def _below(
+    rows: DataFrame, keys: list[str], classes: list[str], scratch: list[DataFrame]
+) -> DataFrame:
     """For each distinct ``keys``: how many rows of each class column have smaller ones.
 
     Equal keys are folded first, so a key with many rows is one row. The range partitions are
@@ -19,6 +21,7 @@ def _below(rows: DataFrame, keys: list[str], classes: list[str]) -> DataFrame:
     folded = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in classes))
     dealt = folded.repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
     dealt = stage(dealt, "ranges")
+    scratch.append(dealt)
     parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("part").agg(*(F.sum(c).alias(c) for c in classes))
     offsets = totals.select(
@@ -44,30 +47,34 @@ def _following(column: str, steps: int) -> list:
     ]
 
 
-def suffix_ranks(strings: DataFrame, levels: int) -> DataFrame:
+def suffix_ranks(strings: DataFrame, levels: int, scratch: list[DataFrame]) -> DataFrame:
     """(d, r, i, rank) for ``strings`` (d, r, i, sym): string (d, r) has ``sym`` >= 0 at place i.
 
     The rank is the number of smaller suffixes, so equal ones tie. Suffixes are compared over
-    their first ``3 ** levels`` symbols at least; beyond that they may tie.
+    their first ``3 ** levels`` symbols at least; beyond that they may tie. Tables that the result reads
+    are added to ``scratch``, for the caller to delete.
 
     The suffixes at places 1 and 2 modulo 3 are the sample. Their triples of symbols are sorted
     and named by rank; the names make two shorter strings, whose suffixes are ranked the same way.
     The others are then merged in by a symbol and the rank of the sample suffix that follows.
     """
     triples = stage(strings.select(*_PLACE, "sym", *_following("sym", 2)), "triples")
+    scratch.append(triples)
     key = ["sym", "sym1", "sym2"]
     if levels <= 1:
-        names = _below(triples.withColumn("n", F.lit(1)), key, ["n"])
+        names = _below(triples.withColumn("n", F.lit(1)), key, ["n"], scratch)
         return triples.join(names, key).select(*_PLACE, F.col("below_n").alias("rank"))
     sample = triples.where("i % 3 <> 0")
-    names = _below(sample.withColumn("n", F.lit(1)), key, ["n"])
+    names = _below(sample.withColumn("n", F.lit(1)), key, ["n"], scratch)
     named = sample.join(names, key).select(
         "d",
         F.expr("2 * r + i % 3 - 1").alias("r"),
         F.expr("CAST(i DIV 3 AS INT)").alias("i"),
         F.col("below_n").alias("sym"),
     )
-    ranked = suffix_ranks(stage(named, "names"), levels - 1).select(
+    named = stage(named, "names")
+    scratch.append(named)
+    ranked = suffix_ranks(named, levels - 1, scratch).select(
         "d",
         F.expr("r DIV 2").alias("r"),
         F.expr("CAST(3 * i + r % 2 + 1 AS INT)").alias("i"),
@@ -78,9 +85,10 @@ def suffix_ranks(strings: DataFrame, levels: int) -> DataFrame:
     whole = stage(
         whole.withColumns({f"n{k}": F.expr(f"if(i % 3 = {k}, 1, 0)") for k in range(3)}), "merge"
     )
+    scratch.append(whole)
     # The rest against the sample at 1 modulo 3 by one symbol, at 2 modulo 3 by two.
-    one = _below(whole.where("n2 = 0"), ["sym", "rank1"], ["n0", "n1"])
-    two = _below(whole.where("n1 = 0"), ["sym", "sym1", "rank2"], ["n0", "n2"])
+    one = _below(whole.where("n2 = 0"), ["sym", "rank1"], ["n0", "n1"], scratch)
+    two = _below(whole.where("n1 = 0"), ["sym", "sym1", "rank2"], ["n0", "n2"], scratch)
     rest = (
         whole.where("n0 = 1")
         .join(one, ["sym", "rank1"])
