@@ -2,13 +2,17 @@ from __future__ import annotations
 
 import pytest
 
+import feeds
 from feeds import GOALS, feed
+from touchline import __main__ as command
 from touchline.plans import normalize as N
+from touchline.plans import report
 from touchline.plans.report import answers
 from touchline.schemas import METRICS, NORMALIZED, UNUSED_MATCH_COLUMNS
 from touchline.sources.headings import RESULTS, published_result, published_tables
 from touchline.sources.tables import (
     describe_tables,
+    read_chart,
     read_csv,
     read_feed,
     read_tables,
@@ -30,7 +34,7 @@ def everywhere(spark):
 
 
 def test_twelve_tables_with_their_columns(spain):
-    assert spain.keys() == NORMALIZED.keys()
+    assert spain.keys() == {*NORMALIZED, "goal_rejects"}
     for name, schema in NORMALIZED.items():
         kinds = {f.name: f.dataType for f in spain[name].schema}
         assert kinds == {f.name: f.dataType for f in schema}, name
@@ -169,7 +173,7 @@ def test_csv_round_trip_of_feed_and_tables(spark, spain, rows, tmp_path):
         assert rows(tables[name], *spain[name].columns) == rows(spain[name]), name
     for fmt in ("csv", "parquet"):
         folder = str(tmp_path / fmt)
-        ordered = {n: t.select(NORMALIZED[n].names) for n, t in tables.items()}
+        ordered = {n: tables[n].select(schema.names) for n, schema in NORMALIZED.items()}
         write_tables(ordered, folder, fmt=fmt)
         back = read_tables(spark, folder, fmt=fmt)
         for name in NORMALIZED:
@@ -182,9 +186,10 @@ def _scan_of(column, plan):
     return next(x for x in plan.splitlines() if "FileScan" in x and f"{column}#" in x)
 
 
-def test_season_layout_is_pruned(spark, spain, rows, plan_of, tmp_path):
+def test_season_layout_is_pruned(spark, spain, rows, plan_of, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "stage", lambda df, label: df)  # shows what is staged
     folder = str(tmp_path / "laid out")
-    ordered = {n: t.select(NORMALIZED[n].names) for n, t in spain.items()}
+    ordered = {n: spain[n].select(schema.names) for n, schema in NORMALIZED.items()}
     write_tables(ordered, folder, by_season=True)
     back = read_tables(spark, folder)
     for name in NORMALIZED:
@@ -197,8 +202,9 @@ def test_season_layout_is_pruned(spark, spain, rows, plan_of, tmp_path):
         assert "season_id" in filters
 
 
-def test_season_filter_reaches_the_files(spark, spain, plan_of, tmp_path):
-    ordered = {n: t.select(NORMALIZED[n].names) for n, t in spain.items()}
+def test_season_filter_reaches_the_files(spark, spain, plan_of, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "stage", lambda df, label: df)
+    ordered = {n: spain[n].select(schema.names) for n, schema in NORMALIZED.items()}
     write_tables(ordered, str(tmp_path))
     plan = plan_of(answers(read_tables(spark, str(tmp_path)))["team_season_goals"])
     scan = _scan_of("home_goals", plan)
@@ -255,7 +261,7 @@ def test_published_names(spark, spain, rows):
 
 
 def test_all_answers_over_normalized_tables(spark, spain, rows):
-    found = answers(spain)
+    found = answers(spain, team=1)
     assert rows(found["most_wins"]) == [(1, "Team 1")]
     assert rows(found["most_goals_for"]) == [("Team 1", 3)]
     assert rows(found["top_scorer"]) == [(1, "P101")]
@@ -286,3 +292,66 @@ def test_bucketed_tables_join_without_a_shuffle(spark, spain, plan_of, rows):
         assert joined.count() == 6
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _moved(rows_, column, years):
+    def ahead(text):
+        if text is None:
+            return None
+        if "/" in text:
+            return "/".join(str(int(year) + years) for year in text.split("/"))
+        return f"{int(text[:4]) + years}{text[4:]}"
+
+    return [{**row, column: ahead(row[column])} for row in rows_]
+
+
+def test_tables_of_other_years_are_filled(spark, monkeypatch):
+    """The whole feed four years ahead gives the same answers under its own season labels."""
+    now = answers(N.normalize(feed(spark), country="Spain"))
+    monkeypatch.setitem(feeds.TABLES, "matches", _moved(feeds.MATCHES, "season", 4))
+    monkeypatch.setitem(feeds.TABLES, "player_attributes", _moved(feeds.ATTRIBUTES, "date", 4))
+    later = answers(N.normalize(feed(spark), country="Spain"))
+    for name in [n for n in now if n.startswith("pivot_")]:
+        labels = now[name].columns[1:]
+        assert later[name].columns[1:] == [
+            "/".join(str(int(year) + 4) for year in label.split("/")) for label in labels
+        ]
+        cells = [tuple(r) for r in now[name].collect()]
+        assert [tuple(r) for r in later[name].collect()] == cells
+        if name != "pivot_home_away_diff":  # no team plays on both sides of a season here
+            assert any(value is not None for row in cells for value in row[1:])
+        assert [row[0] for row in cells] == sorted(row[0] for row in cells)
+    losses = [r.season for r in later["most_losses_by_season"].collect()]
+    assert losses == ["2012/2013"] * 2
+
+
+def test_sorted_answers_put_null_last(spark):
+    df = spark.createDataFrame([(None,), ("b",), ("a",)], "team_name string")
+    assert [r.team_name for r in report._sorted(df, "team_name").collect()] == ["a", "b", None]
+
+
+def test_chart_tables_come_back_typed(spark, spain, rows, tmp_path):
+    found = answers(spain)
+    for name in ("team_season_goals", "home_away_goals", "rating_vs_goals"):
+        path = str(tmp_path / name)
+        write_csv(published_result(name, found[name]), path)
+        again = read_chart(spark, path, name)
+        assert rows(again.select(*again.columns)) == rows(
+            found[name].selectExpr(*[f"CAST({c} AS {k}) AS {c}" for c, k in again.dtypes])
+        )
+        assert dict(again.dtypes)["team_id"] == "bigint"
+
+
+def test_command_line_writes_published_names_and_rejects(spark, rows, tmp_path):
+    raw, tables, results = (str(tmp_path / n) for n in ("raw", "tables", "results"))
+    write_tables(feed(spark), raw)
+    command.main(["normalize", raw, tables, "--country", "Spain", "--member-of", "any"])
+    assert rows(spark.read.parquet(f"{tables}/goal_rejects.parquet")) == []
+    command.main(["answer", tables, results, "--published", "--team", "1", "--write", "csv"])
+    header = spark.read.option("header", True).csv(f"{results}/most_wins.csv").columns
+    assert header == ["Cantidad de partidos ganados", "Equipos"]
+    assert spark.read.option("header", True).csv(f"{results}/team_series.csv").count() == 3
+    command.main(
+        ["normalize", raw, tables + "2", "--country", "Spain", "--published", "--suffix", "_spain"]
+    )
+    assert spark.read.parquet(f"{tables}2/partidos_spain.parquet").count() == 6

@@ -6,11 +6,14 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from oracle_check import TABLES, compare, connect
+from touchline import bindings as B
 from touchline.operators.joins import keep_known
 from touchline.plans import normalize as N
+from touchline.plans import ratings as R
 
 HOT = {
     "lineitem": "l_partkey = 7, l_suppkey = 3",
@@ -100,13 +103,47 @@ def test_a_hot_scorer_is_split(shuffling, plan_of):
     assert "SortMergeJoin(skew=true)" in plan_of(goals)
 
 
-def test_a_hot_player_is_split_on_the_way_to_numbering(shuffling, plan_of):
-    """A third of the measurements belong to one player, and DISTINCT comes first."""
+def test_a_hot_player_is_spread_on_the_way_to_numbering(shuffling):
+    """A third of the measurements belong to one player; one shuffle serves join and DISTINCT."""
     measured = shuffling.range(30000).selectExpr(
-        "if(id % 3 = 0, 7, id % 1000) AS player_id", "id AS reading"
+        "if(id % 3 = 0, 7, id % 1000) AS player_id", "id DIV 2 AS reading"
     )
     squad = shuffling.range(2000).selectExpr("id % 1000 AS player_id")
-    known = keep_known(measured.distinct(), squad, "player_id", "player_id")
-    ordered = known.repartitionByRange("player_id", "reading")
-    assert len(ordered.collect()) == 30000
-    assert "SortMergeJoin(skew=true)" in plan_of(ordered)
+    old = shuffling.conf.get("spark.sql.shuffle.partitions")
+    shuffling.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        known = keep_known(measured, squad, "player_id", "player_id", distinct=True)
+        sizes = [r["count"] for r in known.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == measured.distinct().count()
+        assert max(sizes) < sum(sizes) / 10
+        plan = known._jdf.queryExecution().executedPlan().toString()
+        # Both steps of DISTINCT stand on the join, with no shuffle between them.
+        assert plan.split("SortMergeJoin")[0].count("HashAggregate") == 2
+        assert "Exchange" not in plan.split("SortMergeJoin")[0]
+    finally:
+        shuffling.conf.set("spark.sql.shuffle.partitions", old)
+
+
+SPLIT = {
+    # Joins whose hot side adaptive execution has to split, by the frame that is joined.
+    "lineup_members": lambda spark, d: N.lineup_members(
+        B.raw_matches(spark, d), B.all_teams(spark, d), B.squad(spark, d)
+    ),
+    "squad_membership": lambda spark, d: B.membership(spark, d),
+    "rating_sums": lambda spark, d: R.rating_vs_goals_plain(
+        B.membership(spark, d),
+        B.attributes(spark, d, metrics=["overall_rating"]),
+        B.matches(spark, d),
+        B.all_teams(spark, d),
+    ),
+}
+
+
+@pytest.mark.parametrize("name", list(SPLIT))
+def test_no_task_gets_a_third_of_the_rows(shuffling, skewed, name):
+    """The largest partition of the result's last join stays near the others under skew."""
+    df = SPLIT[name](shuffling, skewed)
+    df.collect()
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= max(3 * sum(sizes) / len(sizes), 50)

@@ -77,3 +77,17 @@ def test_long_document(spark):
     doc = goal(*[f"<id>{i}</id><elapsed>{i % 90}</elapsed>" for i in range(5000)])
     df = spark.createDataFrame([(5, doc)], SCHEMA)
     assert xml_events(df, "doc", ["match_id"]).count() == 5000
+
+
+def test_each_document_is_parsed_once(spark, tmp_path):
+    rows_ = [(i, goal(FULL) if i % 3 else None) for i in range(20)]
+    spark.createDataFrame(rows_, SCHEMA).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for df in (
+        xml_events(docs, "doc", ["match_id"]),
+        xml_events(docs, "doc", ["match_id"], strict=True),
+        xml_rejects(docs, "doc", ["match_id"]),
+        xml_events(docs, "doc", ["match_id"]).join(docs, "match_id").where("team_id = 7"),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_xml(") == 1, plan

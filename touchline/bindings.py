@@ -15,8 +15,7 @@ from touchline.functions.seasons import season_label
 from touchline.plans import normalize as N
 from touchline.schemas import METRICS, SLOTS, UNUSED_MATCH_COLUMNS
 
-# Line numbers run to seven, so slots 8 to 11 stay empty.
-LINE_SLOTS = 7
+# Lines flagged N are not played.
 SIDES = {"home": "A", "away": "R"}
 
 # Measurements move 12 years ahead and match labels 13, so that season ids 2..5 are 2008/2009
@@ -99,10 +98,10 @@ def _goal_document() -> str:
     """XML from the filled slots; some players and teams are left out, as in real feeds."""
 
     def values(side: str, away: int) -> str:
-        slots = ", ".join(f"{side}_player_{i}" for i in range(1, LINE_SLOTS + 1))
+        slots = ", ".join(f"{side}_player_{i}" for i in range(1, SLOTS + 1))
         return f"""
             transform(array({slots}), (player, i) -> CASE WHEN player IS NOT NULL THEN concat(
-                '<value><id>', match_api_id * 100 + i + {1 + 10 * away}, '</id>',
+                '<value><id>', match_api_id * 100 + i + {1 + 20 * away}, '</id>',
                 '<elapsed>', i * 10 + {10 + 5 * away}, '</elapsed>',
                 if(player % 9 = 4, '', concat('<player1>', player, '</player1>')),
                 if(player % 11 = 7, '', concat('<team>', {side}_team_api_id, '</team>')),
@@ -117,22 +116,37 @@ def _plain_matches(spark: SparkSession, sf_dir: str, lineups: bool = True) -> Da
     """One row per order that has lines, wide when ``lineups`` are wanted.
 
     The lines are folded per order first, so the joins move one row per order. Every aggregate has
-    a fixed size.
+    a fixed size. A line's slot is its place among the lines of its order and flag, by line number
+    and part; more lines than slots are an error.
     """
     goals = [
         f"CAST(count_if(l_returnflag = '{flag}') AS INT) AS {side}_team_goal"
         for side, flag in SIDES.items()
     ]
     slots = [
-        f"min(l_partkey) FILTER (WHERE l_returnflag = '{flag}' AND l_linenumber = {slot})"
+        f"min(l_partkey) FILTER (WHERE l_returnflag = '{flag}' AND slot = {slot})"
         f" AS {side}_player_{slot}"
         for side, flag in SIDES.items()
-        for slot in range(1, LINE_SLOTS + 1)
+        for slot in range(1, SLOTS + 1)
         if lineups
     ]
+    lines = table(spark, sf_dir, "lineitem")
+    if lineups:
+        # One window per order, so that the folding below needs no shuffle of its own.
+        along = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING"
+        places = " ".join(
+            f"WHEN '{flag}' THEN count_if(l_returnflag = '{flag}') OVER ({along})"
+            for flag in SIDES.values()
+        )
+        lines = lines.selectExpr(
+            "l_orderkey", "l_suppkey", "l_returnflag", "l_partkey",
+            f"CASE l_returnflag {places} END AS place",
+        ).withColumn(
+            "slot",
+            F.expr(f"if(place > {SLOTS}, raise_error('a side has more than {SLOTS} lines'), place)"),
+        )
     per_order = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
+        lines.groupBy("l_orderkey")
         .agg(*[F.expr(e) for e in ["min(l_suppkey) AS s_suppkey", *goals, *slots]])
         .withColumnRenamed("l_orderkey", "o_orderkey")
     )
@@ -153,19 +167,13 @@ def _plain_matches(spark: SparkSession, sf_dir: str, lineups: bool = True) -> Da
     ]
     if not lineups:
         return joined.selectExpr(*match)
-    filled = [f"{side}_player_{i}" for side in SIDES for i in range(1, LINE_SLOTS + 1)]
-    empty = [
-        f"CAST(NULL AS BIGINT) AS {side}_player_{i}"
-        for side in SIDES
-        for i in range(LINE_SLOTS + 1, SLOTS + 1)
-    ]
+    filled = [f"{side}_player_{i}" for side in SIDES for i in range(1, SLOTS + 1)]
     unused = [c for c in UNUSED_MATCH_COLUMNS if c not in ("country_id", "stage")]
     return joined.selectExpr(
         *match,
         "month(o_orderdate) AS stage",
         f"{moment} AS date",
         *filled,
-        *empty,
         *[f"o_orderpriority AS `{c}`" for c in unused],
     )
 

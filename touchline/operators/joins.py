@@ -25,12 +25,16 @@ def salted_join(
     how: str = "inner",
     spread_by: Sequence[str] | None = None,
     salts: int = SALTS,
+    distinct: bool = False,
 ) -> DataFrame:
     """Equi-join a long fact table to a much shorter table, spreading every key over ``salts`` tasks.
 
     The salt of a fact row is a hash of ``spread_by`` (all other columns by default), so a
     retried task sends the row to the same place. ``dim`` is repeated once per salt. When
-    ``dim`` is under the broadcast threshold the planner still broadcasts it.
+    ``dim`` is under the broadcast threshold the planner still broadcasts it. ``distinct`` drops
+    repeated rows after the join without another shuffle: equal rows share key and salt, provided
+    that ``dim`` has a key once and adds no columns. A fact of key columns only has nothing to
+    spread by and is refused; join it plainly.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join: dim rows are repeated")
@@ -38,17 +42,24 @@ def salted_join(
         raise ValueError("salts must be a power of two")
     spread = ", ".join(quoted(spread_by or [c for c in fact.columns if c not in on]))
     if not spread:
-        return fact.join(dim, list(on), how)
+        raise ValueError("nothing to spread the rows by: the fact has key columns only")
     salted = fact.selectExpr("*", f"CAST(xxhash64({spread}) & {salts - 1} AS INT) AS _salt")
     repeated = dim.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    joined = salted.join(repeated, [*on, "_salt"], how)
+    return (joined.distinct() if distinct else joined).drop("_salt")
 
 
-def keep_known(df: DataFrame, keys: DataFrame, on: str, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``on`` occurs in ``keys[key]`` (EXISTS).
+def keep_known(
+    df: DataFrame, keys: DataFrame, on: str, key: str, distinct: bool = False
+) -> DataFrame:
+    """Rows of ``df`` whose ``on`` occurs in ``keys[key]`` (EXISTS), each once if ``distinct``.
 
     Key values are made unique before they travel, so copies on that side cost nothing. An inner
     join, because a semi join would be moved below a DISTINCT of ``df`` and meet its copies.
     """
     unique = keys.selectExpr(f"{key} AS {on}").distinct()
-    return salted_join(df, unique, [on], salts=FEW_SALTS).select(*df.columns)
+    # Adaptive execution splits a hot key of a join, but not where DISTINCT needs the rows of a key
+    # together; there the salts alone have to spread it.
+    salts = SALTS if distinct else FEW_SALTS
+    known = salted_join(df, unique, [on], salts=salts, distinct=distinct)
+    return known.select(*df.columns)

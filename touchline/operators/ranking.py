@@ -15,13 +15,10 @@ def top_k(df: DataFrame, by: str, tie_break: Sequence[str], k: int = 1) -> DataF
     ).limit(k)
 
 
-def argmax_with_ties(df: DataFrame, metric: str, within: str | None = None) -> DataFrame:
-    """All rows whose ``metric`` equals the maximum, overall or per value of ``within``.
+def argmax_with_ties(df: DataFrame, metric: str) -> DataFrame:
+    """All rows whose ``metric`` equals the maximum.
 
     The maximum is a plain aggregate joined back, so no group is ever gathered in one task.
     """
-    if within is None:
-        best = df.agg(F.max(metric).alias(metric))
-        return df.join(F.broadcast(best), metric).select(*df.columns)
-    best = df.groupBy(within).agg(F.max(metric).alias(metric))
-    return df.join(best, [within, metric]).select(*df.columns)
+    best = df.agg(F.max(metric).alias(metric))
+    return df.join(F.broadcast(best), metric).select(*df.columns)

@@ -32,10 +32,6 @@ def _parsed(df: DataFrame, document: str, keep: Sequence[str], strict: bool) ->
     return df.where(f"{document} IS NOT NULL").selectExpr(*keep, read)
 
 
-def _events(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return parsed.selectExpr(*keep, "inline(_doc.value)")
-
-
 def xml_events(
     df: DataFrame, document: str, keep: Sequence[str], strict: bool = False
 ) -> DataFrame:
@@ -46,37 +42,51 @@ def xml_events(
     malformed document gives nothing, an event without readable id or minute is left out, and an
     unreadable player or team becomes NULL; :func:`xml_rejects` lists all of these.
     """
-    events = _events(_parsed(df, document, keep, strict), keep)
+    parsed = _parsed(df, document, keep, strict)
     if not strict:
+        # An outer generator: a plain one makes the optimizer test the document in filters of its
+        # own, each of which parses it again. The filter below removes the rows without events.
+        events = parsed.selectExpr(*keep, "inline_outer(_doc.value)")
         typed = [f"try_cast({field} AS {kind}) AS {name}" for name, field, kind, _ in _TYPED]
         found = events.selectExpr(*keep, *typed)
         return found.where("goal_id IS NOT NULL AND minute IS NOT NULL")
 
     def exact(field: str, kind: str, needed: bool) -> str:
         if needed:
-            field = f"coalesce({field}, raise_error('event without {field}'))"
+            field = f"coalesce({field}, raise_error('event without {field.removeprefix("_event.")}'))"
         return f"CAST({field} AS {kind})"
 
-    return events.selectExpr(
-        *keep, *[f"{exact(field, kind, needed)} AS {name}" for name, field, kind, needed in _TYPED]
+    events = parsed.selectExpr(*keep, "posexplode_outer(_doc.value) AS (_at, _event)")
+    return events.where("_at IS NOT NULL").selectExpr(
+        *keep,
+        *[
+            f"{exact(f'_event.{field}', kind, needed)} AS {name}"
+            for name, field, kind, needed in _TYPED
+        ],
     )
 
 
 def xml_rejects(df: DataFrame, document: str, keep: Sequence[str]) -> DataFrame:
     """What the lenient :func:`xml_events` could not read: ``keep``, ``reason``, ``content``."""
     parsed = _parsed(df, document, keep, strict=False)
-    broken = parsed.where(f"_doc.{_BROKEN} IS NOT NULL").selectExpr(
-        *keep, "'malformed document' AS reason", f"_doc.{_BROKEN} AS content"
-    )
+    # A broken document becomes one more event, so that one pass over one parse finds everything.
+    found = parsed.selectExpr(
+        *keep,
+        f"""posexplode_outer(if(_doc.{_BROKEN} IS NULL, _doc.value,
+            array(named_struct('id', NULL, 'elapsed', NULL, 'player1', NULL, 'team', NULL))))
+            AS (_at, _event)""",
+        f"_doc.{_BROKEN} AS {_BROKEN}",
+    ).selectExpr("*", "_event.*")
     missing = " OR ".join(f"{field} IS NULL" for _, field, _, needed in _TYPED if needed)
     unreadable = " OR ".join(
         f"({field} IS NOT NULL AND try_cast({field} AS {kind}) IS NULL)"
         for _, field, kind, _ in _TYPED
     )
-    bad = _events(parsed, keep).selectExpr(
+    return found.selectExpr(
         *keep,
-        f"CASE WHEN {missing} THEN 'missing id or minute' "
-        f"WHEN {unreadable} THEN 'non-numeric field' END AS reason",
-        "to_json(struct(id, elapsed, player1, team)) AS content",
-    )
-    return broken.unionByName(bad.where("reason IS NOT NULL"))
+        f"""CASE WHEN {_BROKEN} IS NOT NULL THEN 'malformed document'
+            WHEN _at IS NULL THEN NULL
+            WHEN {missing} THEN 'missing id or minute'
+            WHEN {unreadable} THEN 'non-numeric field' END AS reason""",
+        f"coalesce({_BROKEN}, to_json(struct(id, elapsed, player1, team))) AS content",
+    ).where("reason IS NOT NULL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.reshape import pivot_mean, pivot_strict
 from touchline.operators.sides import match_sides, team_matches
+from touchline.plans.questions import FIRST_SEASON, LAST_SEASON
 
 # Fixed value: head room above the tallest bar.
 AXIS_HEADROOM = 1.1
@@ -16,7 +17,7 @@ AXIS_HEADROOM = 1.1
 
 def _labelled(per_team_season: DataFrame, teams: DataFrame, seasons: DataFrame) -> DataFrame:
     named = per_team_season.join(teams.selectExpr("team_id", "long_name AS team_name"), "team_id")
-    return named.join(F.broadcast(seasons.select("season_id", "season")), "season_id")
+    return named.join(seasons.select("season_id", "season"), "season_id")
 
 
 def team_season_goals(matches: DataFrame, teams: DataFrame, seasons: DataFrame) -> DataFrame:
@@ -56,6 +57,14 @@ def home_away_goals(matches: DataFrame, teams: DataFrame, seasons: DataFrame) ->
     )
 
 
+def period_labels(
+    seasons: DataFrame, first: int = FIRST_SEASON, last: int = LAST_SEASON
+) -> list[str]:
+    """Labels of the seasons ``first..last`` in their order; the driver gets a hundred at most."""
+    rows = seasons.where(f"season_id BETWEEN {first} AND {last}").orderBy("season_id")
+    return [r.season for r in rows.select("season").limit(100).collect()]
+
+
 def team_by_season_mean(
     chart: DataFrame, values: str, seasons: Sequence[str] | None = None
 ) -> DataFrame:

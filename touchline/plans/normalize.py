@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from touchline.functions.seasons import season_label
 from touchline.operators.joins import FEW_SALTS, keep_known, quoted, salted_join
 from touchline.operators.keys import contiguous_ids, label_ids
-from touchline.operators.xml_events import xml_events
+from touchline.operators.xml_events import xml_events, xml_rejects
 from touchline.schemas import SLOTS, UNUSED_MATCH_COLUMNS, slot_columns
 from touchline.session import stage
 
@@ -162,14 +162,14 @@ def squad_seasons(squad: DataFrame, seasons: DataFrame) -> DataFrame:
 
 def squad_players(raw: DataFrame, squad: DataFrame) -> DataFrame:
     """Distinct players that belong to any squad; further feed columns pass through."""
-    players = raw.distinct().withColumnRenamed("player_api_id", "player_id")
-    return keep_known(players, squad, "player_id", "player_id")
+    players = raw.withColumnRenamed("player_api_id", "player_id")
+    return keep_known(players, squad, "player_id", "player_id", distinct=True)
 
 
 def dated_attributes(raw: DataFrame, players: DataFrame, ordered: bool = True) -> DataFrame:
     """Distinct measurements of known players, numbered by player and date, with season label."""
-    rows = raw.distinct().withColumnRenamed("player_api_id", "player_id")
-    known = keep_known(rows, players, "player_id", "player_id")
+    rows = raw.withColumnRenamed("player_api_id", "player_id")
+    known = keep_known(rows, players, "player_id", "player_id", distinct=True)
     rest = quoted([c for c in known.columns if c not in ("player_id", "date")])
     labelled = known.selectExpr("player_id", f"{season_label('date')} AS season", "date", *rest)
     order = ["player_id", "date", *rest] if ordered else None
@@ -191,7 +191,7 @@ def with_season_id(df: DataFrame, seasons: DataFrame) -> DataFrame:
     The label stays, so rows of unknown seasons can still be matched with each other.
     """
     place = df.columns.index("season") + 1
-    return df.join(F.broadcast(seasons.select("season", "season_id")), "season", "left").select(
+    return df.join(seasons.select("season", "season_id"), "season", "left").select(
         *df.columns[:place], "season_id", *df.columns[place:]
     )
 
@@ -245,11 +245,12 @@ def normalize(
     selected = None if country is None else nations
     matches = league_matches(feed["matches"], selected)
     fixture_rows = fixtures(matches)
-    teams = home_teams(feed["teams"], fixture_rows)
+    teams = stage(home_teams(feed["teams"], fixture_rows), "teams")
     squad = squad_ids(squad_membership(matches, teams, slots), ordered_ids)
-    players = squad_players(feed["players"], squad)
+    players = stage(squad_players(feed["players"], squad), "players")
     attributes = dated_attributes(feed["player_attributes"], players, ordered_ids)
     seasons = stage(season_dimension(attributes), "seasons")
+    documents = matches.selectExpr("match_api_id AS match_id", "season", "goal")
     return {
         "countries": nations,
         "leagues": leagues(feed["leagues"], selected),
@@ -263,4 +264,5 @@ def normalize(
         "player_attributes": with_season_id(attributes, seasons),
         "seasons": seasons,
         "goals": resolve_goals(goal_events(matches, strict_goals), squad),
+        "goal_rejects": xml_rejects(documents, "goal", ["match_id"]),
     }

@@ -46,7 +46,7 @@ def season_matches(
     period = f"season_id BETWEEN {first} AND {last}"
     inside = matches.where(period)
     if seasons is not None:
-        inside = inside.join(F.broadcast(seasons.where(period).select("season_id")), "season_id")
+        inside = inside.join(seasons.where(period).select("season_id"), "season_id")
     if fixtures is not None:
         inside = inside.join(fixtures, "match_id")
     return inside.select(*_MATCH_COLUMNS)
@@ -79,7 +79,7 @@ def most_outcomes_by_year(
     per_team = (
         rows.groupBy("season_id", "team_id")
         .agg(F.expr("count(match_id) AS n"))
-        .join(F.broadcast(seasons), "season_id")
+        .join(seasons, "season_id")
         .selectExpr("*", f"{label_year('season')} AS year")
         .where(f"year IN ({', '.join(str(int(y)) for y in years)})")
     )

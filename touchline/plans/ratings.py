@@ -117,7 +117,7 @@ def leader_by_metric(
     whether there is one.
     """
     top = top_team.selectExpr("long_name", "true AS _top")
-    flagged = grand_totals.join(F.broadcast(top), "long_name", "left")
+    flagged = grand_totals.join(top, "long_name", "left")
     long = flagged.unpivot(["_top"], list(metrics), "metric", "total")
     per_metric = long.groupBy("metric").agg(
         F.expr("max(total) AS _best"), F.expr("max(total) FILTER (WHERE _top) AS _own")

@@ -1,452 +1,373 @@
-"""SQL for each registered query, written the long way round where that is affordable.
+"""SQL for each registered query, written from the questions and not from the jobs.
 
-Joins fan out, scalar subqueries and OR joins stay, and nothing is aggregated ahead of a join,
-so that the rewritten Spark jobs are checked against independent text.
+The feed is spelled out here once more with its own constants, so that a wrong one can't agree
+with itself. Questions about teams are scalar subqueries per team, best-ofs are ranks, memberships
+are EXISTS, and sums over pairs are counted pairs.
 """
 
 from __future__ import annotations
 
-from touchline.bindings import LINE_SLOTS, MATCH_SHIFT, MEASURED_SHIFT, METRIC_EXPRS, SIDES
-from touchline.plans.questions import YEARS
-from touchline.registry.queries import COUNTRY, SEASONS, TEAM
-from touchline.schemas import METRICS, SLOTS, UNUSED_MATCH_COLUMNS
+from touchline.schemas import METRICS
 
-PERIOD = "season_id BETWEEN 2 AND 5"
+_SLOTS = [(side, i) for side in ("home", "away") for i in range(1, 12)]
+_LABELS = ["2008/2009", "2009/2010", "2010/2011", "2011/2012"]
+_METRICS = ", ".join(METRICS)
 
 
-def _date(column: str, years: int) -> str:
-    return f"strftime({column} + INTERVAL {years} YEAR, '%Y-%m-%d')"
+def _metric(position: int, name: str) -> str:
+    return {
+        "overall_rating": "CAST(l_quantity AS INTEGER)",
+        "potential": "l_linenumber",
+        "crossing": "CAST(round(100 * l_discount) AS INTEGER)",
+        "marking": "CAST(round(100 * l_tax) AS INTEGER)",
+    }.get(name, f"CAST((l_suppkey + {position} * l_linenumber) % 100 AS INTEGER)")
 
 
-def _label(column: str, years: int) -> str:
-    digits = f"CAST(substr({_date(column, years)}, 3, 2) AS INTEGER)"
-    return f"printf('20%02d/20%02d', {digits}, {digits} + 1)"
+def _event(side: str, slot: int) -> str:
+    code, minute = (slot, 10 * slot) if side == "home" else (20 + slot, 10 * slot + 5)
+    player = f"{side}_player_{slot}"
+    return f"""CASE WHEN {player} IS NOT NULL THEN concat('<value><id>', 100 * match_id + {code},
+        '</id><elapsed>{minute}</elapsed>',
+        CASE WHEN {player} % 9 <> 4 THEN concat('<player1>', {player}, '</player1>') END,
+        CASE WHEN {player} % 11 <> 7 THEN concat('<team>', {side}, '</team>') END,
+        '</value>', chr(10), '<!-- "next" -->') END"""
 
 
-def _slots() -> list[tuple[str, int]]:
-    return [(side, slot) for side in SIDES for slot in range(1, LINE_SLOTS + 1)]
-
-
-def _document() -> str:
-    parts = []
-    for side, slot in _slots():
-        player, away = f"{side}_player_{slot}", int(side == "away")
-        parts.append(
-            f"""CASE WHEN {player} IS NULL THEN '' ELSE
-            '<value><id>' || (match_api_id * 100 + {slot + 10 * away}) || '</id>'
-            || '<elapsed>{10 * slot + 5 * away}</elapsed>'
-            || CASE WHEN {player} % 9 = 4 THEN '' ELSE '<player1>' || {player} || '</player1>' END
-            || CASE WHEN {player} % 11 = 7 THEN ''
-                    ELSE '<team>' || {side}_team_api_id || '</team>' END
-            || '</value>' || chr(10) || '<!-- "next" -->' END"""
-        )
-    return "'<goal>' || nullif(" + " || ".join(parts) + ", '') || '</goal>'"
-
-
-_PLAYERS = ", ".join(
-    f"min(l_partkey) FILTER (WHERE l_returnflag = '{SIDES[side]}' AND l_linenumber = {slot})"
-    f" AS {side}_player_{slot}"
-    for side, slot in _slots()
-)
-_SLOT_COLUMNS = ", ".join(
-    f"{side}_player_{slot}" if slot <= LINE_SLOTS else f"CAST(NULL AS BIGINT) AS {side}_player_{slot}"
-    for side in SIDES
-    for slot in range(1, SLOTS + 1)
-)
-_SLOT_ROWS = " UNION ALL ".join(
-    f"SELECT match_api_id AS match_id, season, '{side}' AS side, {slot} AS slot,"
-    f" {side}_team_api_id AS team_id, {side}_player_{slot} AS player_id"
-    f" FROM raw_matches WHERE {side}_player_{slot} IS NOT NULL"
-    for side, slot in _slots()
-)
-_EVENT_ROWS = " UNION ALL ".join(
-    f"""SELECT match_api_id AS match_id, season,
-        match_api_id * 100 + {slot + 10 * (side == "away")} AS goal_id,
-        {10 * slot + 5 * (side == "away")} AS minute,
-        CASE WHEN {side}_player_{slot} % 9 <> 4 THEN {side}_player_{slot} END AS player_id,
-        CASE WHEN {side}_player_{slot} % 11 <> 7 THEN {side}_team_api_id END AS team_id
-        FROM raw_matches WHERE {side}_player_{slot} IS NOT NULL"""
-    for side, slot in _slots()
+_WIDE = ", ".join(
+    f"max(player) FILTER (slot = {i} AND at_home = {side == 'home'}) AS {side}_player_{i}"
+    for side, i in _SLOTS
 )
-_UNUSED = ", ".join(
-    f'o_orderpriority AS "{c}"' for c in UNUSED_MATCH_COLUMNS if c not in ("country_id", "stage")
-)
-
-_VIEWS = f"""
-WITH seasons AS (
-    SELECT CAST(row_number() OVER (ORDER BY season) AS INTEGER) AS season_id, season
-    FROM (SELECT DISTINCT {_label("l_shipdate", MEASURED_SHIFT)} AS season FROM lineitem)
-),
-per_order AS (
-    SELECT l_orderkey, min(l_suppkey) AS away_supplier,
-           CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS INTEGER) AS home_team_goal,
-           CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS INTEGER) AS away_team_goal,
-           {_PLAYERS}
-    FROM lineitem GROUP BY l_orderkey
-),
-raw_matches_plain AS (
-    SELECT o_orderkey AS match_api_id,
-           CAST(n_regionkey AS BIGINT) AS league_id, CAST(n_regionkey AS BIGINT) AS country_id,
-           {_label("o_orderdate", MATCH_SHIFT)} AS season,
-           CAST(month(o_orderdate) AS INTEGER) AS stage,
-           {_date("o_orderdate", MATCH_SHIFT)} AS date,
-           CAST(c_nationkey AS BIGINT) AS home_team_api_id,
-           CAST(s_nationkey AS BIGINT) AS away_team_api_id,
-           home_team_goal, away_team_goal, {_SLOT_COLUMNS}, {_UNUSED}
-    FROM per_order JOIN orders ON l_orderkey = o_orderkey
-    JOIN customer ON o_custkey = c_custkey JOIN supplier ON away_supplier = s_suppkey
-    JOIN nation ON c_nationkey = n_nationkey
-),
-raw_matches AS (SELECT *, {_document()} AS goal FROM raw_matches_plain),
-matches AS (
-    SELECT match_api_id AS match_id, season, season_id, home_team_goal AS home_goals,
-           away_team_goal AS away_goals
-    FROM raw_matches_plain LEFT JOIN seasons USING (season)
-),
-fixtures AS (
-    SELECT DISTINCT match_api_id AS match_id, home_team_api_id AS home_team_id,
-           away_team_api_id AS away_team_id FROM raw_matches_plain
-),
-period AS (
-    SELECT m.match_id, m.season_id, home_goals, away_goals, home_team_id, away_team_id
-    FROM matches m JOIN seasons s ON s.season_id = m.season_id
-    JOIN fixtures f ON f.match_id = m.match_id
-    WHERE s.season_id BETWEEN 2 AND 5
-),
-teams AS (
-    SELECT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS long_name FROM nation
-),
-players AS (SELECT p_partkey AS player_id, p_name AS player_name FROM part),
-slot_rows AS ({_SLOT_ROWS}),
-membership AS (SELECT DISTINCT team_id, player_id, season FROM slot_rows),
+_PLAYERS = ", ".join(f"{side}_player_{i}" for side, i in _SLOTS)
+
+_FEED = f"""
+WITH line AS (
+    SELECT *, (year(l_shipdate) + 12) % 100 AS yy,
+        strftime(l_shipdate + INTERVAL 12 YEAR, '%Y-%m-%d') AS day,
+        {", ".join(f"{_metric(i, m)} AS {m}" for i, m in enumerate(METRICS))}
+    FROM lineitem),
+season AS (
+    SELECT yy, CAST(rank() OVER (ORDER BY yy) AS INTEGER) AS season_id,
+        format('20{{:02d}}/20{{:02d}}', yy, yy + 1) AS label
+    FROM (SELECT yy FROM line GROUP BY yy)),
+rated AS (SELECT * FROM line JOIN season USING (yy) WHERE season_id IN (2, 3, 4, 5)),
+club AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation),
+every_game AS (
+    SELECT o_orderkey AS match_id, (year(o_orderdate) + 13) % 100 AS yy, o_orderdate,
+        o_orderpriority, CAST(c_nationkey AS BIGINT) AS home,
+        CAST((SELECT s_nationkey FROM supplier WHERE s_suppkey = lowest) AS BIGINT) AS away,
+        hg, ag
+    FROM (SELECT l_orderkey, min(l_suppkey) AS lowest,
+              CAST(sum(CASE l_returnflag WHEN 'A' THEN 1 ELSE 0 END) AS INTEGER) AS hg,
+              CAST(sum(CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END) AS INTEGER) AS ag
+          FROM line GROUP BY l_orderkey), orders, customer
+    WHERE o_orderkey = l_orderkey AND c_custkey = o_custkey),
+labelled AS (
+    SELECT g.*, format('20{{:02d}}/20{{:02d}}', yy, yy + 1) AS label, season_id
+    FROM every_game g LEFT JOIN season USING (yy)),
+game AS (
+    SELECT *, CASE sign(hg - ag) WHEN 1 THEN home WHEN -1 THEN away END AS winner,
+        CASE sign(hg - ag) WHEN 1 THEN away WHEN -1 THEN home END AS loser
+    FROM labelled WHERE season_id IN (2, 3, 4, 5)),
+seat AS (
+    SELECT match_id, label, g.yy, season_id, l_partkey AS player, l_returnflag = 'A' AS at_home,
+        CASE l_returnflag WHEN 'A' THEN home ELSE away END AS team,
+        row_number() OVER (PARTITION BY l_orderkey, l_returnflag
+            ORDER BY l_linenumber, l_partkey) AS slot
+    FROM line l JOIN labelled g ON match_id = l_orderkey WHERE l_returnflag IN ('A', 'R')),
+sheet AS (
+    SELECT g.*, {_PLAYERS}
+    FROM labelled g LEFT JOIN (SELECT match_id, {_WIDE} FROM seat GROUP BY match_id)
+    USING (match_id)),
+told AS (
+    SELECT *, '<goal>' || nullif(concat({", ".join(_event(*s) for s in _SLOTS)}), '') || '</goal>'
+        AS goal
+    FROM sheet),
+member AS (SELECT team, player, label, yy, season_id FROM seat GROUP BY ALL),
 squad AS (
-    SELECT row_number() OVER (ORDER BY team_id, player_id, season) AS member_id,
-           team_id, player_id, season
-    FROM membership
-),
-squad_seasons AS (
-    SELECT member_id, squad.season, season_id FROM squad LEFT JOIN seasons USING (season)
-),
-raw_attributes AS (
-    SELECT l_partkey AS player_id, l_suppkey AS player_fifa_api_id,
-           {_date("l_shipdate", MEASURED_SHIFT)} AS date,
-           {_label("l_shipdate", MEASURED_SHIFT)} AS season, {", ".join(METRIC_EXPRS)}
-    FROM lineitem
-),
-attributes AS (SELECT a.*, season_id FROM raw_attributes a LEFT JOIN seasons USING (season)),
-events_found AS ({_EVENT_ROWS}),
+    SELECT count(*) OVER (ORDER BY team, player, label) AS member_id, * FROM member),
+event AS (
+    SELECT match_id, label, team, player, season_id, slot, at_home,
+        100 * match_id + slot + CASE WHEN at_home THEN 0 ELSE 20 END AS goal_id,
+        CAST(10 * slot + CASE WHEN at_home THEN 0 ELSE 5 END AS INTEGER) AS minute
+    FROM seat),
+tally AS (
+    SELECT id AS team_id, name,
+        (SELECT sum(hg) FROM game WHERE home = id) AS at_home,
+        (SELECT sum(ag) FROM game WHERE away = id) AS on_the_road,
+        (SELECT sum(ag) FROM game WHERE away = id AND home <> id) AS as_guest,
+        (SELECT sum(ag) FROM game WHERE home = id) AS let_in_at_home,
+        (SELECT sum(hg) FROM game WHERE away = id AND home <> id) AS let_in_as_guest,
+        (SELECT count(*) FROM game WHERE id IN (home, away)) AS games
+    FROM club),
 goals AS (
-    SELECT goal_id, minute, e.match_id, s.member_id
-    FROM events_found e JOIN matches m ON m.match_id = e.match_id
-    JOIN teams t ON t.team_id = e.team_id
-    JOIN squad s ON s.team_id = e.team_id AND s.player_id = e.player_id
-    JOIN squad_seasons ss ON ss.member_id = s.member_id AND ss.season = m.season
-),
-goal_sums AS (
-    SELECT t.team_id, t.long_name,
-           SUM(CASE WHEN p.home_team_id = t.team_id THEN p.home_goals
-                    WHEN p.away_team_id = t.team_id THEN p.away_goals END) AS goals_for,
-           SUM(CASE WHEN p.home_team_id = t.team_id THEN p.away_goals
-                    WHEN p.away_team_id = t.team_id THEN p.home_goals END) AS goals_against
-    FROM teams t JOIN period p ON t.team_id = p.home_team_id OR t.team_id = p.away_team_id
-    GROUP BY t.team_id, t.long_name
-),
-side_goals AS (
-    SELECT SUM(home_goals) AS goals, home_team_id AS team_id FROM period GROUP BY home_team_id
-    UNION ALL
-    SELECT SUM(away_goals) AS goals, away_team_id AS team_id FROM period GROUP BY away_team_id
-),
-top_team AS (
-    SELECT CAST(SUM(goals) AS BIGINT) AS goals, long_name
-    FROM side_goals JOIN teams USING (team_id)
-    GROUP BY long_name ORDER BY goals DESC, long_name LIMIT 1
-),
-player_wins AS (
-    SELECT j.player_id, j.player_name, COUNT(*) AS wins
-    FROM players j JOIN squad s ON s.player_id = j.player_id
-    JOIN squad_seasons ss ON ss.member_id = s.member_id
-    JOIN teams t ON t.team_id = s.team_id
-    JOIN period p ON t.team_id = p.home_team_id OR t.team_id = p.away_team_id
-    WHERE ss.season_id = p.season_id
-      AND ((p.home_team_id = t.team_id AND p.home_goals > p.away_goals)
-        OR (p.away_team_id = t.team_id AND p.away_goals > p.home_goals))
-    GROUP BY j.player_id, j.player_name
-),
-player_clubs AS (
-    SELECT j.player_id, j.player_name, COUNT(DISTINCT s.team_id) AS n_teams
-    FROM players j JOIN squad s ON s.player_id = j.player_id
-    GROUP BY j.player_id, j.player_name
-),
-player_totals AS (
-    SELECT player_id, season_id, {", ".join(f"SUM({m}) AS {m}" for m in METRICS)}
-    FROM attributes WHERE {PERIOD} GROUP BY player_id, season_id
-),
-season_totals AS (
-    SELECT t.long_name, ss.season_id,
-           {", ".join(f"CAST(SUM({m}) AS DOUBLE) AS {m}" for m in METRICS)}
-    FROM player_totals a JOIN squad_seasons ss ON ss.season_id = a.season_id
-    JOIN squad s ON s.member_id = ss.member_id JOIN teams t ON t.team_id = s.team_id
-    GROUP BY t.long_name, ss.season_id
-),
-grand_totals AS (
-    SELECT long_name, {", ".join(f"SUM({m}) AS {m}" for m in METRICS)}
-    FROM season_totals GROUP BY long_name
-),
+    SELECT team_id, name, games,
+        CAST(coalesce(at_home, 0) + coalesce(as_guest, 0) AS BIGINT) AS scored,
+        CAST(coalesce(let_in_at_home, 0) + coalesce(let_in_as_guest, 0) AS BIGINT) AS let_in
+    FROM tally WHERE games > 0),
+year_tally AS (
+    SELECT id AS team_id, season_id, name, label,
+        (SELECT sum(hg) FROM game g WHERE home = id AND g.season_id = s.season_id) AS at_home,
+        (SELECT sum(ag) FROM game g WHERE away = id AND g.season_id = s.season_id) AS on_the_road,
+        (SELECT count(*) FROM game g WHERE id IN (home, away) AND g.season_id = s.season_id)
+            AS games,
+        (SELECT sum(CASE id WHEN home THEN hg ELSE ag END) FROM game g
+         WHERE id IN (home, away) AND g.season_id = s.season_id) AS scored,
+        (SELECT sum(CASE id WHEN home THEN ag ELSE hg END) FROM game g
+         WHERE id IN (home, away) AND g.season_id = s.season_id) AS let_in
+    FROM club, season s WHERE season_id IN (2, 3, 4, 5)),
 chart AS (
-    SELECT t.team_id, p.season_id,
-           CAST(SUM(CASE WHEN p.home_team_id = t.team_id THEN p.home_goals
-                         ELSE p.away_goals END) AS BIGINT) AS goals_for,
-           CAST(SUM(CASE WHEN p.home_team_id = t.team_id THEN p.away_goals
-                         ELSE p.home_goals END) AS BIGINT) AS goals_against,
-           AVG(CASE WHEN p.home_team_id = t.team_id THEN p.home_goals
-                    ELSE p.away_goals END) AS avg_goals,
-           t.long_name AS team_name, s.season
-    FROM teams t JOIN period p ON t.team_id = p.home_team_id OR t.team_id = p.away_team_id
-    JOIN seasons s ON s.season_id = p.season_id
-    GROUP BY t.team_id, p.season_id, t.long_name, s.season
-),
-sides_chart AS (
-    SELECT team_id, season_id, home_goals, away_goals,
-           home_goals - away_goals AS home_minus_away, team_name, season
-    FROM (
-        SELECT t.team_id, p.season_id, t.long_name AS team_name, s.season,
-               CAST(SUM(CASE WHEN p.home_team_id = t.team_id THEN p.home_goals END) AS BIGINT)
-                   AS home_goals,
-               CAST(SUM(CASE WHEN p.away_team_id = t.team_id THEN p.away_goals END) AS BIGINT)
-                   AS away_goals
-        FROM teams t JOIN period p ON t.team_id = p.home_team_id OR t.team_id = p.away_team_id
-        JOIN seasons s ON s.season_id = p.season_id
-        GROUP BY t.team_id, p.season_id, t.long_name, s.season
-    )
-)
+    SELECT team_id, season_id, CAST(scored AS BIGINT) AS goals_for,
+        CAST(let_in AS BIGINT) AS goals_against, CAST(scored AS DOUBLE) / games AS avg_goals,
+        name AS team_name, label AS season
+    FROM year_tally WHERE games > 0),
+sides AS (
+    SELECT team_id, season_id, CAST(at_home AS BIGINT) AS home_goals,
+        CAST(on_the_road AS BIGINT) AS away_goals,
+        CAST(at_home - on_the_road AS BIGINT) AS home_minus_away, name AS team_name,
+        label AS season
+    FROM year_tally WHERE games > 0),
+best_team AS (
+    SELECT CAST(sum(coalesce(at_home, 0) + coalesce(on_the_road, 0)) AS BIGINT) AS goals, name
+    FROM tally WHERE games > 0 GROUP BY name ORDER BY 1 DESC, 2 LIMIT 1),
+victories AS (
+    SELECT p_partkey AS player_id, p_name AS player_name, count(*) AS wins
+    FROM part, game g
+    WHERE EXISTS (SELECT 1 FROM member m WHERE m.player = p_partkey AND m.team = g.winner
+                  AND m.yy = g.yy)
+    GROUP BY ALL),
+clubs AS (
+    SELECT p_partkey AS player_id, p_name AS player_name,
+        (SELECT count(*) FROM club WHERE EXISTS (
+            SELECT 1 FROM member WHERE team = id AND player = p_partkey)) AS n_teams
+    FROM part),
+whole_season AS (
+    SELECT season_id, {", ".join(f"sum({m}) AS {m}" for m in METRICS)}
+    FROM rated GROUP BY season_id),
+headcount AS (
+    SELECT name AS long_name, season_id, count(*) AS n
+    FROM member JOIN club ON id = team WHERE season_id IN (2, 3, 4, 5) GROUP BY ALL),
+multiplied AS (
+    SELECT long_name, season_id, {", ".join(f"CAST(n * {m} AS DOUBLE) AS {m}" for m in METRICS)}
+    FROM headcount JOIN whole_season USING (season_id)),
+own AS (
+    SELECT name AS long_name, m.season_id,
+        {", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in METRICS)}
+    FROM member m JOIN club ON id = m.team JOIN rated r ON r.l_partkey = m.player AND r.yy = m.yy
+    GROUP BY ALL)
 """
 
 
-def _most_by_year(outcome_rows: str, year: int) -> str:
-    counted = f"""
-        FROM ({outcome_rows}) r JOIN seasons s ON s.season_id = r.season_id
-    """
+def _most(count: str, seasons: str) -> str:
+    """Names whose count in a season is the best count of any single id that played in it."""
     return f"""
-        SELECT COUNT(match_id) AS n, t.long_name, ANY_VALUE(s.season) AS season
-        {counted} JOIN teams t ON t.team_id = r.team_id
-        WHERE s.season LIKE '{year}/20%'
-        GROUP BY t.long_name
-        HAVING COUNT(match_id) = (
-            SELECT MAX(n) FROM (
-                SELECT COUNT(match_id) AS n {counted}
-                WHERE s.season LIKE '{year}/20%' GROUP BY r.team_id))
-    """
-
-
-_WIN_ROWS = """
-    SELECT match_id, home_team_id AS team_id, season_id FROM period WHERE home_goals > away_goals
-    UNION ALL
-    SELECT match_id, away_team_id AS team_id, season_id FROM period WHERE away_goals > home_goals
-"""
-_LOSS_ROWS = """
-    SELECT match_id, away_team_id AS team_id, season_id FROM period WHERE home_goals > away_goals
-    UNION ALL
-    SELECT match_id, home_team_id AS team_id, season_id FROM period WHERE away_goals > home_goals
-"""
-_DRAW_ROWS = """
-    SELECT match_id, home_team_id AS team_id, season_id FROM period WHERE home_goals = away_goals
-    UNION ALL
-    SELECT match_id, away_team_id AS team_id, season_id FROM period WHERE away_goals = home_goals
-"""
-
-_KEPT = ", ".join(f'"{c}"' for c in UNUSED_MATCH_COLUMNS)
-_COUNTRY_MATCHES = (
-    f"SELECT * EXCLUDE ({_KEPT}) FROM raw_matches"
-    f" WHERE league_id = (SELECT r_regionkey FROM region WHERE r_name = '{COUNTRY}')"
-)
-
-
-def _members(key: str) -> str:
+        SELECT n, name, label FROM (
+            SELECT season_id, label, name, CAST(sum({count}) AS BIGINT) AS n
+            FROM club, season s WHERE {seasons} GROUP BY ALL) totals
+        JOIN (
+            SELECT season_id, n, rank() OVER (PARTITION BY season_id ORDER BY n DESC) AS place
+            FROM (SELECT DISTINCT season_id, {count} AS n
+                  FROM season s, (SELECT home AS id FROM game UNION SELECT away FROM game)
+                  WHERE {seasons}))
+        USING (season_id, n) WHERE place = 1 AND n > 0"""
+
+
+_LOSSES = """(SELECT count(*) FROM game g WHERE loser = id AND g.season_id = s.season_id)"""
+_DRAWS = """(SELECT count(*) FILTER (home = id) + count(*) FILTER (away = id)
+    FROM game g WHERE hg = ag AND g.season_id = s.season_id)"""
+_DATE = "strftime(o_orderdate + INTERVAL 13 YEAR, '%Y-%m-%d')"
+_REGION = "(SELECT CAST(n_regionkey AS BIGINT) FROM nation WHERE n_nationkey = home)"
+_ASIAN = """home IN (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey
+    WHERE r_name = 'ASIA')"""
+
+
+def _members(same_season: str) -> str:
     return ", ".join(
-        f"(SELECT MIN(member_id) FROM squad s WHERE s.team_id = r.{side}_team_api_id"
-        f" AND s.player_id = r.{side}_player_{slot}{key}) AS {side}_member_{slot}"
-        if slot <= LINE_SLOTS
-        else f"CAST(NULL AS BIGINT) AS {side}_member_{slot}"
-        for side in SIDES
-        for slot in range(1, SLOTS + 1)
+        f"(SELECT min(member_id) FROM squad q WHERE q.team = {side}"
+        f" AND q.player = {side}_player_{i}{same_season}) AS {side}_member_{i}"
+        for side, i in _SLOTS
     )
 
 
-def _pivot(table: str, values: str, fold: str) -> str:
+def _pivot(table: str, value: str) -> str:
     cells = ", ".join(
-        f"{fold}(CASE WHEN season = '{label}' THEN {values} END) AS \"{label}\""
-        for label in SEASONS
+        f"(SELECT {value} FROM {table} c WHERE c.team_name = t.team_name AND season = '{label}')"
+        f' AS "{label}"'
+        for label in _LABELS
     )
-    return f"SELECT team_name, {cells} FROM {table} GROUP BY team_name"
+    return f"SELECT team_name, {cells} FROM (SELECT DISTINCT team_name FROM {table}) t"
 
 
-_KEYED_TOTALS = f"""
-    SELECT t.long_name, ss.season_id,
-           {", ".join(f"CAST(SUM({m}) AS BIGINT) AS {m}" for m in METRICS)}
-    FROM player_totals a JOIN squad_seasons ss ON ss.season_id = a.season_id
-    JOIN squad s ON s.member_id = ss.member_id AND s.player_id = a.player_id
-    JOIN teams t ON t.team_id = s.team_id
-    GROUP BY t.long_name, ss.season_id
-"""
-
-
-def _leader_rows(totals: str) -> str:
-    return " UNION ALL ".join(
-        f"""SELECT '{m}' AS metric, COUNT(*) AS n_rows, COUNT(*) > 0 AS is_leader
-            FROM {totals} g JOIN top_team t ON t.long_name = g.long_name
-            WHERE {m} = (SELECT MAX({m}) FROM {totals})"""
-        for m in METRICS
-    )
+def _leaders(totals: str) -> str:
+    summed = ", ".join(f"sum({m}) AS {m}" for m in METRICS)
+    return f"""
+        SELECT metric, count(*) FILTER (leads) AS n_rows, bool_or(leads) AS is_leader
+        FROM (SELECT metric, rank() OVER (PARTITION BY metric ORDER BY total DESC) = 1
+                  AND long_name = (SELECT name FROM best_team) AS leads
+              FROM (UNPIVOT (SELECT long_name, {summed} FROM {totals} GROUP BY long_name)
+                    ON {_METRICS} INTO NAME metric VALUE total))
+        GROUP BY metric"""
 
 
 _SQL = {
-    "csv_scan_roundtrip": "SELECT match_api_id, season, goal FROM raw_matches",
-    "country_leagues": f"""
-        SELECT c_name AS name, CAST(n_regionkey AS BIGINT) AS id
-        FROM customer JOIN nation ON c_nationkey = n_nationkey
-        WHERE n_regionkey = (SELECT r_regionkey FROM region WHERE r_name = '{COUNTRY}')""",
-    "league_matches": _COUNTRY_MATCHES,
-    "fixtures_distinct": "SELECT * FROM fixtures",
+    "csv_scan_roundtrip": "SELECT match_id AS match_api_id, label AS season, goal FROM told",
+    "chart_roundtrip": """
+        SELECT team_id, season_id, CAST(goals_for AS DOUBLE) AS goals_for,
+            CAST(goals_against AS DOUBLE) AS goals_against, avg_goals, team_name, season
+        FROM chart""",
+    "country_leagues": """
+        SELECT c_name AS name, CAST(n_regionkey AS BIGINT) AS id FROM customer, nation
+        WHERE n_nationkey = c_nationkey
+            AND EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_name = 'ASIA')""",
+    "league_matches": f"""
+        SELECT match_id AS match_api_id, {_REGION} AS league_id, label AS season, {_DATE} AS date,
+            home AS home_team_api_id, away AS away_team_api_id, hg AS home_team_goal,
+            ag AS away_team_goal, {_PLAYERS}, goal
+        FROM told WHERE {_ASIAN}""",
+    "fixtures_distinct": """
+        SELECT match_id, home AS home_team_id, away AS away_team_id FROM every_game""",
     "home_teams": f"""
-        SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS long_name,
-               'N' || n_nationkey AS short_name
-        FROM nation WHERE n_nationkey = (
-            SELECT DISTINCT home_team_api_id FROM ({_COUNTRY_MATCHES})
-            WHERE home_team_api_id = n_nationkey)""",
-    "wide_lineups": f"""
-        SELECT DISTINCT match_api_id AS match_id,
-               {", ".join(f"{side}_player_{i}" for side in SIDES for i in range(1, SLOTS + 1))}
-        FROM raw_matches""",
-    "squad_members": "SELECT * FROM membership",
-    "squad_ids": "SELECT * FROM squad",
+        SELECT id AS team_id, name AS long_name, concat('N', id) AS short_name FROM club
+        WHERE EXISTS (SELECT 1 FROM every_game WHERE home = id AND {_ASIAN})""",
+    "wide_lineups": f"SELECT match_id, {_PLAYERS} FROM sheet",
+    "squad_members": """
+        SELECT team AS team_id, player AS player_id, label AS season FROM member""",
+    "squad_ids": """
+        SELECT member_id, team AS team_id, player AS player_id, label AS season FROM squad""",
     "lineup_ids_season_exact": f"""
-        SELECT match_api_id AS match_id, {_members(" AND s.season = r.season")}
-        FROM raw_matches r""",
-    "lineup_ids_any": f"""
-        SELECT match_api_id AS match_id, {_members("")} FROM raw_matches r""",
-    "squad_seasons": "SELECT * FROM squad_seasons",
+        SELECT match_id, {_members(" AND q.label = sheet.label")} FROM sheet""",
+    "lineup_ids_any": f"SELECT match_id, {_members('')} FROM sheet",
+    "squad_seasons": "SELECT member_id, label AS season, season_id FROM squad",
     "players_in_squads": """
-        SELECT DISTINCT player_id, player_name FROM players p
-        WHERE EXISTS (SELECT 1 FROM squad s WHERE s.player_id = p.player_id)""",
+        SELECT p_partkey AS player_id, p_name AS player_name FROM part
+        WHERE p_partkey IN (SELECT player FROM seat)""",
     "attributes_seasoned": f"""
-        SELECT row_number() OVER (ORDER BY player_id, date, player_fifa_api_id,
-               {", ".join(METRICS)}) AS attribute_id,
-               player_id, season, season_id, {", ".join(METRICS)}
-        FROM (SELECT DISTINCT * FROM attributes a
-              WHERE EXISTS (SELECT 1 FROM players p JOIN squad s ON s.player_id = p.player_id
-                            WHERE p.player_id = a.player_id))""",
-    "season_dimension": "SELECT * FROM seasons",
-    "season_codes": "SELECT match_id, season, season_id FROM matches",
+        SELECT DISTINCT
+            dense_rank() OVER (ORDER BY l_partkey, day, l_suppkey, {_METRICS}) AS attribute_id,
+            l_partkey AS player_id, label AS season, season_id, {_METRICS}
+        FROM line JOIN season USING (yy) WHERE l_partkey IN (SELECT player FROM seat)""",
+    "season_dimension": "SELECT season_id, label AS season FROM season",
+    "season_codes": "SELECT match_id, label AS season, season_id FROM labelled",
     "update_from_join": """
-        SELECT c_custkey, COALESCE(low, c_mktsegment) AS label
-        FROM customer LEFT JOIN (
-            SELECT o_custkey, MIN(o_orderpriority) AS low FROM orders GROUP BY o_custkey)
-        ON o_custkey = c_custkey""",
-    "goal_events": "SELECT * FROM events_found",
+        SELECT c_custkey, coalesce(
+            (SELECT min(o_orderpriority) FROM orders WHERE o_custkey = c_custkey), c_mktsegment)
+            AS label
+        FROM customer""",
+    "goal_events": """
+        SELECT match_id, label AS season, goal_id, minute,
+            CASE WHEN player % 9 <> 4 THEN player END AS player_id,
+            CASE WHEN player % 11 <> 7 THEN team END AS team_id
+        FROM event""",
     "goal_rejects": """
-        SELECT match_api_id AS match_id, 'malformed document' AS reason
-        FROM raw_matches WHERE stage = 2 AND goal IS NOT NULL""",
-    "goals_resolved": "SELECT * FROM goals",
-    "season_matches": "SELECT * FROM period",
-    "most_wins": f"""
-        SELECT COUNT(match_id) AS wins, long_name
-        FROM ({_WIN_ROWS}) JOIN teams USING (team_id)
-        GROUP BY long_name ORDER BY wins DESC, long_name LIMIT 1""",
-    "most_losses_by_season": " UNION ".join(
-        f"SELECT n AS losses, long_name, season FROM ({_most_by_year(_LOSS_ROWS, year)})"
-        for year in YEARS
-    ),
+        SELECT match_id, 'malformed document' AS reason
+        FROM told WHERE month(o_orderdate) = 2 AND goal IS NOT NULL
+        UNION ALL
+        SELECT e.match_id, CASE month(o_orderdate) WHEN 5 THEN 'missing id or minute'
+            ELSE 'non-numeric field' END
+        FROM event e JOIN every_game g ON g.match_id = e.match_id
+        WHERE month(o_orderdate) IN (5, 8)""",
+    "goals_resolved": """
+        SELECT goal_id, minute, match_id,
+            (SELECT member_id FROM squad q
+             WHERE q.team = e.team AND q.player = e.player AND q.label = e.label) AS member_id
+        FROM event e WHERE player % 9 <> 4 AND player % 11 <> 7""",
+    "season_matches": """
+        SELECT match_id, season_id, hg AS home_goals, ag AS away_goals, home AS home_team_id,
+            away AS away_team_id
+        FROM game""",
+    "most_wins": """
+        SELECT CAST(sum((SELECT count(*) FROM game WHERE winner = id)) AS BIGINT) AS wins,
+            name AS long_name
+        FROM club GROUP BY name ORDER BY 1 DESC, 2 LIMIT 1""",
+    "most_losses_by_season": f"""
+        SELECT n AS losses, name AS long_name, label AS season
+        FROM ({_most(_LOSSES, "yy IN (8, 9, 10, 11)")})""",
     "set_union_distinct": """
-        SELECT season_id, home_team_id AS team_id FROM period
-        UNION SELECT season_id, away_team_id AS team_id FROM period""",
+        SELECT season_id, id AS team_id FROM season s, club
+        WHERE EXISTS (SELECT 1 FROM game g WHERE g.season_id = s.season_id AND id IN (home, away))""",
     "most_draws_last_season": f"""
-        SELECT n AS draws, long_name FROM ({_most_by_year(_DRAW_ROWS, YEARS[-1])})""",
+        SELECT n AS draws, name AS long_name FROM ({_most(_DRAWS, "yy = 11")})""",
     "team_goals": """
-        SELECT team_id, long_name, CAST(goals_for AS BIGINT) AS goals_for,
-               CAST(goals_against AS BIGINT) AS goals_against FROM goal_sums""",
+        SELECT team_id, name AS long_name, scored AS goals_for, let_in AS goals_against
+        FROM goals""",
     "most_goals_for": """
-        SELECT long_name, CAST(goals_for AS BIGINT) AS goals_for
-        FROM goal_sums ORDER BY goal_sums.goals_for DESC, team_id LIMIT 1""",
+        SELECT name AS long_name, scored AS goals_for FROM (
+            SELECT *, row_number() OVER (ORDER BY scored DESC, team_id) AS place FROM goals)
+        WHERE place = 1""",
     "best_goal_difference": """
-        SELECT long_name, CAST(goals_for - goals_against AS BIGINT) AS goal_difference
-        FROM goal_sums ORDER BY goal_difference DESC, team_id LIMIT 1""",
+        SELECT name AS long_name, scored - let_in AS goal_difference FROM (
+            SELECT *, row_number() OVER (ORDER BY scored - let_in DESC, team_id) AS place
+            FROM goals)
+        WHERE place = 1""",
     "squad_size": """
-        SELECT t.team_id, t.long_name, COUNT(DISTINCT s.player_id) AS n_players
-        FROM teams t JOIN squad s ON t.team_id = s.team_id
-        JOIN attributes a ON a.player_id = s.player_id
-        JOIN period p ON t.team_id = p.home_team_id OR t.team_id = p.away_team_id
-        WHERE a.season_id BETWEEN 2 AND 5
-        GROUP BY t.team_id, t.long_name""",
+        SELECT team_id, long_name, n_players FROM (
+            SELECT id AS team_id, name AS long_name,
+                (SELECT count(*) FROM (SELECT DISTINCT team, player FROM member)
+                 WHERE team = id AND player IN (SELECT l_partkey FROM rated)) AS n_players
+            FROM club WHERE EXISTS (SELECT 1 FROM game WHERE id IN (home, away)))
+        WHERE n_players > 0""",
     "top_scorer": """
-        SELECT goals, player_name FROM (
-            SELECT COUNT(goal_id) AS goals, s.player_id
-            FROM goals g JOIN squad s ON s.member_id = g.member_id
-            JOIN period p ON p.match_id = g.match_id
-            GROUP BY s.player_id ORDER BY goals DESC, s.player_id LIMIT 1
-        ) JOIN players USING (player_id)""",
-    "player_team_wins": "SELECT * FROM player_wins",
+        SELECT count(*) AS goals, p_name AS player_name
+        FROM event JOIN part ON p_partkey = player
+        WHERE player % 9 <> 4 AND player % 11 <> 7 AND season_id IN (2, 3, 4, 5)
+        GROUP BY player, p_name ORDER BY 1 DESC, player LIMIT 1""",
+    "player_team_wins": "SELECT * FROM victories",
     "most_team_wins": """
-        SELECT * FROM player_wins WHERE wins = (SELECT MAX(wins) FROM player_wins)""",
-    "clubs_per_player": "SELECT * FROM player_clubs",
+        SELECT player_id, player_name, wins FROM (
+            SELECT *, rank() OVER (ORDER BY wins DESC) AS place FROM victories)
+        WHERE place = 1""",
+    "clubs_per_player": "SELECT * FROM clubs WHERE n_teams > 0",
     "most_clubs": """
-        SELECT * FROM player_clubs WHERE n_teams = (SELECT MAX(n_teams) FROM player_clubs)""",
-    "stable_entities": f"""
-        SELECT o_orderkey AS player_id, o_orderpriority AS player_name
-        FROM orders JOIN (
-            SELECT l_orderkey, STDDEV(CAST(l_quantity AS INTEGER)) AS deviation
-            FROM lineitem
-            JOIN seasons ON seasons.season = {_label("l_shipdate", MEASURED_SHIFT)}
-            WHERE {PERIOD} GROUP BY l_orderkey
-        ) ON l_orderkey = o_orderkey WHERE deviation = 0""",
-    "top_scoring_team_union": "SELECT * FROM top_team",
-    "squad_metric_totals": "SELECT * FROM season_totals",
-    "squad_metric_totals_keyed": _KEYED_TOTALS,
-    "squad_metric_grand_totals": "SELECT * FROM grand_totals",
-    "leader_by_metric": _leader_rows("grand_totals"),
-    "leader_by_metric_keyed": f"""
-        , keyed_totals AS (
-            SELECT long_name, {", ".join(f"SUM({m}) AS {m}" for m in METRICS)}
-            FROM ({_KEYED_TOTALS}) GROUP BY long_name)
-        {_leader_rows("keyed_totals")}""",
+        SELECT player_id, player_name, n_teams FROM (
+            SELECT *, rank() OVER (ORDER BY n_teams DESC) AS place FROM clubs)
+        WHERE place = 1""",
+    "stable_entities": """
+        SELECT o_orderkey AS player_id, o_orderpriority AS player_name FROM orders
+        WHERE (SELECT count(*) > 1 AND min(overall_rating) = max(overall_rating)
+               FROM rated WHERE l_orderkey = o_orderkey)""",
+    "top_scoring_team_union": "SELECT goals, name AS long_name FROM best_team",
+    "squad_metric_totals": "SELECT * FROM multiplied",
+    "squad_metric_totals_keyed": "SELECT * FROM own",
+    "squad_metric_grand_totals": f"""
+        SELECT long_name, {", ".join(f"sum({m}) AS {m}" for m in METRICS)}
+        FROM multiplied GROUP BY long_name""",
+    "leader_by_metric": _leaders("multiplied"),
+    "leader_by_metric_keyed": _leaders("own"),
     "team_season_goals": "SELECT * FROM chart",
-    "pivot_goals_for": _pivot("chart", "goals_for", "AVG"),
-    "pivot_goals_against": _pivot("chart", "goals_against", "AVG"),
-    "pivot_avg_goals": _pivot("chart", "avg_goals", "AVG"),
-    "team_series": f"""
-        SELECT *, (SELECT CAST(MAX(greatest(goals_for, goals_against)) AS DOUBLE)
-                   FROM chart WHERE team_id = {TEAM}) * CAST(1.1 AS DOUBLE) AS axis_max
-        FROM chart WHERE team_id = {TEAM}""",
-    "home_away_goals": "SELECT * FROM sides_chart",
-    "pivot_home": _pivot("sides_chart", "home_goals", "MAX"),
-    "pivot_away": _pivot("sides_chart", "away_goals", "MAX"),
-    "pivot_home_away_diff": _pivot("sides_chart", "home_minus_away", "MAX"),
+    "pivot_goals_for": _pivot("chart", "CAST(goals_for AS DOUBLE)"),
+    "pivot_goals_against": _pivot("chart", "CAST(goals_against AS DOUBLE)"),
+    "pivot_avg_goals": _pivot("chart", "avg_goals"),
+    "team_series": """
+        SELECT *, 1.1::DOUBLE * (
+            SELECT max(g) FROM (SELECT goals_for AS g FROM chart WHERE team_id = 7
+                                UNION ALL SELECT goals_against FROM chart WHERE team_id = 7))
+            AS axis_max
+        FROM chart WHERE team_id = 7""",
+    "home_away_goals": "SELECT * FROM sides",
+    "pivot_home": _pivot("sides", "home_goals"),
+    "pivot_away": _pivot("sides", "away_goals"),
+    "pivot_home_away_diff": _pivot("sides", "home_minus_away"),
     "rating_vs_goals": """
-        , members AS MATERIALIZED (SELECT team_id, player_id FROM squad),
-        ratings AS MATERIALIZED (
-            SELECT player_id, overall_rating FROM attributes WHERE season_id BETWEEN 2 AND 5),
-        played AS MATERIALIZED (
-            SELECT t.team_id, t.long_name,
-                   CASE WHEN p.home_team_id = t.team_id THEN p.home_goals
-                        WHEN p.away_team_id = t.team_id THEN p.away_goals ELSE 0 END AS goals
-            FROM teams t JOIN period p ON t.team_id = p.home_team_id OR t.team_id = p.away_team_id)
-        SELECT team_id, long_name, CAST(SUM(overall_rating) AS DOUBLE) AS total_rating,
-               CAST(SUM(goals) AS DOUBLE) AS total_goals,
-               CAST(SUM(goals) AS DOUBLE) / 100 AS bubble_size
-        FROM played JOIN members USING (team_id) JOIN ratings USING (player_id)
-        GROUP BY team_id, long_name""",
+        SELECT team_id, name AS long_name, CAST(ratings * games AS DOUBLE) AS total_rating,
+            CAST(pairs * scored AS DOUBLE) AS total_goals,
+            CAST(pairs * scored AS DOUBLE) / 100 AS bubble_size
+        FROM goals JOIN (
+            SELECT team AS team_id, count(*) AS pairs, sum(overall_rating) AS ratings
+            FROM member m JOIN rated ON l_partkey = player GROUP BY team) USING (team_id)""",
     "rating_vs_goals_unmultiplied": """
-        SELECT team_id, long_name, CAST(ratings AS BIGINT) AS total_rating,
-               CAST(goals_for AS BIGINT) AS total_goals
-        FROM goal_sums JOIN (
-            SELECT s.team_id, SUM(a.overall_rating) AS ratings
-            FROM (SELECT DISTINCT team_id, player_id FROM squad) s
-            JOIN attributes a ON a.player_id = s.player_id
-            WHERE a.season_id BETWEEN 2 AND 5 GROUP BY s.team_id) USING (team_id)""",
+        SELECT team_id, name AS long_name, (
+            SELECT CAST(sum(overall_rating) AS BIGINT) FROM rated
+            WHERE EXISTS (SELECT 1 FROM member WHERE team = team_id AND player = l_partkey))
+            AS total_rating, scored AS total_goals
+        FROM goals
+        WHERE EXISTS (SELECT 1 FROM member JOIN rated ON l_partkey = player WHERE team = team_id)""",
     "duplicate_keys": """
-        SELECT l_orderkey, l_linenumber, COUNT(*) AS n_rows FROM lineitem
-        GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""",
+        SELECT l_orderkey, l_linenumber, n_rows FROM (
+            SELECT l_orderkey, l_linenumber,
+                count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n_rows FROM lineitem)
+        WHERE n_rows > 1 GROUP BY ALL""",
 }
 
 
+
 def all_sql() -> dict[str, str]:
-    return {name: f"{_VIEWS}\n{sql}" for name, sql in _SQL.items()}
+    return {name: f"{_FEED}\n{sql}" for name, sql in _SQL.items()}

@@ -120,5 +120,33 @@ NORMALIZED = {
     "goals": _struct(goal_id=_LONG, minute=_INT, match_id=_LONG, member_id=_LONG),
 }
 
+# The published chart tables, under their published headings; their sums come as ``35.0``.
+CHARTS = {
+    "team_season_goals": _struct(
+        team_api_id=_LONG,
+        id_temporada=_INT,
+        goles_afavor=T.DoubleType(),
+        goles_encontra=T.DoubleType(),
+        promedio_gol=T.DoubleType(),
+        nombre_equipo=_TEXT,
+        nombre_temporada=_TEXT,
+    ),
+    "home_away_goals": _struct(
+        team_api_id=_LONG,
+        id_temporada=_INT,
+        goles_de_local=T.DoubleType(),
+        goles_de_visitante=T.DoubleType(),
+        diferencia_goles_LvsV=T.DoubleType(),
+        nombre_equipo=_TEXT,
+        nombre_temporada=_TEXT,
+    ),
+    "rating_vs_goals": _struct(
+        team_api_id=_LONG,
+        team_long_name=_TEXT,
+        suma_total_overall=T.DoubleType(),
+        suma_total_goles=T.DoubleType(),
+    ),
+}
+
 # Text cells of these tables may hold line breaks inside quotes.
 MULTILINE_TABLES = {"matches"}

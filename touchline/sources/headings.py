@@ -129,6 +129,16 @@ RESULTS = {
         "team_name": "nombre_equipo",
         "season": "nombre_temporada",
     },
+    "team_series": {
+        "team_id": "team_api_id",
+        "season_id": "id_temporada",
+        "goals_for": "goles_afavor",
+        "goals_against": "goles_encontra",
+        "avg_goals": "promedio_gol",
+        "team_name": "nombre_equipo",
+        "season": "nombre_temporada",
+        "axis_max": "axis_max",
+    },
     "rating_vs_goals": {
         "team_id": "team_api_id",
         "long_name": "team_long_name",
@@ -147,10 +157,18 @@ def published_result(name: str, df: DataFrame) -> DataFrame:
     return df.selectExpr(*[f"`{ours}` AS `{theirs}`" for ours, theirs in headings.items()])
 
 
+def published_answers(results: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Results under their published headings where they have some."""
+    return {n: published_result(n, df) if n in RESULTS else df for n, df in results.items()}
+
+
 def published_tables(tables: Mapping[str, DataFrame], suffix: str = "") -> dict[str, DataFrame]:
     """Normalized tables under their published names; further columns keep theirs."""
     published = {}
     for name, df in tables.items():
+        if name not in TABLES:  # ours alone
+            published[f"{name}{suffix}"] = df
+            continue
         theirs, headings = TABLES[name]
         more = [c for c in df.columns if c not in headings and c not in _OURS_ONLY]
         published[f"{theirs}{suffix}"] = df.selectExpr(

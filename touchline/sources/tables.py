@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from touchline.schemas import MULTILINE_TABLES, NORMALIZED, RAW
+from touchline.schemas import CHARTS, MULTILINE_TABLES, NORMALIZED, RAW
 from touchline.session import stage
+from touchline.sources.headings import RESULTS
 
 # Quotes inside a quoted cell are doubled and outer blanks kept, on both ways.
 _CSV = {
@@ -24,13 +25,12 @@ _CSV = {
 ROWS_PER_FILE = 1_000_000
 
 # Tables joined on one long key; equal bucketing makes those joins local. Only tables in which
-# the key is unique, so that no bucket can outgrow the others.
+# the key is unique and never NULL, so that no bucket can outgrow the others: squad rows without
+# a season have no member id.
 BUCKET_KEYS = {
     "matches": "match_id",
     "fixtures": "match_id",
     "lineups": "match_id",
-    "squad_members": "member_id",
-    "squad_seasons": "member_id",
     "players": "player_id",
 }
 
@@ -82,29 +82,52 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def _read_folder(
-    spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType], fmt: str
+    spark: SparkSession,
+    folder: str,
+    schemas: Mapping[str, T.StructType],
+    fmt: str,
+    multiline: Collection[str],
 ) -> dict[str, DataFrame]:
     def load(name: str, schema: T.StructType) -> DataFrame:
         path = os.path.join(folder, f"{name}.{fmt}")
         if fmt == "csv":
-            return stage(read_csv(spark, path, schema, multiline=name in MULTILINE_TABLES), name)
+            return stage(read_csv(spark, path, schema, multiline=name in multiline), name)
         return spark.read.schema(schema).parquet(path).select(*schema.names)
 
     return {name: load(name, schema) for name, schema in schemas.items()}
 
 
-def read_feed(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:
+def read_feed(
+    spark: SparkSession,
+    folder: str,
+    fmt: str = "csv",
+    multiline: Collection[str] = MULTILINE_TABLES,
+) -> dict[str, DataFrame]:
     """The six raw tables, one file or folder each, named as in ``schemas.RAW``.
 
     Further columns of CSV files pass through as text. CSV is parsed once and staged as parquet,
     because every table built from the feed reads some of its columns again.
+
+    ``multiline`` names the CSV tables whose cells hold line breaks. Their files can't be split, so
+    a long one has to come as a folder of many files; a feed without line breaks passes ``()``.
     """
-    return _read_folder(spark, folder, RAW, fmt)
+    return _read_folder(spark, folder, RAW, fmt, multiline)
+
+
+def read_tables(
+    spark: SparkSession,
+    folder: str,
+    fmt: str = "parquet",
+    multiline: Collection[str] = MULTILINE_TABLES,
+) -> dict[str, DataFrame]:
+    """The normalized tables written by :func:`write_tables`; ``multiline`` as in the feed."""
+    return _read_folder(spark, folder, NORMALIZED, fmt, multiline)
 
 
-def read_tables(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The normalized tables written by :func:`write_tables`."""
-    return _read_folder(spark, folder, NORMALIZED, fmt)
+def read_chart(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A published chart table, from CSV, under our column names."""
+    rows = read_csv(spark, path, CHARTS[name])
+    return rows.selectExpr(*[f"`{theirs}` AS `{ours}`" for ours, theirs in RESULTS[name].items()])
 
 
 def write_tables(
