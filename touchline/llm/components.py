@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.session import stage
+from touchline.session import stage, unstage
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     links = stage(_small_star(_large_star(links)), "stars")
     state = _state(links)
     while state[0]:
-        links = stage(_small_star(_large_star(links)), "stars")
+        used, links = links, stage(_small_star(_large_star(links)), "stars")
+        unstage(used)
         before, state = state, _state(links)
         if state == before:
             break

@@ -1,6 +1,6 @@
 """Byte strings that occur earlier in the corpus, found with a distributed suffix array.
 
-Any 100 bytes (``SPAN``) hold a least gram by hash, and equal strings hold the same one.
+Texts that are copies as a whole go first. Any 100 bytes (``SPAN``) hold a least gram by hash, and equal strings hold the same one.
 Neighbouring places whose strings hold the same gram form a block; a string can only repeat where
 the gram of its block repeats, and that is where the suffix array is built: over strings of blocks,
 with the blocks' bytes as symbols. Adjacent suffixes that agree over the whole reach of their first
@@ -37,8 +37,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    for _ in range(2):
-        x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     return x ^ (x >> _U(32))
 
 
@@ -62,6 +61,11 @@ class Hashes:
         self.sums = np.zeros(len(data) + 1, dtype=_U)
         np.cumsum(table[data] * powers[: len(data)], out=self.sums[1:])
 
+    def every(self, size: int) -> np.ndarray:
+        """Of all substrings of ``size`` bytes."""
+        count = len(self.sums) - size
+        return _mix((self.sums[size:] - self.sums[:-size]) * self.inverse[:count])
+
     def of(self, starts: np.ndarray, lengths) -> np.ndarray:
         return _mix((self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts])
 
@@ -83,16 +87,20 @@ def _chunks(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield start, data[start : start + CHUNK + SPAN - 1]
 
 
-def blocks(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def blocks(data: np.ndarray, size: int, cuts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(first, last, gram, inner): ranges of places whose strings hold the same least gram.
 
-    ``inner`` blocks have their gram in more than one place, so strings can repeat inside.
+    ``inner`` blocks have their gram in more than one place, so strings can repeat inside. Blocks
+    also begin at the places ``cuts``.
     """
     found = [tuple(np.empty(0, kind) for kind in (np.int64, np.int64, _U, bool))]
     for start, part in _chunks(data):
-        grams = Hashes(part).of(np.arange(len(part) - size + 1), size)
+        grams = Hashes(part).every(size)
         least = _least(grams, SPAN - size + 1)
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        begins = np.concatenate(([True], least[1:] != least[:-1]))
+        if cuts is not None:
+            begins[cuts[(cuts >= start) & (cuts < start + len(least))] - start] = True
+        first = np.flatnonzero(begins)
         last = np.append(first[1:], len(least)) - 1
         # The gram's first place falls behind and the next string has it all the same.
         again = (grams[: len(least) - 1] == least[:-1]) & (least[1:] == least[:-1])
@@ -101,9 +109,12 @@ def blocks(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
-def _hash_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: int):
-    """Hashes of pieces that begin in order, each of ``CHUNK`` bytes or fewer."""
-    out = np.empty(len(starts), dtype=_U)
+def _hash_pieces(
+    data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: int, less: int = 0
+) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Hashes of pieces that begin in order, each of ``CHUNK`` bytes or fewer; with ``less`` also
+    those of the pieces without their last ``less`` bytes."""
+    out = np.empty((2, len(starts)), dtype=_U)
     i = 0
     while i < len(starts):
         begin = starts[i]
@@ -111,9 +122,11 @@ def _hash_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, whic
         j = max(j, i + 1)
         stop = int((starts[i:j] + lengths[i:j]).max())
         tool = Hashes(data[begin:stop], which)
-        out[i:j] = tool.of(starts[i:j] - begin, lengths[i:j])
+        out[0, i:j] = tool.of(starts[i:j] - begin, lengths[i:j])
+        if less:
+            out[1, i:j] = tool.of(starts[i:j] - begin, lengths[i:j] - less)
         i = j
-    return out
+    return (out[0], out[1]) if less else out[0]
 
 
 def _bytes(value: pa.Scalar) -> np.ndarray:
@@ -163,11 +176,6 @@ def _with_company(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "gram", "left").where("shared OR inner").drop("shared")
 
 
-def _reaches(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    size = last - first + SPAN
-    return [_signed(_hash_pieces(data, first, size, which)) for which in (0, 1)]
-
-
 def _block_strings(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     """Blocks with a repeated gram, as strings of neighbours (d, r) with places i."""
     lists = repeated.groupBy("d").agg(F.collect_list("b").alias("bs"))
@@ -183,17 +191,19 @@ def _block_strings(texts: DataFrame, repeated: DataFrame) -> DataFrame:
             first, last, gram, inner = (column[b] for column in blocks(data, GRAM))
             new = np.concatenate(([True], b[1:] != b[:-1] + 1))
             begin = b[new][np.cumsum(new) - 1]
-            # Symbols are ordered as numbers, and a symbol is never negative.
-            sym = _signed(_hash_pieces(data, first, last - first + 1, 0) >> _U(1))
+            size = last - first + SPAN
+            reach, own_bytes = _hash_pieces(data, first, size, 0, less=SPAN - 1)
             out.append(
                 (
                     np.full(len(b), d),
                     begin.astype(np.int64),
                     (b - begin).astype(np.int32),
-                    sym,
+                    # Symbols are ordered as numbers, and a symbol is never negative.
+                    _signed(own_bytes >> _U(1)),
                     _signed(gram),
                     inner,
-                    *_reaches(data, first, last),
+                    _signed(reach),
+                    _signed(_hash_pieces(data, first, size, 1)),
                     first.astype(np.int32),
                     last.astype(np.int32),
                 )
@@ -248,11 +258,11 @@ def _unpack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values >> 32, values & 0xFFFFFFFF
 
 
-def _regions(spans: np.ndarray) -> list[tuple[int, int]]:
+def _regions(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last places, with ranges that follow each other put together."""
     first, last = _unpack(np.sort(spans))
     new = np.flatnonzero(np.concatenate(([True], first[1:] != last[:-1] + 1)))
-    return list(zip(first[new].tolist(), last[np.append(new[1:], len(first)) - 1].tolist()))
+    return first[new], last[np.append(new[1:], len(first)) - 1]
 
 
 def _fine_blocks(texts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -262,12 +272,15 @@ def _fine_blocks(texts: DataFrame, edges: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
         for d, data, own in zip(_ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)):
-            for begin, end in _regions(own.values.to_numpy()):
-                part = data[begin : end + SPAN]
-                first, last, gram, inner = blocks(part, FINE_GRAM)
-                reach = _reaches(part, first, last)
-                first, last = ((x + begin).astype(np.int32) for x in (first, last))
-                out.append((np.full(len(first), d), first, last, _signed(gram), inner, *reach))
+            begin, end = _regions(own.values.to_numpy())
+            found = blocks(data, FINE_GRAM, np.concatenate([begin, end + 1]))
+            region = np.searchsorted(begin, found[0], "right") - 1
+            inside = (region >= 0) & (found[0] <= end[region])
+            first, last, gram, inner = (column[inside] for column in found)
+            size = last - first + SPAN
+            reach = [_signed(_hash_pieces(data, first, size, which)) for which in (0, 1)]
+            places = first.astype(np.int32), last.astype(np.int32)
+            out.append((np.full(len(first), d), *places, _signed(gram), inner, *reach))
         columns = [pa.array(np.concatenate(column)) for column in zip(*out)]
         names = [column.split()[0] for column in schema.split(", ")]
         yield pa.RecordBatch.from_arrays(columns, names)
@@ -362,6 +375,16 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(d, first, last): places of ``texts`` (d, text) where ``SPAN`` bytes begin that begin
     earlier as well, as ranges that may overlap."""
     long = texts.where(F.octet_length("text") >= SPAN)
+    # A text that is the same as an earlier one goes as a whole and is no source for others.
+    heads = long.select(
+        "d",
+        F.lit(0).alias("first"),
+        (F.octet_length("text") - SPAN).alias("last"),
+        F.sha2("text", 256).alias("digest"),
+    )
+    heads = stage(heads, "heads")
+    whole = stage(_marked(heads, ["digest"]).where("copy").select("d", "first", "last"), "whole")
+    long = long.join(whole.select("d"), "d", "left_anti")
     grams = stage(_grams(long), "grams")
     repeated = stage(_with_company(grams).select("d", "b"), "repeated")
     unstage(grams)
@@ -382,8 +405,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     unstage(edges, places)
     place = ["d", "first", "last"]
     return (
-        coarse.where("copy")
-        .select(place)
+        whole.union(coarse.where("copy").select(place))
         .union(marked.where("copy").select(place))
         .union(later.select("d", "first", F.col("first").alias("last")))
     )
