@@ -26,6 +26,7 @@ KNOWN = 200_000
 FIRST_DOCS = 1_500
 FIRST_TOKENS = 400_000
 FIRST_BYTES = 200_000  # longer documents wait for the shards
+_BINS = 50  # of counts, per natural logarithm
 _REST, _END = 0, 1
 _BATCH = 8_192
 _NOISE = 16  # noise classes of a batch
@@ -77,10 +78,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Collects ``KNOWN`` words at most; everything else about the rest are sums."""
+    """Collects ``KNOWN`` words at most; of the rest only sums.
+
+    A histogram of counts tells from which count on all words fit, so that tasks send these words
+    and no others: sorting with a limit would send that many words from every task.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where("word <> X''").orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    known = {bytes(r.word): r.n for r in frequent}
+    words = counts.where("word <> X''").withColumn("bin", F.floor(F.log("n") * _BINS))
+    bins = words.groupBy("bin").count().orderBy(F.desc("bin")).collect()
+    sizes = np.cumsum([r["count"] for r in bins])
+    fitting = int((sizes <= KNOWN).sum())
+    lowest = bins[fitting - 1].bin if fitting else None
+    frequent = words.where(F.col("bin") >= lowest).collect() if fitting else []
+    known = {bytes(r.word): r.n for r in sorted(frequent, key=lambda r: (-r.n, bytes(r.word)))}
     end = (counts.where("word = X''").first() or (b"", 0))[1]
     ids = {word: i for i, word in enumerate(list(known)[: WORDS - 2], start=2)}
     own = np.zeros(WORDS)
