@@ -196,7 +196,10 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "tokens")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer, end_id=0)
+    docs = table(spark, sf_dir, "documents")
+    token_files.write_tokens(
+        docs, path, tokenizer, end_id=0, pattern=public_tokenizers.PATTERN
+    )
     return token_files.read_tokens(spark, path).select(
         F.col("doc").alias("doc_id"),
         "start",

@@ -21,12 +21,13 @@ sequence   binary        the documents' symbols, little-endian
 from __future__ import annotations
 
 import os
-import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,13 +40,8 @@ SHARD_TOKENS = 1_000_000
 ROUNDS = 6
 PAIRS = 1_024
 FREQUENT = 32
-#: Units whose ids a worker remembers; beyond that those not met again are forgotten.
-REMEMBERED = 250_000
-
-# The White_Space property. No pre-token has white space after other characters, so a text can
-# be cut before white space.
-_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNITS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: Pieces whose ids a worker remembers; beyond that those not met again are forgotten.
+REMEMBERED = 300_000
 
 _SCHEMA = (
     "part long, seq int, docs array<long>, lengths array<long>, symbols array<long>, tokens long,"
@@ -54,53 +50,84 @@ _SCHEMA = (
 _NAMES = [column.split()[0] for column in _SCHEMA.split(", ")]
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable character a byte-level vocabulary writes for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [c for c in range(256) if c not in set(plain)]
+    return {c: chr(c) for c in plain} | {c: chr(256 + i) for i, c in enumerate(others)}
+
+
 class Encoder:
-    """The tokenizers library on units of text, each distinct unit once."""
+    """The tokenizers library on whole texts, or its model on each distinct piece once.
+
+    ``pattern`` splits text as a byte-level tokenizer without a prefix space does; pieces never
+    influence each other, so that their ids in a row are those of the text. Texts that contain an
+    added token are left to the library as a whole.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already fill the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.size = self.library.get_vocab_size()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pattern = regex.compile(pattern) if pattern else None
+        self.characters = _byte_characters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            written = piece.encode().decode("latin-1").translate(self.characters)
+            found = [token.id for token in self.model.tokenize(written)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.pattern is None:
+            return [self._whole(text) for text in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        cut = [_UNITS.findall(text) for text in texts]
-        new = []
-        for unit in set().union(*cut).difference(self.known):
-            ids = self.older.get(unit)
-            if ids is None:
-                new.append(unit)
-            else:
-                self.known[unit] = ids
-        for unit, found in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[unit] = np.array(found.ids, dtype="<u4").tobytes()
+        plain = [not any(token in text for token in self.added) for text in texts]
+        cut = [self.pattern.findall(t) if own else [] for t, own in zip(texts, plain)]
+        for piece in set().union(*cut).difference(self.known):
+            self.known[piece] = self._piece(piece)
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, units)), dtype="<u4") for units in cut]
+        return [
+            np.frombuffer(b"".join(map(get, pieces)), dtype="<u4") if own else self._whole(text)
+            for text, own, pieces in zip(texts, plain, cut)
+        ]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, pattern: str | None) -> Encoder:
+    return Encoder(path, pattern)
+
+
+def _codes(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    kind = np.uint32 if bits == 16 else np.uint64
+    return left.astype(kind) << kind(bits) | right.astype(kind)
 
 
-def _frequent(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _frequent(codes: np.ndarray, bits: int) -> np.ndarray:
     """Codes of the most frequent pairs that can be replaced together, sorted.
 
     No symbol may end one pair and begin another, so their occurrences don't overlap.
     """
-    codes = np.sort(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
+    codes = np.sort(codes)
     starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     counts = np.diff(np.append(starts, len(codes)))
     often = np.flatnonzero(counts >= FREQUENT)
     often = often[np.argsort(-counts[often], kind="stable")][: 2 * PAIRS]
     begin, end, chosen = set(), set(), []
     for code in codes[starts[often]].tolist():
-        a, b = code >> 32, code & 0xFFFFFFFF
+        a, b = code >> bits, code & ((1 << bits) - 1)
         if a in end or b in begin or (a == b and (a in begin or b in end)):
             continue
         begin.add(a)
@@ -108,7 +135,7 @@ def _frequent(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         chosen.append(code)
         if len(chosen) == PAIRS:
             break
-    return np.sort(np.array(chosen, dtype=np.uint64))
+    return np.sort(np.array(chosen, dtype=codes.dtype))
 
 
 def compress(
@@ -120,27 +147,27 @@ def compress(
     pair is frequent, the rounds are used up, or symbols would need more than 16 bits where 16
     bits could hold them so far. Pairs never cross documents.
     """
-    gap = np.array([-1], dtype=np.int64)
-    line = np.concatenate([x for ids in documents for x in (ids.astype(np.int64), gap)] or [gap])
+    most, bits = (1 << 16, 16) if terminals < 1 << 16 else (1 << 31, 32)
+    gap = np.array([-1], dtype=np.int32)
+    line = np.concatenate([x for ids in documents for x in (ids.astype(np.int32), gap)] or [gap])
     rules = np.empty((0, 2), dtype=np.int64)
     sizes = np.ones(terminals, dtype=np.int64)
-    most = 1 << 16 if terminals < 1 << 16 else 1 << 31
     for _ in range(rounds):
         inside = (line[:-1] >= 0) & (line[1:] >= 0)
         at = np.flatnonzero(inside)
         if not len(at):
             break
-        codes = _frequent(line[at], line[at + 1])[: most - terminals - len(rules)]
+        every = _codes(line[at], line[at + 1], bits)
+        codes = _frequent(every, bits)[: most - terminals - len(rules)]
         if not len(codes):
             break
-        left, right = (codes >> np.uint64(32)).astype(np.int64), (
-            codes & np.uint64(0xFFFFFFFF)
-        ).astype(np.int64)
+        left = (codes >> codes.dtype.type(bits)).astype(np.int64)
+        right = (codes & codes.dtype.type((1 << bits) - 1)).astype(np.int64)
         begins = np.zeros(len(sizes), dtype=bool)
         ends = np.zeros(len(sizes), dtype=bool)
         begins[left], ends[right] = True, True
-        at = at[begins[line[at]] & ends[line[at + 1]]]
-        own = line[at].astype(np.uint64) << np.uint64(32) | line[at + 1].astype(np.uint64)
+        likely = begins[line[at]] & ends[line[at + 1]]
+        at, own = at[likely], every[likely]
         which = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
         hit = codes[which] == own
         at, which = at[hit], which[hit]
@@ -225,6 +252,7 @@ def write_tokens(
     path: str,
     tokenizer: str,
     end_id: int = 0,
+    pattern: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_tokens: int = SHARD_TOKENS,
@@ -233,7 +261,8 @@ def write_tokens(
 
     NULL is an empty text and has its end only. Rows without an id come first, rows that share an
     id in the order of their text's hash; an empty table gives no shards; other columns are not
-    read. The tokenizer's file must lie at ``tokenizer`` on every machine.
+    read. The tokenizer's file must lie at ``tokenizer`` on every machine; ``pattern`` as in
+    :class:`Encoder`.
     """
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -242,7 +271,7 @@ def write_tokens(
     ordered = chosen.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, tool = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, seq, tool = TaskContext.get().partitionId(), 0, encoder(tokenizer, pattern)
         end = np.array([end_id], dtype="<u4")
         names, ids, count = [], [], 0
 
