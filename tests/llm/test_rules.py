@@ -58,7 +58,7 @@ def test_odd_texts(spark):
 
 def corpus(spark):
     good = [(i, " ".join(f"word{(i * 7 + j * j) % 997}" for j in range(40)), 1) for i in range(90)]
-    bad = [(100 + i, " ".join(f"w{i * j}$$$" for j in range(30)), 0) for i in range(30)]
+    bad = [(100 + i, " ".join(f"w{(i + 1) * j}$$$" for j in range(30)), 0) for i in range(30)]
     return spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
 
 

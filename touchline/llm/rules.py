@@ -27,6 +27,7 @@ MEASURES = {
     "capitals": "{c}n_capitals / greatest({c}word_chars, 1)",
     "digits": "{c}n_digits / greatest({c}word_chars, 1)",
     "marks_per_word": "{c}n_marks / greatest({c}n_words, 1)",
+    "echoed_words": "{c}n_echoes / greatest({c}n_words, 1)",
     "words_per_line": "{c}n_words / greatest({c}n_lines, 1)",
 }
 
@@ -48,8 +49,8 @@ def counts(docs: DataFrame, text_col: str, into: str) -> DataFrame:
     their windows.
     """
     name = "_" + into
-    text, words, lines, pairs, quads, grams, order, again = (
-        f"`{name}_{part}`" for part in "text words lines pairs quads grams order again".split()
+    text, words, lines, hashes, pairs, quads, grams, order, again = (
+        f"`{name}_{part}`" for part in "text words lines hashes pairs quads grams order again".split()
     )
 
     def add(df: DataFrame, **columns: str) -> DataFrame:
@@ -62,7 +63,8 @@ def counts(docs: DataFrame, text_col: str, into: str) -> DataFrame:
         words=f"array_remove(split({text}, '{space}+'), '')",
         lines=f"filter(split({text}, '\\n'), l -> l RLIKE '[^{space[1:]}')",
     )
-    df = add(df, pairs=_overlap(f"transform({words}, w -> xxhash64(w))", 1))
+    df = add(df, hashes=f"transform({words}, w -> xxhash64(w))")
+    df = add(df, pairs=_overlap(hashes, 1))
     df = add(df, quads=_overlap(pairs, 2))
     df = add(df, grams=_overlap(quads, 4))
     df = add(
@@ -91,6 +93,8 @@ def counts(docs: DataFrame, text_col: str, into: str) -> DataFrame:
             named_struct('n', 0, 'last', -{WINDOW}),
             (s, i) -> named_struct('n', s.n + least({WINDOW}, i - s.last), 'last', i),
             s -> s.n), 0) AS LONG),
+        'n_echoes', CAST(size(filter({hashes},
+            (h, i) -> coalesce(h = get({hashes}, i - 1), false))) AS LONG),
         'n_capitals', {only("A-Z")},
         'n_digits', {only("0-9")},
         'n_marks', {only("!?")})"""
