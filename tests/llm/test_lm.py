@@ -106,3 +106,49 @@ def test_empty_tables(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
     assert r.base_score == pytest.approx(3 * math.log10(0.5 / 0.5))
     assert r.score < 0
+
+
+def test_places_grow_and_every_word_has_one(spark, monkeypatch):
+    monkeypatch.setattr(lm, "KNOWN", 3_000)
+    n = {b"w%d" % i: 1 + 40_000 // (i + 1) for i in range(20_000)}
+    rows = [(bytearray(w), k) for w, k in [*n.items(), (b"", 700)]]
+    vocab = lm.vocabulary(spark.createDataFrame(rows, "word binary, n long"))
+    size = len(vocab.unigram)
+    assert lm.WORDS < size == lm.places(20_001) < lm.places(10**6) < lm.places(10**8)
+    at = {w: vocab.ids[w] for w in n}
+    assert len(vocab.ids) < len(set(at.values())) > lm.WORDS  # looking up adds nothing
+    members = {}
+    for w, i in at.items():
+        members.setdefault(i, []).append(n[w] + 0.5)
+    for i, own in members.items():
+        alone = 2 <= i < 2 + len(vocab.ids)
+        assert vocab.sums[i] == (1 if alone else pytest.approx(sum(own) + 0.5))
+        assert not alone or len(own) == 1
+    weights = vocab.unigram / vocab.unigram[1] * 700.5
+    shared = size - 1 - len(vocab.ids)
+    assert weights.sum() == pytest.approx(sum(n.values()) + 700 + 0.5 * (20_001 + shared))
+
+
+def test_words_share_their_place_by_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "KNOWN", 300)
+    kept = []
+
+    def untrained(docs, vocab):
+        model = lm.Model(vocab.unigram)
+        model.parts["mix"] *= 0
+        kept.append(vocab)
+        return model
+
+    monkeypatch.setattr(lm, "train", untrained)
+    rows = [(i, " ".join(f"w{j * j % (i + 2)}x{i % 90}" for j in range(60))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, "unseen w1x1 words")], "doc_id long, text string")
+    found = lm.scores(docs, docs.where("doc_id < 900")).collect()
+    counts = Counter(t for _, text in rows for t in tokens(text))
+    vocab = kept[0]
+    shared = len(vocab.unigram) - 1 - len(vocab.ids)
+    assert len(vocab.ids) < len(counts) - 1 and shared > 1
+    mass = sum(counts.values()) + 0.5 * (len(counts) + shared)
+    texts = dict([*rows, (900, "unseen w1x1 words")])
+    for r in found:
+        wanted = sum(math.log10((counts[t] + 0.5) / mass) for t in tokens(texts[r.doc]))
+        assert r.score == pytest.approx(wanted, rel=1e-4)

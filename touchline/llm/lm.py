@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from touchline.llm.frames import fold, map_rows, raw
 from touchline.session import stage
 
-CLASSES = 64  # of words, and words in a class
-WORDS = CLASSES * CLASSES
+#: Places of the smallest vocabulary, and places per square root of the distinct words of others.
+WORDS = 16**3
+GROWTH = 128
 #: Words before a token that predict it, and the size of their vectors.
 CONTEXT = 3
 DIM = 16
@@ -30,10 +32,13 @@ _BINS = 50  # of counts, per natural logarithm
 _REST, _END = 0, 1
 _BATCH = 8_192
 _NOISE = 16  # noise classes of a batch
-_NOISE_WORDS = 3  # noise words of a token
-_DRAWS = 4_096  # places of a class from which its noise words are drawn
+_NOISE_WORDS = 3  # noise groups and noise words of a token
+_DRAWS = 512  # entries of a class or group, at least, from which its noise is drawn
 _FAN = 64  # models averaged by one task
-_PART = 8_192  # parameters in one row
+_PART = 4_096  # rows of a table that travel together
+#: Tokens of a shard for each place of the model, so that models stay smaller than the texts;
+#: and shards that a small input may have all the same.
+_SHARD_WORDS, _LEAST_SHARDS = 32, 8
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -56,9 +61,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+class Places(dict):
+    """Place of each word in the model: frequent words have their own, every other word one of
+    ``shared``, by its hash. Place 0 is the first of the shared ones, place 1 the end of a text."""
+
+    shared = 1
+
+    def __missing__(self, word: bytes) -> int:
+        slot = zlib.crc32(word) % self.shared
+        return slot and slot + 1 + len(self)
+
+
 @dataclass
 class Vocabulary:
-    """Ids of the model's words, counts of the known words, and totals over all words."""
+    """Places of words, counts of the known words, and totals over all words."""
 
     ids: dict[bytes, int]
     counts: dict[bytes, int]
@@ -67,18 +83,25 @@ class Vocabulary:
     rest_total: int
     rest_distinct: int
     unigram: np.ndarray
+    #: Of each place: counts plus one half of the words that share it, one of them unseen; an own
+    #: place has one.
+    sums: np.ndarray | None = None
 
     @property
     def base_sum(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    @property
-    def rest_sum(self) -> float:
-        return self.rest_total + 0.5 * (self.rest_distinct + 1)
+
+def places(distinct: int) -> int:
+    """Places of the model, a cube that grows with the distinct words."""
+    side = 16
+    while side**3 < max(WORDS, GROWTH * distinct**0.5):
+        side += 1
+    return side**3
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Collects ``KNOWN`` words at most; of the rest only sums.
+    """Collects ``KNOWN`` words at most; of the rest only sums by shared place.
 
     A histogram of counts tells from which count on all words fit, so that tasks send these words
     and no others: sorting with a limit would send that many words from every task.
@@ -92,70 +115,89 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     frequent = words.where(F.col("bin") >= lowest).collect() if fitting else []
     known = {bytes(r.word): r.n for r in sorted(frequent, key=lambda r: (-r.n, bytes(r.word)))}
     end = (counts.where("word = X''").first() or (b"", 0))[1]
-    ids = {word: i for i, word in enumerate(list(known)[: WORDS - 2], start=2)}
-    own = np.zeros(WORDS)
+    size = places(distinct)
+    whole = distinct - (end > 0) == len(known) <= size - 2
+    ids = Places((w, i) for i, w in enumerate(list(known)[: None if whole else size // 2], start=2))
+    ids.shared = 1 if whole else size - 1 - len(ids)
+    own = np.zeros(size)
     own[_END] = end
     for word, i in ids.items():
         own[i] = known[word]
     named = len(ids) + (end > 0)
     rest = total - int(own.sum()), distinct - named
+    # All words by their hash, less those with a place of their own.
+    hashed = words.groupBy(F.pmod(F.crc32("word"), F.lit(ids.shared)).alias("slot")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("words")
+    )
+    table = hashed.toArrow()
+    masses = np.full(ids.shared, 0.5)
+    masses[table["slot"].to_numpy()] += table["n"].to_numpy() + 0.5 * table["words"].to_numpy()
+    for word in ids:
+        masses[zlib.crc32(word) % ids.shared] -= known[word] + 0.5
+    shared = np.concatenate([[_REST], np.arange(ids.shared - 1) + 2 + len(ids)])
     unigram = own + 0.5
     unigram[2 + len(ids) :] = 1e-9  # places without a word
-    unigram[_REST] = rest[0] + 0.5 * (rest[1] + 1)
+    unigram[shared] = masses
+    sums = np.ones(size)
+    sums[shared] = masses
     return Vocabulary(
-        ids, known | {b"": end}, total, distinct, *rest, unigram / unigram.sum()
+        ids, known | {b"": end}, total, distinct, *rest, unigram / unigram.sum(), sums
     )
 
 
 class Model:
-    """Class and word within class from a linear prediction of the next word's vector."""
+    """Class, group within class and word within group from a linear prediction of the next
+    word's vector; each has as many members as there are classes."""
 
     def __init__(self, unigram: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
-        near = 0.1
+        near, size = 0.1, len(unigram)
+        self.side = side = round(size ** (1 / 3))
+        assert side**3 == size
         self.parts = {
-            "context": rng.normal(0, near, (WORDS, DIM)),
+            "context": rng.normal(0, near, (size, DIM)),
             "mix": np.stack([np.eye(DIM) / (k + 1) for k in range(CONTEXT)]),
-            "classes": rng.normal(0, near, (CLASSES, DIM)),
-            "words": rng.normal(0, near, (WORDS, DIM)),
-            "class_bias": np.log(unigram.reshape(CLASSES, CLASSES).sum(axis=1)),
-            "word_bias": np.log(unigram),
+            "classes": rng.normal(0, near, (side, DIM)),
+            "groups": rng.normal(0, near, (side**2, DIM)),
+            "words": rng.normal(0, near, (size, DIM)),
         }
+        # Logarithms of shares within the parent, as the estimates of each factor expect them.
+        for name, width in (("classes", side**2), ("groups", side), ("words", 1)):
+            share = unigram.reshape(-1, side, width).sum(axis=2)
+            self.parts[name + "_bias"] = np.log(share / share.sum(axis=1, keepdims=True)).ravel()
         self.parts = {k: v.astype(np.float32) for k, v in self.parts.items()}
         self.parts["mix"] *= 0.1  # near the unigram at first
         self.unigram = unigram
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.parts.values()])
-
-    def set_flat(self, values: np.ndarray) -> None:
-        at = 0
-        for name, old in self.parts.items():
-            self.parts[name] = values[at : at + old.size].reshape(old.shape).astype(np.float32)
-            at += old.size
+    def copy(self) -> Model:
+        other = object.__new__(Model)
+        other.side, other.unigram = self.side, self.unigram
+        other.parts = {k: v.copy() for k, v in self.parts.items()}
+        return other
 
     def log_probabilities(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each id after its ``before`` (n, CONTEXT) ids."""
-        p = self.parts
-        moved = [p["context"] @ p["mix"][k] for k in range(CONTEXT)]
-        # Tokens in the order of their class, so that one product serves all tokens of a class.
-        kinds = (ids // CLASSES).astype(np.uint8)
-        order = np.argsort(kinds, kind="stable")
+        p, side = self.parts, self.side
+        # Tokens in the order of their places, so that one product serves all of a class or group.
+        order = np.argsort(ids, kind="stable")
         own, past = ids[order], before[order]
-        cuts = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-        found = np.empty(len(ids))
-        for c in range(CLASSES):
-            members = slice(c * CLASSES, (c + 1) * CLASSES)
-            for start in range(cuts[c], cuts[c + 1], 8_192):
-                part = slice(start, min(start + 8_192, cuts[c + 1]))
-                guess = sum(moved[k][past[part, k]] for k in range(CONTEXT)).T
-                kind = np.full(part.stop - start, c)
-                found[part] = _log_softmax(
-                    p["classes"] @ guess + p["class_bias"][:, None], kind
-                ) + _log_softmax(
-                    p["words"][members] @ guess + p["word_bias"][members][:, None],
-                    own[part] - c * CLASSES,
-                )
+        guess = np.empty((DIM, len(own)), dtype=np.float32)
+        for start in range(0, len(own), 8_192):
+            part = slice(start, start + 8_192)
+            guess[:, part] = sum(p["context"][past[part, k]] @ p["mix"][k] for k in range(CONTEXT)).T
+        found = np.zeros(len(own))
+        for name, width in (("classes", side**2), ("groups", side), ("words", 1)):
+            table, bias = p[name], p[name + "_bias"][:, None]
+            nodes = own // width
+            parents = nodes // side
+            starts = np.flatnonzero(np.diff(parents, prepend=-1))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)]):
+                first = int(parents[a]) * side
+                members = slice(first, first + side)
+                for start in range(a, b, 8_192):
+                    part = slice(start, min(start + 8_192, b))
+                    scores = table[members] @ guess[:, part] + bias[members]
+                    found[part] += _log_softmax(scores, nodes[part] - first)
         out = np.empty(len(ids))
         out[order] = found / np.log(10)
         return out
@@ -168,79 +210,88 @@ def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     return chosen - np.log(np.exp(scores, out=scores).sum(axis=0).astype(np.float64))
 
 
-def _spread(ids: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sum of the rows of ``values`` by id."""
-    out = np.empty((size, values.shape[1]), dtype=np.float32)
-    for k, column in enumerate(np.ascontiguousarray(values.T)):
-        out[:, k] = np.bincount(ids, weights=column, minlength=size)
-    return out
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class Trainer:
-    """Adagrad on noise-contrastive estimates of both factors, a batch of tokens at a time."""
+    """Adagrad on noise-contrastive estimates of the three factors, a batch of tokens at a time."""
 
     def __init__(self, model: Model, rate: float, seed: int):
         self.model, self.rate = model, rate
         self.squares = {k: np.full_like(v, 1e-2) for k, v in model.parts.items()}
         self.rng = np.random.default_rng(seed)
-        table = model.unigram.reshape(CLASSES, CLASSES)
-        self.class_share = table.sum(axis=1)
-        # Noise words come from a row of places per class; each word of the class has one or more.
-        share = table / self.class_share[:, None]
-        places = 1 + np.floor(share * (_DRAWS - CLASSES)).astype(np.int64)
-        places[np.arange(CLASSES), share.argmax(axis=1)] += _DRAWS - places.sum(axis=1)
-        words = np.arange(CLASSES)
-        self.drawn = np.stack([np.repeat(words, own) for own in places]).astype(np.int32)
-        self.word_odds = np.log(_NOISE_WORDS * places.ravel() / _DRAWS).astype(np.float32)
+        side = model.side
+        self.class_share = model.unigram.reshape(side, -1).sum(axis=1)
         self.class_odds = np.log(_NOISE * self.class_share).astype(np.float32)
+        # Noise comes from a row of entries per class or group; each member has one or more.
+        self.drawn, self.odds = {}, {}
+        draws = max(_DRAWS, 8 * side)
+        members = np.arange(side, dtype=np.uint16)
+        for name, table in (
+            ("groups", model.unigram.reshape(-1, side).sum(axis=1).reshape(side, side)),
+            ("words", model.unigram.reshape(-1, side)),
+        ):
+            share = table / table.sum(axis=1, keepdims=True)
+            entries = 1 + np.floor(share * (draws - side)).astype(np.int64)
+            entries[np.arange(len(share)), share.argmax(axis=1)] += draws - entries.sum(axis=1)
+            self.drawn[name] = np.stack([np.repeat(members, own) for own in entries])
+            self.odds[name] = np.log(_NOISE_WORDS * entries.ravel() / draws).astype(np.float32)
 
     def step(self, ids: np.ndarray, before: np.ndarray) -> None:
-        p, n = self.model.parts, len(ids)
+        p, n, side = self.model.parts, len(ids), self.model.side
         past = [p["context"][before[:, k]] for k in range(CONTEXT)]
         guess = sum(past[k] @ p["mix"][k] for k in range(CONTEXT))
-        kinds = ids // CLASSES
+        groups = ids // side
+        kinds = groups // side
         # Which class: the true one against noise classes that the batch shares.
-        noise = self.rng.choice(CLASSES, _NOISE, p=self.class_share)
-        odds = p["class_bias"] - self.class_odds
+        noise = self.rng.choice(side, _NOISE, p=self.class_share)
+        odds = p["classes_bias"] - self.class_odds
         true = np.einsum("nd,nd->n", guess, p["classes"][kinds]) + odds[kinds]
         fake = guess @ p["classes"][noise].T + odds[noise]
         g_true, g_fake = _sigmoid(true) - 1, _sigmoid(fake)
         d_guess = g_true[:, None] * p["classes"][kinds] + g_fake @ p["classes"][noise]
-        d_classes = _spread(kinds, g_true[:, None] * guess, CLASSES)
-        np.add.at(d_classes, noise, g_fake.T @ guess)
-        d_class_bias = np.bincount(kinds, weights=g_true, minlength=CLASSES)
-        np.add.at(d_class_bias, noise, g_fake.sum(axis=0))
-        # Which word of the class: the true one against noise words of the same class.
-        draws = self.rng.integers(0, _DRAWS, (n, _NOISE_WORDS))
-        drawn = kinds[:, None] * CLASSES + self.drawn[kinds[:, None], draws]
-        words = np.column_stack([ids, drawn])
-        vectors = p["words"][words]
-        odds = p["word_bias"] - self.word_odds
-        g = _sigmoid((vectors @ guess[:, :, None])[:, :, 0] + odds[words])
-        g[:, 0] -= 1
-        d_guess += (g[:, None, :] @ vectors)[:, 0]
-        flat = words.ravel()
-        d_words = _spread(flat, (g[:, :, None] * guess[:, None, :]).reshape(-1, DIM), WORDS)
-        d_word_bias = np.bincount(flat, weights=g.ravel(), minlength=WORDS)
+        found = [
+            (
+                "classes",
+                np.concatenate([kinds, noise]),
+                np.concatenate([g_true[:, None] * guess, g_fake.T @ guess]),
+                np.concatenate([g_true, g_fake.sum(axis=0)]),
+            )
+        ]
+        # Which group of the class and word of the group: the true one against noise of the same.
+        for name, own in (("groups", groups), ("words", ids)):
+            parents = own // side
+            drawn = self.drawn[name]
+            draws = self.rng.integers(0, drawn.shape[1], (n, _NOISE_WORDS))
+            members = parents[:, None] * side + drawn[parents[:, None], draws]
+            nodes = np.column_stack([own, members])
+            vectors = p[name][nodes]
+            odds = p[name + "_bias"][nodes] - self.odds[name][nodes]
+            g = _sigmoid((vectors @ guess[:, :, None])[:, :, 0] + odds)
+            g[:, 0] -= 1
+            d_guess += (g[:, None, :] @ vectors)[:, 0]
+            moved = (g[:, :, None] * guess[:, None, :]).reshape(-1, DIM)
+            found.append((name, nodes.ravel(), moved, g.ravel()))
         d_mix = np.stack([past[k].T @ d_guess for k in range(CONTEXT)])
         back = np.concatenate([d_guess @ p["mix"][k].T for k in range(CONTEXT)])
-        d_context = _spread(before.T.ravel(), back, WORDS)
-        self._move("context", d_context / n)
-        self._move("mix", d_mix / n)
-        self._move("classes", d_classes / n)
-        self._move("words", d_words / n)
-        self._move("class_bias", d_class_bias / n)
-        self._move("word_bias", d_word_bias / n)
-
-    def _move(self, name: str, gradient: np.ndarray) -> None:
-        gradient = (gradient * np.float32(_BATCH**0.5)).astype(np.float32)
-        squares = self.squares[name]
-        squares += gradient**2
-        self.model.parts[name] -= np.float32(self.rate) * gradient / np.sqrt(squares)
+        for name, nodes, vectors, biases in found:
+            self._move(nodes, n, **{name: vectors, name + "_bias": biases})
+        self._move(before.T.ravel(), n, context=back)
+        self._move(np.arange(CONTEXT), n, mix=d_mix)
+
+    def _move(self, ids: np.ndarray, n: int, **gradients: np.ndarray) -> None:
+        """Moves the rows ``ids`` of tables, each by the sum of its gradients; others stay."""
+        keys = np.sort(ids.astype(np.int64) << 32 | np.arange(len(ids)))
+        own, order = keys >> 32, keys & 0xFFFFFFFF
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        rows = own[starts]
+        for name, values in gradients.items():
+            gradient = np.add.reduceat(values[order], starts) * np.float32(_BATCH**0.5 / n)
+            gradient = gradient.astype(np.float32)
+            squares = self.squares[name][rows] + gradient**2
+            self.squares[name][rows] = squares
+            self.model.parts[name][rows] -= np.float32(self.rate) * gradient / np.sqrt(squares)
 
     def run(self, ids: np.ndarray, before: np.ndarray) -> None:
         for start in range(0, len(ids), _BATCH):
@@ -249,11 +300,10 @@ class Trainer:
 
 def _sequences(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all tokens, ends included, and the ids before each; a text begins after ends."""
-    get = ids.get
     parts = []
     for words in texts:
         parts.append([_END] * CONTEXT)
-        parts.append([get(word, _REST) for word in words])
+        parts.append([ids[word] for word in words])
         parts.append([_END])
     whole = np.array([i for part in parts for i in part], dtype=np.int32)
     sizes = np.array([CONTEXT + len(words) + 1 for words in texts])
@@ -300,17 +350,53 @@ def _first_fit(docs: DataFrame, vocab: Vocabulary) -> Model:
     return model
 
 
+def _moved(old: Model, new: Model) -> Iterator[tuple]:
+    """(table, part, rows, values) of the rows in which the models differ."""
+    for k, (name, before) in enumerate(old.parts.items()):
+        before = before.reshape(len(before), -1)
+        after = new.parts[name].reshape(before.shape)
+        rows = np.flatnonzero((before != after).any(axis=1))
+        cuts = np.searchsorted(rows, np.arange(0, len(before) + _PART, _PART))
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            own = rows[cuts[part] : cuts[part + 1]]
+            yield k, part, own, after[own]
+
+
+def _average(key: tuple, table: pa.Table) -> pa.Table:
+    """Each row of a part as the mean of the shards that moved it, by their tokens."""
+    read = lambda name, kind: [np.frombuffer(v, kind) for v in table[name].to_pylist()]
+    rows, weights = read("ids", np.int32), read("n", np.float64)
+    every = np.unique(np.concatenate(rows))
+    values = read("v", np.float32)
+    sums = np.zeros((len(every), len(values[0]) // len(rows[0])))
+    total = np.zeros(len(every))
+    for own, n, v in zip(rows, weights, values):
+        at = np.searchsorted(every, own)
+        sums[at] += n[:, None] * v.reshape(len(own), -1)
+        total[at] += n
+    mean = (sums / total[:, None]).astype(np.float32)
+    return pa.table(
+        {
+            "shard": [key[0].as_py()],
+            "tab": pa.array([key[1].as_py()], pa.int32()),
+            "part": pa.array([key[2].as_py()], pa.int32()),
+            "ids": pa.array([every.astype(np.int32).tobytes()], pa.binary()),
+            "n": pa.array([total.tobytes()], pa.binary()),
+            "v": pa.array([mean.tobytes()], pa.binary()),
+        }
+    )
+
+
 def train(docs: DataFrame, vocab: Vocabulary) -> Model:
-    """Every partition of ``docs`` (text) trains the first model on all its tokens; the results
-    are averaged by their tokens, ``_FAN`` at a time, until one is left."""
+    """Every shard of ``docs`` (text), one or more partitions, trains the first model on all its tokens; the rows they
+    moved are averaged by their tokens, ``_FAN`` models at a time, until one is left."""
     model = _first_fit(docs, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((model, vocab.ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         first, ids = shared.value
-        own = Model(first.unigram)
-        own.set_flat(first.flat())
+        own = first.copy()
         trainer, count = Trainer(own, rate=0.03, seed=shard), 0
         for batch in batches:
             for texts in _groups(raw(batch.column(0))):
@@ -318,40 +404,32 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
                 order = trainer.rng.permutation(len(found))
                 trainer.run(found[order], before[order])
                 count += len(found)
-        if count:
-            flat = own.flat()
-            parts = [flat[i : i + _PART].tobytes() for i in range(0, len(flat), _PART)]
+        for k, part, rows, values in _moved(first, own) if count else ():
             columns = [
-                pa.array(np.full(len(parts), shard, dtype=np.int64)),
-                pa.array(np.arange(len(parts), dtype=np.int32)),
-                pa.array(np.full(len(parts), count, dtype=np.int64)),
-                pa.array(parts, pa.binary()),
+                pa.array([shard], pa.int64()),
+                pa.array([k], pa.int32()),
+                pa.array([part], pa.int32()),
+                pa.array([rows.astype(np.int32).tobytes()], pa.binary()),
+                pa.array([np.full(len(rows), count, dtype=np.float64).tobytes()], pa.binary()),
+                pa.array([values.tobytes()], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "part", "n", "v"])
-
-    def average(key: tuple, table: pa.Table) -> pa.Table:
-        weights = table["n"].to_numpy().astype(np.float64)
-        rows = [np.frombuffer(v, dtype=np.float32) for v in table["v"].to_pylist()]
-        mean = sum(w * row for w, row in zip(weights, rows)) / weights.sum()
-        return pa.table(
-            {
-                "shard": [key[0].as_py()],
-                "part": pa.array([key[1].as_py()], pa.int32()),
-                "n": [int(weights.sum())],
-                "v": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
-            }
-        )
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "tab", "part", "ids", "n", "v"])
 
-    schema = "shard long, part int, n long, v binary"
-    models = stage(docs.select("text").mapInArrow(run, schema), "models")
+    schema = "shard long, tab int, part int, ids binary, n binary, v binary"
+    shards = max(_LEAST_SHARDS, vocab.total // (_SHARD_WORDS * len(vocab.unigram)))
+    models = stage(docs.select("text").coalesce(shards).mapInArrow(run, schema), "models")
     last = models.agg(F.max("shard")).first()[0]
     while last:  # shards fold into groups, and groups into one
         grouped = models.withColumn("shard", F.expr(f"shard DIV {_FAN}"))
-        models = stage(grouped.groupBy("shard", "part").applyInArrow(average, schema), "models")
+        models = stage(
+            grouped.groupBy("shard", "tab", "part").applyInArrow(_average, schema), "models"
+        )
         last //= _FAN
-    found = models.orderBy("part").select("v").collect()
-    if found:
-        model.set_flat(np.frombuffer(b"".join(bytes(r.v) for r in found), dtype=np.float32))
+    names = list(model.parts)
+    for r in models.select("tab", "ids", "v").toArrow().to_pylist():
+        whole = model.parts[names[r["tab"]]]
+        rows = np.frombuffer(r["ids"], np.int32)
+        whole[rows] = np.frombuffer(r["v"], np.float32).reshape(len(rows), *whole.shape[1:])
     return model
 
 
@@ -362,8 +440,8 @@ def scores(
 
     Tokens are lower-cased words and an end. ``base_score`` is the log10 probability of the text
     under counts of all tokens of ``training`` plus one half, ``score`` that of the model: words
-    outside its vocabulary share the probability of the rest by their counts, and a word that
-    training lacks counts as one unseen word, so probabilities sum to one.
+    without a place of their own share that of their hash by their counts, and a word that
+    training lacks counts as one unseen word of its place, so probabilities sum to one.
 
     NULL and empty texts are an end alone; a NULL id stays; repeated rows give repeated results;
     an empty table gives no rows, and without training every token has probability one or the
@@ -382,7 +460,7 @@ def scores(
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             done = 0
-            for texts in _groups(raw(batch.column(1))):
+            for texts in _groups(raw(batch.column(1)), 400_000):
                 out = _score(texts, model, vocab)
                 n = len(texts)
                 keys = pa.array(np.arange(key, key + n))
@@ -403,7 +481,7 @@ def scores(
     added = counted.groupBy("key").agg(
         F.sum(F.expr("if(n > 0, times, 0)")).alias("known"),
         F.sum(F.col("times") * (half - float(np.log10(vocab.base_sum)))).alias("more_base"),
-        F.sum(F.col("times") * (half - float(np.log10(vocab.rest_sum)))).alias("more_score"),
+        F.sum(F.col("times") * half).alias("more_score"),
     )
     none = F.lit(0.0)
     return partial.drop("words", "times").join(added, "key", "left").select(
@@ -429,7 +507,9 @@ def _score(texts: list[list[bytes]], model: Model, vocab: Vocabulary) -> list[pa
     listed = known | (ids == _END)
     base = np.where(listed, np.log10(count + 0.5) - np.log10(vocab.base_sum), 0)
     score = model.log_probabilities(ids, before)
-    score += np.where((ids == _REST) & known, np.log10(count + 0.5) - np.log10(vocab.rest_sum), 0)
+    # The share of a word in its place; that of a rare word lacks its count.
+    alone = (ids == _END) | ((ids > _END) & (ids < 2 + len(vocab.ids)))
+    score += np.where(alone, 0, np.where(known, np.log10(count + 0.5), 0) - np.log10(vocab.sums[ids]))
     rare = [Counter(w for w in words if not get(w)) for words in texts]
     total = lambda values: np.add.reduceat(values, starts)
     return [
