@@ -65,3 +65,21 @@ def test_empty_tables_and_nulls(spark):
     clean = D.decontaminate(docs, tests)
     assert clean.columns == docs.columns
     assert [r.doc_id for r in clean.collect()] == [None]
+
+
+def test_matches_are_verbatim_and_name_every_place(spark):
+    item = [f"w{i}" for i in range(100)]
+    changed = [*item[:50], "other", *item[51:]]
+    shared = [f"s{i}" for i in range(20)]
+    items = [
+        ("long", " ".join(item)),
+        ("a", " ".join(["a0", *shared])),
+        ("b", " ".join([*shared, "b0", *shared])),
+    ]
+    docs = spark.createDataFrame(
+        [(1, " ".join(changed)), (2, " ".join(["x", *shared, "y"]))], "doc_id long, text string"
+    )
+    tests = spark.createDataFrame(items, "item_id string, text string")
+    found = {r.doc: sorted(map(tuple, r.matches)) for r in D.benchmark_hits(docs, tests).collect()}
+    assert found[1] == [("long", 0, 0, 50), ("long", 51, 51, 49)]
+    assert found[2] == [("a", 1, 1, 20), ("b", 0, 1, 20), ("b", 21, 1, 20)]

@@ -40,7 +40,7 @@ class _Tests:
     length: int
     keys: np.ndarray  # sorted distinct windows, big-endian ids as bytes
     owners: list[frozenset[str]]  # items of each window
-    first: list[tuple[str, int]]  # an item and the place of the window in it
+    places: list[list[tuple[str, int, int]]]  # items, their text's number, the window's place
     pairs: np.ndarray  # hashed set of beginnings
 
 
@@ -56,16 +56,17 @@ def _suffixes(sequence: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 def _prepare(items: list[tuple[str, bytes]], window: int) -> tuple[dict[bytes, int], list[_Tests]]:
     vocabulary: dict[bytes, int] = {}
-    by_length: dict[int, dict[bytes, tuple[set[str], tuple[str, int], tuple[int, ...]]]] = {}
-    for item, text in items:
+    by_length: dict[int, dict[bytes, tuple[set[str], list, tuple[int, ...]]]] = {}
+    for number, (item, text) in enumerate(dict.fromkeys(items)):
         found = words(text)
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in found]
         size = min(window, len(ids))
         for i in range(len(ids) - size + 1 if ids else 0):
             gram = tuple(ids[i : i + size])
             key = np.array(gram, dtype=">u4").tobytes()
-            entry = by_length.setdefault(size, {}).setdefault(key, (set(), (item, i), gram))
+            entry = by_length.setdefault(size, {}).setdefault(key, (set(), [], gram))
             entry[0].add(item)
+            entry[1].append((item, number, i))
     tests = []
     for length, grams in sorted(by_length.items()):
         ordered = sorted(grams.items())
@@ -74,7 +75,7 @@ def _prepare(items: list[tuple[str, bytes]], window: int) -> tuple[dict[bytes, i
         pairs = np.zeros(1 << _PAIR_BITS, dtype=bool)
         pairs[_pair_slots(begin[:, 0], begin[:, 1])] = True
         owners = [frozenset(own) for _, (own, _, _) in ordered]
-        tests.append(_Tests(length, keys, owners, [f for _, (_, f, _) in ordered], pairs))
+        tests.append(_Tests(length, keys, owners, [p for _, (_, p, _) in ordered], pairs))
     return vocabulary, tests
 
 
@@ -104,15 +105,16 @@ def _search(sequence: np.ndarray, test: _Tests) -> tuple[np.ndarray, np.ndarray]
 
 
 def _runs(places: np.ndarray, which: np.ndarray, test: _Tests, out: list) -> None:
-    """Longest verbatim matches: occurrences that follow each other in document and item."""
-    open_run = None
+    """Longest verbatim matches: windows that follow each other in document and item."""
+    open_runs: dict[tuple[int, int], list] = {}  # the last of each text and diagonal
     for place, k in zip(places.tolist(), which.tolist()):
-        item, at = test.first[k]
-        if open_run and open_run[0] == item and place - open_run[2] == at - open_run[1]:
-            open_run[3] = place + test.length - open_run[2]
-            continue
-        open_run = [item, at, place, test.length]
-        out.append(open_run)
+        for item, number, at in test.places[k]:
+            run = open_runs.get((number, place - at))
+            if run and place == run[2] + run[3] - test.length + 1:
+                run[3] += 1
+                continue
+            open_runs[number, place - at] = run = [item, at, place, test.length]
+            out.append(run)
 
 
 def _document(n: int, found: list[tuple[np.ndarray, np.ndarray]], tests: list[_Tests]) -> dict:
@@ -133,7 +135,8 @@ def _document(n: int, found: list[tuple[np.ndarray, np.ndarray]], tests: list[_T
         "hits": [{"start": a, "stop": b} for a, b in hits],
         "items": sorted(items),
         "matches": [
-            dict(zip(("item_id", "item_word", "doc_word", "n_words"), m)) for m in matches
+            dict(zip(("item_id", "item_word", "doc_word", "n_words"), m))
+            for m in dict.fromkeys(map(tuple, matches))
         ],
     }
 
@@ -231,8 +234,8 @@ def benchmark_hits(
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window.
     ``n_hit`` counts the words inside any occurrence, ``items`` has the ids of the items with
-    occurring windows, sorted as text, and ``matches`` the longest verbatim matches with their
-    places, one item for each. Every Arrow batch of documents is a shard with a suffix array of
+    occurring windows, sorted as text, and ``matches`` the longest verbatim matches with
+    every item and place that has them. Every Arrow batch of documents is a shard with a suffix array of
     its own, in which all test suffixes are searched; results never leave their row, so no row is
     shuffled and a hot passage costs no more than a rare one.
 
