@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 
+import pytest
+
 from touchline.llm import warc
 
 
@@ -50,3 +53,21 @@ def test_files_stay_small(spark, tmp_path, monkeypatch):
     found = back(spark, pages.coalesce(1), tmp_path)
     assert found.count() == 50
     assert len(list((tmp_path / "archives").glob("*.gz"))) > 10
+
+
+def test_archives_of_many_members(spark, tmp_path):
+    pages = spark.range(30).selectExpr("id AS page_id", "'u' AS url", "repeat(id, 700) AS html")
+    path = str(tmp_path / "one")
+    warc.write_archives(pages.coalesce(1), path)
+    (file,) = (tmp_path / "one").glob("*.gz")
+    records = gzip.decompress(file.read_bytes()).split(b"\r\n\r\nWARC/")
+    whole = [records[0], *(b"WARC/" + r for r in records[1:])]
+    whole = [r.removesuffix(b"\r\n\r\n") + b"\r\n\r\n" for r in whole]
+    members = [gzip.compress(r) for r in whole]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.warc.gz").write_bytes(b"".join(members))
+    found = warc.read_archives(spark, str(tmp_path / "many")).collect()
+    assert sorted(found) == sorted(warc.read_archives(spark, path).collect())
+    assert len(found) == 30
+    with pytest.raises(ValueError):
+        warc._unzip(b"".join(members)[:-20])

@@ -137,14 +137,25 @@ def _parse(archive: bytes) -> Iterator[tuple]:
         at += 4
 
 
+def _unzip(content: bytes) -> bytes:
+    """The bytes of all gzip members, one after the other."""
+    parts = []
+    while content:
+        unzip = zlib.decompressobj(wbits=31)
+        parts.append(unzip.decompress(content))
+        if not unzip.eof:
+            raise ValueError("the last gzip member of an archive is cut off")
+        content = unzip.unused_data.lstrip(b"\0")  # padding between members
+    return parts[0] if len(parts) == 1 else b"".join(parts)
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records of the archives under ``path``; payloads are checked against their digests."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         kinds = [f.type for f in _ARROW]
         for content in batch.column(0):
-            unzip = zlib.decompressobj(wbits=31)
-            archive, rows, size = unzip.decompress(content.as_py()), [], 0
+            archive, rows, size = _unzip(content.as_py()), [], 0
             for row in _parse(archive):
                 rows.append(row if payloads else (*row[:-1], None))
                 size += len(row[-1])
