@@ -80,3 +80,9 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     T.write_tokens(docs, str(tmp_path / "none"), PATH)
     assert T.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_copies_of_a_passage_fold_into_few_symbols():
+    passage = np.arange(1_000, dtype="<u4")
+    symbols, rules, _ = T.compress([passage] * 200, 50_000)
+    assert max(map(len, symbols)) <= 2 and len(rules) < 1_100

@@ -36,8 +36,7 @@ from touchline.llm.frames import map_rows, raw
 
 #: Tokens from which a shard is closed; a document is never split between shards.
 SHARD_TOKENS = 1_000_000
-#: Rounds of replacement, pairs replaced in a round, and occurrences that make a pair frequent.
-ROUNDS = 6
+#: Pairs replaced in a round, and occurrences that make a pair frequent.
 PAIRS = 1_024
 FREQUENT = 32
 #: Pieces whose ids a worker remembers; beyond that those not met again are forgotten.
@@ -139,20 +138,20 @@ def _frequent(codes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def compress(
-    documents: list[np.ndarray], terminals: int, rounds: int = ROUNDS
+    documents: list[np.ndarray], terminals: int
 ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(symbols of each document, rules, expansions): frequent pairs become new symbols.
 
-    A round counts all neighbouring pairs and replaces the most frequent ones; it ends when no
-    pair is frequent, the rounds are used up, or symbols would need more than 16 bits where 16
-    bits could hold them so far. Pairs never cross documents.
+    Each round counts all neighbouring pairs and replaces the most frequent ones, until no
+    pair is frequent, or symbols would need more than 16 bits where 16 bits could hold them so
+    far. Pairs never cross documents.
     """
     most, bits = (1 << 16, 16) if terminals < 1 << 16 else (1 << 31, 32)
     gap = np.array([-1], dtype=np.int32)
     line = np.concatenate([x for ids in documents for x in (ids.astype(np.int32), gap)] or [gap])
     rules = np.empty((0, 2), dtype=np.int64)
     sizes = np.ones(terminals, dtype=np.int64)
-    for _ in range(rounds):
+    while True:
         inside = (line[:-1] >= 0) & (line[1:] >= 0)
         at = np.flatnonzero(inside)
         if not len(at):
