@@ -12,6 +12,7 @@ from touchline.operators.ranking import argmax_with_ties, top_k
 from touchline.operators.reshape import pivot_mean, pivot_strict
 from touchline.operators.sides import match_sides, outcome_rows, team_matches
 from touchline.operators.updates import update_from
+from touchline.plans.charts import period_labels
 
 
 @pytest.mark.parametrize(
@@ -180,3 +181,10 @@ def test_outcomes(spark, rows):
 def test_rank_is_stable_when_every_row_ties(spark):
     df = spark.range(2000).withColumn("n", F.lit(1))
     assert argmax_with_ties(df, "n").count() == 2000
+
+
+def test_period_labels_fail_instead_of_dropping_seasons(spark):
+    seasons = spark.range(1, 102).selectExpr("id AS season_id", "CAST(id AS STRING) AS season")
+    assert len(period_labels(seasons, 1, 100)) == 100
+    with pytest.raises(ValueError):
+        period_labels(seasons, 1, 101)

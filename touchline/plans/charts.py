@@ -13,6 +13,8 @@ from touchline.plans.questions import FIRST_SEASON, LAST_SEASON
 
 # Fixed value: head room above the tallest bar.
 AXIS_HEADROOM = 1.1
+#: Season columns of a pivot at most.
+MOST_SEASONS = 100
 
 
 def _labelled(per_team_season: DataFrame, teams: DataFrame, seasons: DataFrame) -> DataFrame:
@@ -60,9 +62,12 @@ def home_away_goals(matches: DataFrame, teams: DataFrame, seasons: DataFrame) ->
 def period_labels(
     seasons: DataFrame, first: int = FIRST_SEASON, last: int = LAST_SEASON
 ) -> list[str]:
-    """Labels of the seasons ``first..last`` in their order; the driver gets a hundred at most."""
+    """Labels of the seasons ``first..last`` in their order; fails if they are more than a hundred."""
     rows = seasons.where(f"season_id BETWEEN {first} AND {last}").orderBy("season_id")
-    return [r.season for r in rows.select("season").limit(100).collect()]
+    labels = [r.season for r in rows.select("season").limit(MOST_SEASONS + 1).collect()]
+    if len(labels) > MOST_SEASONS:
+        raise ValueError(f"more than {MOST_SEASONS} seasons from {first} to {last}")
+    return labels
 
 
 def team_by_season_mean(
