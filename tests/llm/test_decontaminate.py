@@ -83,3 +83,14 @@ def test_matches_are_verbatim_and_name_every_place(spark):
     found = {r.doc: sorted(map(tuple, r.matches)) for r in D.benchmark_hits(docs, tests).collect()}
     assert found[1] == [("long", 0, 0, 50), ("long", 51, 51, 49)]
     assert found[2] == [("a", 1, 1, 20), ("b", 0, 1, 20), ("b", 21, 1, 20)]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    bad, good = "a b c", "d e f"
+    rows = [(None, bad), (None, good), (1, bad), (1, good), (2, good), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([("t", bad)], "item_id string, text string")
+    clean = D.decontaminate(docs, tests)
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted(
+        (row for row in rows if row[1] != bad), key=str
+    )

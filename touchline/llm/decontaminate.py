@@ -243,6 +243,20 @@ def benchmark_hits(
     is one item; repeated rows give repeated results; an empty table on either side gives no hits;
     other columns are not read. A test set of more than ``BLOCK_BYTES`` is searched in blocks.
     """
+    found = _hits(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
+    return found.drop("digest")
+
+
+def _hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 13,
+) -> DataFrame:
+    """:func:`benchmark_hits` with the digest of each text."""
     spark = docs.sparkSession
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc"),
@@ -274,6 +288,7 @@ def benchmark_hits(
         )
     return found.select(
         "doc",
+        "digest",
         "n_words",
         _covered("hits").alias("n_hit"),
         F.sort_array("items").alias("items"),
@@ -285,8 +300,13 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows of which a twentieth of the words or more is benchmark text."""
-    id_col = options.get("id_col", "doc_id")
-    found = benchmark_hits(docs, benchmark, **options)
-    affected = found.where(CONTAMINATED).select(F.col("doc").alias(id_col)).distinct()
-    return docs.join(stage(affected, "affected"), id_col, "left_anti")
+    """``docs`` without the rows of which a twentieth of the words or more is benchmark text.
+
+    Every row is judged by its own text: one without an id goes as well, and a clean row stays
+    whatever other rows have its id.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    affected = _hits(docs, benchmark, **options).where(CONTAMINATED).select("doc", "digest")
+    same = f"CAST(docs.`{id_col}` AS BIGINT) <=> gone.doc AND sha2(docs.`{text_col}`, 256) = gone.digest"
+    gone = stage(affected.distinct(), "affected").alias("gone")
+    return docs.alias("docs").join(gone, F.expr(same), "left_anti")
