@@ -13,6 +13,7 @@ from touchline.llm import (
     chat,
     decontaminate,
     lm,
+    merkle,
     quality,
     repeats,
     rules,
@@ -20,7 +21,7 @@ from touchline.llm import (
     token_files,
     warc,
 )
-from touchline.llm.frames import table
+from touchline.llm.frames import fold, table
 from touchline.session import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,3 +233,102 @@ SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, n_copies,
         || '<|im_end|>' || chr(10) for t in turns], '') AS text
 FROM kinds ANTI JOIN beginnings USING (turns)
 """
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = [merkle.ascii_lower(c) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    changed = F.when(fold("doc_id", 3) == 0, merkle.leaf(lowered))
+    found = merkle.manifest(docs, carry={"tampered": changed})
+    start = F.coalesce("tampered", "leaf")
+    folded = found.withColumn("folded_root", merkle.folded("path", start))
+    return folded.select(
+        F.col("doc").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest("path").alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+SQL["op13_merkle"] = """
+WITH RECURSIVE texts AS (
+    SELECT doc_id, lang, source, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz') AS lowered, hex(encode(CAST(doc_id AS VARCHAR))) AS digits
+    FROM documents),
+crcs AS (
+    -- Eight shifts a byte; the byte comes in before the first of them.
+    SELECT *, xor(list_reduce(flatten([[CAST(4294967295 AS BIGINT)], flatten([
+            [CAST('0x' || digits[2 * i + 1 : 2 * i + 2] AS BIGINT), 0, 0, 0, 0, 0, 0, 0]
+            for i in range(0, len(digits) // 2)])]),
+        lambda c, b : xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS crc
+    FROM texts),
+fields AS (
+    SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+        || coalesce(octet_length(encode(source)) || ':' || source, '-')
+        || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+        || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head
+    FROM crcs),
+leaves AS (
+    SELECT doc_id, lang,
+        sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+        CASE WHEN crc % 3 = 0
+            THEN sha256(head || coalesce(octet_length(encode(lowered)) || ':' || lowered, '-'))
+            ELSE leaf END AS start,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx,
+        count(*) OVER (PARTITION BY lang) AS n
+    FROM fields),
+low(lang, level, idx, n, digest) AS (
+    SELECT lang, 0, idx, n, leaf FROM leaves
+    UNION ALL
+    SELECT lang, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM low WHERE n > 1 GROUP BY lang, level, idx // 8, n),
+subroots AS (
+    SELECT lang, digest AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS idx,
+        count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, idx, n, digest) AS (
+    SELECT 0, idx, n, subroot FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM high WHERE n > 1 GROUP BY level, idx // 8, n),
+nodes AS (
+    SELECT lang, level, idx, digest, idx // 8 AS run FROM low WHERE n > 1
+    UNION ALL SELECT s.lang, 1000 + h.level, h.idx, h.digest, h.idx // 8
+    FROM high h, subroots s WHERE h.n > 1),
+own AS (
+    SELECT l.doc_id, l.lang, l.idx AS leaf_idx, n.level, n.idx, n.run FROM leaves l, nodes n
+    WHERE l.lang IS NOT DISTINCT FROM n.lang AND n.level < 1000
+        AND n.idx = l.idx // CAST(power(8, n.level) AS BIGINT)
+    UNION ALL
+    SELECT l.doc_id, l.lang, l.idx, n.level, n.idx, n.run
+    FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+    JOIN nodes n ON n.lang IS NOT DISTINCT FROM l.lang AND n.level >= 1000
+        AND n.idx = s.idx // CAST(power(8, n.level - 1000) AS BIGINT)),
+steps AS (
+    SELECT o.lang, o.leaf_idx, o.level,
+        coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (WHERE n.idx < o.idx), '') AS lefts,
+        coalesce(string_agg(n.digest, '' ORDER BY n.idx) FILTER (WHERE n.idx > o.idx), '') AS rights
+    FROM own o JOIN nodes n
+        ON n.lang IS NOT DISTINCT FROM o.lang AND n.level = o.level AND n.run = o.run
+    GROUP BY o.lang, o.leaf_idx, o.level, o.idx),
+paths AS (
+    SELECT lang, leaf_idx, string_agg(lefts || rights, '' ORDER BY level) AS siblings,
+        list({'l': lefts, 'r': rights} ORDER BY level) AS steps
+    FROM steps GROUP BY lang, leaf_idx),
+folds(lang, idx, k, digest) AS (
+    SELECT lang, idx, 1, start FROM leaves
+    UNION ALL
+    SELECT f.lang, f.idx, k + 1, sha256(steps[k].l || digest || steps[k].r)
+    FROM folds f JOIN paths p ON f.lang IS NOT DISTINCT FROM p.lang AND f.idx = p.leaf_idx
+    WHERE k <= len(steps)),
+ends AS (SELECT lang, idx, arg_max(digest, k) AS folded_root FROM folds GROUP BY lang, idx)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root,
+    folded_root = root AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+JOIN ends e ON l.lang IS NOT DISTINCT FROM e.lang AND l.idx = e.idx
+LEFT JOIN paths p ON l.lang IS NOT DISTINCT FROM p.lang AND l.idx = p.leaf_idx,
+(SELECT digest AS root FROM high WHERE n = 1)
+"""

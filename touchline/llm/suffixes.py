@@ -10,7 +10,7 @@ from touchline.session import stage
 _PLACE = ["d", "r", "i"]
 
 
-def _below(
+def counts_below(
     rows: DataFrame, keys: list[str], classes: list[str], scratch: list[DataFrame]
 ) -> DataFrame:
     """For each distinct ``keys``: how many rows of each class column have smaller ones.
@@ -62,10 +62,10 @@ def suffix_ranks(strings: DataFrame, levels: int, scratch: list[DataFrame]) -> D
     scratch.append(triples)
     key = ["sym", "sym1", "sym2"]
     if levels <= 1:
-        names = _below(triples.withColumn("n", F.lit(1)), key, ["n"], scratch)
+        names = counts_below(triples.withColumn("n", F.lit(1)), key, ["n"], scratch)
         return triples.join(names, key).select(*_PLACE, F.col("below_n").alias("rank"))
     sample = triples.where("i % 3 <> 0")
-    names = _below(sample.withColumn("n", F.lit(1)), key, ["n"], scratch)
+    names = counts_below(sample.withColumn("n", F.lit(1)), key, ["n"], scratch)
     named = sample.join(names, key).select(
         "d",
         F.expr("2 * r + i % 3 - 1").alias("r"),
@@ -87,8 +87,8 @@ def suffix_ranks(strings: DataFrame, levels: int, scratch: list[DataFrame]) -> D
     )
     scratch.append(whole)
     # The rest against the sample at 1 modulo 3 by one symbol, at 2 modulo 3 by two.
-    one = _below(whole.where("n2 = 0"), ["sym", "rank1"], ["n0", "n1"], scratch)
-    two = _below(whole.where("n1 = 0"), ["sym", "sym1", "rank2"], ["n0", "n2"], scratch)
+    one = counts_below(whole.where("n2 = 0"), ["sym", "rank1"], ["n0", "n1"], scratch)
+    two = counts_below(whole.where("n1 = 0"), ["sym", "sym1", "rank2"], ["n0", "n2"], scratch)
     rest = (
         whole.where("n0 = 1")
         .join(one, ["sym", "rank1"])
