@@ -18,6 +18,7 @@ from touchline.llm import (
     repeats,
     rules,
     simhash,
+    spelling,
     token_files,
     warc,
 )
@@ -332,3 +333,53 @@ JOIN ends e ON l.lang IS NOT DISTINCT FROM e.lang AND l.idx = e.idx
 LEFT JOIN paths p ON l.lang IS NOT DISTINCT FROM p.lang AND l.idx = p.leaf_idx,
 (SELECT digest AS root FROM high WHERE n = 1)
 """
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_spelling"] = """
+WITH RECURSIVE runs AS (
+    SELECT doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents)
+    GROUP BY doc_id, run),
+hashed AS (
+    -- Eight shifts a byte; the byte comes in before the first of them.
+    SELECT run, times, xor(list_reduce(flatten([[CAST(4294967295 AS BIGINT)], flatten([
+            [CAST('0x' || digits[2 * i + 1 : 2 * i + 2] AS BIGINT), 0, 0, 0, 0, 0, 0, 0]
+            for i in range(0, len(digits) // 2)])]),
+        lambda c, b : xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h
+    FROM (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS digits
+          FROM runs)),
+words AS MATERIALIZED (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+        SELECT times, CASE WHEN h % 97 = 0
+            THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM hashed)
+    GROUP BY word HAVING length(word) >= 5 AND sum(times) >= 3),
+cuts AS MATERIALIZED (
+    SELECT word, i, left(word, i) || substr(word, i + 2) AS rest
+    FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+near AS (
+    SELECT c.word, d.word AS near FROM cuts c JOIN cuts d USING (rest, i) WHERE c.word <> d.word
+    UNION SELECT word, rest FROM cuts SEMI JOIN words w ON w.word = rest
+    UNION SELECT rest, word FROM cuts SEMI JOIN words w ON w.word = rest),
+rated AS MATERIALIZED (
+    SELECT r.word, count(*) AS n_near,
+        first(near ORDER BY w.n DESC, encode(near)) AS best, max(w.n) AS best_n
+    FROM near r JOIN words w ON w.word = r.near GROUP BY r.word),
+forms AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN best_n >= 2 * n THEN best END AS form,
+        CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+    FROM words w LEFT JOIN rated USING (word)),
+chains(word, last, form) AS (
+    SELECT word, word, form FROM forms
+    UNION ALL
+    SELECT c.word, f.word, f.form FROM chains c JOIN forms f ON f.word = c.form)
+SELECT f.word, f.form, c.last AS root, n, n_near, form_n
+FROM forms f JOIN chains c ON c.word = f.word AND c.form IS NULL
+"""
