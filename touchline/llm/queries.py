@@ -14,6 +14,7 @@ from touchline.llm import (
     decontaminate,
     lm,
     merkle,
+    neighbours,
     quality,
     repeats,
     rules,
@@ -383,3 +384,14 @@ chains(word, last, form) AS (
 SELECT f.word, f.form, c.last AS root, n, n_near, form_n
 FROM forms f JOIN chains c ON c.word = f.word AND c.form IS NULL
 """
+
+
+@query
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+    return found.select(
+        F.col("query").alias("query_id"),
+        F.col("rank").cast("int").alias("rank"),
+        F.col("id").alias("vec_id"),
+        "score",
+    )
