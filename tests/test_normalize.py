@@ -355,3 +355,33 @@ def test_command_line_writes_published_names_and_rejects(spark, rows, tmp_path):
         ["normalize", raw, tables + "2", "--country", "Spain", "--published", "--suffix", "_spain"]
     )
     assert spark.read.parquet(f"{tables}2/partidos_spain.parquet").count() == 6
+
+
+def test_maps_and_slots_give_the_same_lineups(spark, plan_of, rows):
+    """Squads of up to three members in maps, larger ones slot by slot, for both member rules."""
+    matches = feed(spark)["matches"]
+    teams = N.home_teams(feed(spark)["teams"], N.fixtures(matches))
+    squad = N.squad_ids(N.squad_membership(matches, teams))
+    for rule in ("season_exact", "any"):
+        wanted = rows(N.lineup_members(matches, teams, squad, rule, in_map=0))
+        assert wanted
+        for in_map in (2, 3, 512):
+            assert rows(N.lineup_members(matches, teams, squad, rule, in_map=in_map)) == wanted
+    mapped = plan_of(N.lineup_members(matches, teams, squad, in_map=512))
+    assert "stack(" not in mapped and "Expand" not in mapped
+    assert "stack(" in plan_of(N.lineup_members(matches, teams, squad, in_map=0))
+
+
+def test_documents_are_parsed_once(spark, monkeypatch):
+    """Goals and rejects of one run come from one staged parse."""
+    parses = []
+
+    def counted(df, label):
+        parses.append(df._jdf.queryExecution().optimizedPlan().toString().count("from_xml("))
+        return stage(df, label)
+
+    stage = N.stage
+    monkeypatch.setattr(N, "stage", counted)
+    tables = N.normalize(feed(spark), country="Spain")
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in tables.values()]
+    assert sum(parses) + sum(plan.count("from_xml(") for plan in plans) == 1

@@ -32,43 +32,36 @@ def _parsed(df: DataFrame, document: str, keep: Sequence[str], strict: bool) ->
     return df.where(f"{document} IS NOT NULL").selectExpr(*keep, read)
 
 
-def xml_events(
+def classified_events(
     df: DataFrame, document: str, keep: Sequence[str], strict: bool = False
 ) -> DataFrame:
-    """``keep`` columns plus ``goal_id, minute, player_id, team_id``, one row per event.
+    """Every event and everything unreadable from one parse of each document.
 
-    Rows without a document give no events; an event may lack player or team. ``strict`` fails
-    on a malformed document, a missing id or minute, or a non-numeric field. Otherwise a
-    malformed document gives nothing, an event without readable id or minute is left out, and an
-    unreadable player or team becomes NULL; :func:`xml_rejects` lists all of these.
+    ``keep`` columns, ``goal_id, minute, player_id, team_id``, and for what could not be read a
+    ``reason`` and the ``content``; :func:`readable` and :func:`unreadable` are its projections.
+    An unreadable player or team is NULL, and its event is in both. ``strict`` fails on a malformed
+    document, a missing id or minute, or a non-numeric field, so that nothing has a reason.
     """
     parsed = _parsed(df, document, keep, strict)
-    if not strict:
-        # An outer generator: a plain one makes the optimizer test the document in filters of its
-        # own, each of which parses it again. The filter below removes the rows without events.
-        events = parsed.selectExpr(*keep, "inline_outer(_doc.value)")
-        typed = [f"try_cast({field} AS {kind}) AS {name}" for name, field, kind, _ in _TYPED]
-        found = events.selectExpr(*keep, *typed)
-        return found.where("goal_id IS NOT NULL AND minute IS NOT NULL")
-
-    def exact(field: str, kind: str, needed: bool) -> str:
-        if needed:
-            field = f"coalesce({field}, raise_error('event without {field.removeprefix("_event.")}'))"
-        return f"CAST({field} AS {kind})"
-
-    events = parsed.selectExpr(*keep, "posexplode_outer(_doc.value) AS (_at, _event)")
-    return events.where("_at IS NOT NULL").selectExpr(
-        *keep,
-        *[
-            f"{exact(f'_event.{field}', kind, needed)} AS {name}"
-            for name, field, kind, needed in _TYPED
-        ],
-    )
+    # An outer generator: a plain one makes the optimizer test the document in filters of its
+    # own, each of which parses it again. The filter below removes the rows without events.
+    if strict:
 
+        def exact(field: str, kind: str, needed: bool) -> str:
+            if needed:
+                field = f"coalesce({field}, raise_error('event without {field.removeprefix("_event.")}'))"
+            return f"CAST({field} AS {kind})"
 
-def xml_rejects(df: DataFrame, document: str, keep: Sequence[str]) -> DataFrame:
-    """What the lenient :func:`xml_events` could not read: ``keep``, ``reason``, ``content``."""
-    parsed = _parsed(df, document, keep, strict=False)
+        events = parsed.selectExpr(*keep, "posexplode_outer(_doc.value) AS (_at, _event)")
+        return events.where("_at IS NOT NULL").selectExpr(
+            *keep,
+            *[
+                f"{exact(f'_event.{field}', kind, needed)} AS {name}"
+                for name, field, kind, needed in _TYPED
+            ],
+            "CAST(NULL AS STRING) AS reason",
+            "CAST(NULL AS STRING) AS content",
+        )
     # A broken document becomes one more event, so that one pass over one parse finds everything.
     found = parsed.selectExpr(
         *keep,
@@ -78,15 +71,55 @@ def xml_rejects(df: DataFrame, document: str, keep: Sequence[str]) -> DataFrame:
         f"_doc.{_BROKEN} AS {_BROKEN}",
     ).selectExpr("*", "_event.*")
     missing = " OR ".join(f"{field} IS NULL" for _, field, _, needed in _TYPED if needed)
-    unreadable = " OR ".join(
+    spoilt = " OR ".join(
         f"({field} IS NOT NULL AND try_cast({field} AS {kind}) IS NULL)"
         for _, field, kind, _ in _TYPED
     )
-    return found.selectExpr(
-        *keep,
-        f"""CASE WHEN {_BROKEN} IS NOT NULL THEN 'malformed document'
-            WHEN _at IS NULL THEN NULL
-            WHEN {missing} THEN 'missing id or minute'
-            WHEN {unreadable} THEN 'non-numeric field' END AS reason""",
-        f"coalesce({_BROKEN}, to_json(struct(id, elapsed, player1, team))) AS content",
-    ).where("reason IS NOT NULL")
+    return (
+        found.where("_at IS NOT NULL")
+        .selectExpr(
+            *keep,
+            *[f"try_cast({field} AS {kind}) AS {name}" for name, field, kind, _ in _TYPED],
+            f"""CASE WHEN {_BROKEN} IS NOT NULL THEN 'malformed document'
+                WHEN {missing} THEN 'missing id or minute'
+                WHEN {spoilt} THEN 'non-numeric field' END AS reason""",
+            f"coalesce({_BROKEN}, to_json(struct(id, elapsed, player1, team))) AS _content",
+        )
+        .selectExpr(
+            *keep,
+            *[name for name, *_ in _TYPED],
+            "reason",
+            "CASE WHEN reason IS NOT NULL THEN _content END AS content",
+        )
+    )
+
+
+def readable(events: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The events of :func:`classified_events` that have an id and a minute."""
+    found = events.where("goal_id IS NOT NULL AND minute IS NOT NULL")
+    return found.select(*keep, *[name for name, *_ in _TYPED])
+
+
+def unreadable(events: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """What :func:`classified_events` could not read: ``keep``, ``reason``, ``content``."""
+    return events.where("reason IS NOT NULL").select(*keep, "reason", "content")
+
+
+def xml_events(
+    df: DataFrame, document: str, keep: Sequence[str], strict: bool = False
+) -> DataFrame:
+    """``keep`` columns plus ``goal_id, minute, player_id, team_id``, one row per event.
+
+    Rows without a document give no events; an event may lack player or team. ``strict`` fails
+    on a malformed document, a missing id or minute, or a non-numeric field. Otherwise a
+    malformed document gives nothing, an event without readable id or minute is left out, and an
+    unreadable player or team becomes NULL; :func:`xml_rejects` lists all of these.
+    """
+    events = classified_events(df, document, keep, strict)
+    # Strict events all have an id and a minute; a filter would be moved below what raises.
+    return events.select(*keep, *[name for name, *_ in _TYPED]) if strict else readable(events, keep)
+
+
+def xml_rejects(df: DataFrame, document: str, keep: Sequence[str]) -> DataFrame:
+    """What the lenient :func:`xml_events` could not read: ``keep``, ``reason``, ``content``."""
+    return unreadable(classified_events(df, document, keep), keep)

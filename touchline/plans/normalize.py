@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from touchline.functions.seasons import season_label
 from touchline.operators.joins import FEW_SALTS, keep_known, quoted, salted_join
 from touchline.operators.keys import contiguous_ids, label_ids
-from touchline.operators.xml_events import xml_events, xml_rejects
+from touchline.operators.xml_events import classified_events, readable, unreadable, xml_events
 from touchline.schemas import SLOTS, UNUSED_MATCH_COLUMNS, slot_columns
 from touchline.session import stage
 
+#: Members of a squad that are looked up in a map; a lookup reads the map from its beginning.
+SQUAD_IN_MAP = 512
+
 
 def countries(raw: DataFrame, name: str | None = None) -> DataFrame:
     return raw if name is None else raw.where(F.col("name") == name)
@@ -108,29 +111,43 @@ def squad_ids(membership: DataFrame, ordered: bool = True) -> DataFrame:
     )
 
 
-def lineup_members(
-    matches: DataFrame,
-    teams: DataFrame,
-    squad: DataFrame,
-    member_of: str = "season_exact",
-    slots: int = SLOTS,
-) -> DataFrame:
-    """Lineups with squad-member ids in place of player ids, for matches of two known teams.
+def _squad_maps(members: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Of each squad (``keys``): its size ``n`` and, up to ``most`` members, a map player -> member.
 
-    ``member_of="season_exact"`` takes the membership of the match's season; ``"any"`` takes the
-    smallest member id of the player in that team.
+    Squads are counted before any is gathered, so that no task holds a larger one.
     """
-    keys = ["team_id", "player_id", "season"]
-    members = squad
-    if member_of == "any":
-        keys = ["team_id", "player_id"]
-        members = squad.groupBy(*keys).agg(F.min("member_id").alias("member_id"))
-    elif member_of != "season_exact":
-        raise ValueError(f"unknown member rule: {member_of}")
-    known = matches
-    for side in ("home", "away"):
-        ids = teams.selectExpr(f"team_id AS {side}_team_api_id").distinct()
-        known = salted_join(known, ids, [f"{side}_team_api_id"], spread_by=["match_api_id"])
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"))
+    fitting = sizes.where(F.col("n") <= most)
+    kept = salted_join(members, fitting.select(*keys), keys, spread_by=["player_id"], salts=FEW_SALTS)
+    entries = F.collect_list(F.struct("player_id", "member_id"))
+    maps = kept.groupBy(*keys).agg(F.map_from_entries(entries).alias("members"))
+    return sizes.join(maps, keys, "left")
+
+
+def _looked_up(known: DataFrame, slots: int) -> DataFrame:
+    """Member ids by the maps that each side's squad brought along."""
+    return known.select(
+        F.col("match_api_id").alias("match_id"),
+        *[
+            F.expr(
+                f"{side}_members[{side}_player_{slot}] AS {side}_member_{slot}"
+            )
+            for side in ("home", "away")
+            for slot in range(1, slots + 1)
+        ],
+    )
+
+
+def _one_row_each(lineups: DataFrame, slots: int) -> DataFrame:
+    """A match that the feed repeats has one lineup."""
+    columns = slot_columns("home_member", slots) + slot_columns("away_member", slots)
+    return lineups.groupBy("match_id").agg(*[F.max(c).alias(c) for c in columns])
+
+
+def _joined_by_slot(
+    known: DataFrame, members: DataFrame, keys: list[str], slots: int
+) -> DataFrame:
+    """Member ids by a join of each filled slot, for squads of any size."""
     rows = _slot_rows(known, slots, empty_row=True)
     found = salted_join(
         rows,
@@ -152,6 +169,60 @@ def lineup_members(
     )
 
 
+def lineup_members(
+    matches: DataFrame,
+    teams: DataFrame,
+    squad: DataFrame,
+    member_of: str = "season_exact",
+    slots: int = SLOTS,
+    in_map: int = SQUAD_IN_MAP,
+) -> DataFrame:
+    """Lineups with squad-member ids in place of player ids, for matches of two known teams.
+
+    ``member_of="season_exact"`` takes the membership of the match's season; ``"any"`` takes the
+    smallest member id of the player in that team.
+
+    A squad of up to ``in_map`` members is folded into one map that joins the match's row once per
+    side, and the slots are looked up in the row, which is never multiplied. Matches of a larger
+    squad are joined slot by slot.
+    """
+    keys = ["team_id", "player_id", "season"]
+    members = squad.where("player_id IS NOT NULL")
+    if member_of == "any":
+        keys = ["team_id", "player_id"]
+        members = members.groupBy(*keys).agg(F.min("member_id").alias("member_id"))
+    elif member_of != "season_exact":
+        raise ValueError(f"unknown member rule: {member_of}")
+    else:
+        members = members.where("season IS NOT NULL")
+    players = slot_columns("home_player", slots) + slot_columns("away_player", slots)
+    known = matches.select(
+        "match_api_id", "season", "home_team_api_id", "away_team_api_id", *players
+    )
+    for side in ("home", "away"):
+        ids = teams.selectExpr(f"team_id AS {side}_team_api_id").distinct()
+        known = salted_join(known, ids, [f"{side}_team_api_id"], spread_by=["match_api_id"])
+    own = [key for key in keys if key != "player_id"]
+    maps = stage(_squad_maps(members, own, in_map), "squads")
+    for side in ("home", "away"):
+        names = {"team_id": f"{side}_team_api_id", "n": f"{side}_n", "members": f"{side}_members"}
+        known = salted_join(
+            known,
+            maps.withColumnsRenamed(names),
+            [names.get(key, key) for key in own],
+            "left",
+            spread_by=["match_api_id"],
+            salts=FEW_SALTS,
+        )
+    small = " AND ".join(f"coalesce({side}_n, 0) <= {in_map}" for side in ("home", "away"))
+    largest = maps.agg(F.max("n")).first()[0] or 0
+    if largest <= in_map:
+        return _one_row_each(_looked_up(known, slots), slots)
+    parted = stage(known.withColumn("_small", F.expr(small)), "known")
+    mapped = _one_row_each(_looked_up(parted.where("_small"), slots), slots)
+    return mapped.union(_joined_by_slot(parted.where("NOT _small"), members, keys, slots))
+
+
 def squad_members(squad: DataFrame) -> DataFrame:
     return squad.select("member_id", "team_id", "player_id")
 
@@ -211,10 +282,19 @@ def match_table(matches: DataFrame, seasons: DataFrame, slots: int = SLOTS) -> D
     return with_season_id(renamed, seasons)
 
 
+_OF_MATCH = ["match_id", "season"]
+
+
+def read_goals(matches: DataFrame, strict: bool = False) -> DataFrame:
+    """Events and rejects of the goal documents, out of one parse; see ``classified_events``."""
+    documents = matches.selectExpr("match_api_id AS match_id", "season", "goal")
+    return classified_events(documents, "goal", _OF_MATCH, strict)
+
+
 def goal_events(matches: DataFrame, strict: bool = False) -> DataFrame:
     """Every goal in the documents: ``match_id, season, goal_id, minute, player_id, team_id``."""
     documents = matches.selectExpr("match_api_id AS match_id", "season", "goal")
-    return xml_events(documents, "goal", ["match_id", "season"], strict)
+    return xml_events(documents, "goal", _OF_MATCH, strict)
 
 
 def resolve_goals(events: DataFrame, squad: DataFrame) -> DataFrame:
@@ -244,13 +324,15 @@ def normalize(
     nations = countries(feed["countries"], country)
     selected = None if country is None else nations
     matches = league_matches(feed["matches"], selected)
+    if selected is not None:
+        matches = stage(matches, "matches")  # seven tables are made of it
     fixture_rows = fixtures(matches)
     teams = stage(home_teams(feed["teams"], fixture_rows), "teams")
     squad = squad_ids(squad_membership(matches, teams, slots), ordered_ids)
     players = stage(squad_players(feed["players"], squad), "players")
     attributes = dated_attributes(feed["player_attributes"], players, ordered_ids)
     seasons = stage(season_dimension(attributes), "seasons")
-    documents = matches.selectExpr("match_api_id AS match_id", "season", "goal")
+    read = stage(read_goals(matches, strict_goals), "goals_read")
     return {
         "countries": nations,
         "leagues": leagues(feed["leagues"], selected),
@@ -263,6 +345,6 @@ def normalize(
         "players": players,
         "player_attributes": with_season_id(attributes, seasons),
         "seasons": seasons,
-        "goals": resolve_goals(goal_events(matches, strict_goals), squad),
-        "goal_rejects": xml_rejects(documents, "goal", ["match_id"]),
+        "goals": resolve_goals(readable(read, _OF_MATCH), squad),
+        "goal_rejects": unreadable(read, ["match_id"]),
     }
