@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline.llm.frames import map_rows
-from touchline.llm.suffixes import suffix_ranks
+from touchline.llm.suffixes import ranks_of
 from touchline.session import stage, stage_path, unstage
 
 SPAN = 100
@@ -147,22 +147,23 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _grams(texts: DataFrame) -> DataFrame:
-    """(gram, d, b, inner): the gram of every block."""
+    """(gram, d, first, last, inner): every block with its gram."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [blocks(data, GRAM)[2:] for data in _texts(batch.column(1))]
-        sizes = [len(gram) for gram, _ in found]
-        grams, inner = (np.concatenate(column) for column in zip(*found))
+        found = [blocks(data, GRAM) for data in _texts(batch.column(1))]
+        first, last, grams, inner = (np.concatenate(column) for column in zip(*found))
         columns = [
             _signed(grams),
-            np.repeat(_ids(batch.column(0)), sizes),
-            np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
+            np.repeat(_ids(batch.column(0)), [len(own[0]) for own in found]),
+            first.astype(np.int32),
+            last.astype(np.int32),
             inner,
         ]
-        names = ["gram", "d", "b", "inner"]
+        names = ["gram", "d", "first", "last", "inner"]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return map_rows(texts.select("d", "text"), "gram long, d long, b int, inner boolean", work)
+    schema = "gram long, d long, first int, last int, inner boolean"
+    return map_rows(texts.select("d", "text"), schema, work)
 
 
 def _with_company(rows: DataFrame) -> DataFrame:
@@ -177,31 +178,39 @@ def _with_company(rows: DataFrame) -> DataFrame:
 
 
 def _block_strings(texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Blocks with a repeated gram, as strings of neighbours (d, r) with places i."""
-    lists = repeated.groupBy("d").agg(F.collect_list("b").alias("bs"))
+    """Blocks with a repeated gram, as strings of neighbours (d, r) with places i, each with the two
+    symbols that follow it."""
+    block = F.struct("first", "last", "gram", "inner")
+    lists = repeated.groupBy("d").agg(F.collect_list(block).alias("blocks"))
     schema = (
-        "d long, r long, i int, sym long, gram long, inner boolean, reach1 long, reach2 long,"
-        " first int, last int"
+        "d long, r long, i int, sym long, sym1 long, sym2 long, gram long, inner boolean,"
+        " reach1 long, reach2 long, first int, last int"
     )
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
         for d, data, own in zip(_ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)):
-            b = np.sort(own.values.to_numpy())
-            first, last, gram, inner = (column[b] for column in blocks(data, GRAM))
-            new = np.concatenate(([True], b[1:] != b[:-1] + 1))
-            begin = b[new][np.cumsum(new) - 1]
+            rows = own.values
+            first = rows.field("first").to_numpy().astype(np.int64)
+            order = np.argsort(first)
+            first = first[order]
+            last = rows.field("last").to_numpy().astype(np.int64)[order]
+            new = np.concatenate(([True], first[1:] != last[:-1] + 1))
+            run = np.cumsum(new) - 1
             size = last - first + SPAN
             reach, own_bytes = _hash_pieces(data, first, size, 0, less=SPAN - 1)
+            # Symbols are ordered as numbers, and a symbol is never negative.
+            symbol = _signed(own_bytes >> _U(1))
+            after = [_next_in_run(symbol, run, k) for k in (1, 2)]
             out.append(
                 (
-                    np.full(len(b), d),
-                    begin.astype(np.int64),
-                    (b - begin).astype(np.int32),
-                    # Symbols are ordered as numbers, and a symbol is never negative.
-                    _signed(own_bytes >> _U(1)),
-                    _signed(gram),
-                    inner,
+                    np.full(len(first), d),
+                    run,
+                    (np.arange(len(first)) - np.flatnonzero(new)[run]).astype(np.int32),
+                    symbol,
+                    *after,
+                    rows.field("gram").to_numpy()[order],
+                    rows.field("inner").to_numpy(zero_copy_only=False)[order],
                     _signed(reach),
                     _signed(_hash_pieces(data, first, size, 1)),
                     first.astype(np.int32),
@@ -215,35 +224,41 @@ def _block_strings(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     return map_rows(texts.select("d", "text").join(lists, "d"), schema, work)
 
 
+def _next_in_run(symbols: np.ndarray, run: np.ndarray, steps: int) -> np.ndarray:
+    """The symbols ``steps`` further in the same run, -1 beyond its end."""
+    out = np.full(len(symbols), -1, dtype=np.int64)
+    same = run[steps:] == run[:-steps]
+    out[:-steps][same] = symbols[steps:][same]
+    return out
+
+
 def _copies(units: DataFrame) -> DataFrame:
-    """``units`` in suffix order with ``copy``: an earlier neighbour has the same reach.
+    """``units`` in suffix order with ``copy``: the neighbour before has the same reach.
 
-    Each range of the array is compared by itself; copies that a range boundary parts are left to
-    the comparisons that follow.
+    Suffixes of one rank come in the order of the corpus, so that the first of equal ones is the
+    earliest where they tie; a range of the array is read once and one row of it is held. Copies
+    that a range boundary parts, or that other ranks come between, are left to the comparisons
+    that follow.
     """
-    ordered = units.repartitionByRange("rank", "d", "first").sortWithinPartitions(
-        "rank", "d", "first"
+    ordered = units.repartitionByRange("rank", "reach1", "d", "first").sortWithinPartitions(
+        "rank", "reach1", "d", "first"
     )
+    names = ["d", "first", "last", "gram", "inner"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [batch for batch in batches if batch.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        column = {name: table[name].to_numpy() for name in table.column_names}
-        same = np.ones(table.num_rows, dtype=bool)
-        same[0] = False
-        for name in ("reach1", "reach2"):
-            same[1:] &= column[name][1:] == column[name][:-1]
-        group = np.cumsum(~same)
-        order = np.lexsort((column["first"], column["d"], group))
-        copy = np.ones(table.num_rows, dtype=bool)
-        copy[order[np.concatenate(([True], group[order][1:] != group[order][:-1]))]] = False
-        out = table.select(names).append_column("copy", pa.array(copy))
-        yield from out.to_batches(max_chunksize=100_000)
-
-    names = ["d", "first", "last", "gram", "inner"]
-    return ordered.select(*names, "reach1", "reach2").mapInArrow(
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            reach = np.stack([_ids(batch.column(k)) for k in (5, 6, 7)])
+            copy = np.zeros(batch.num_rows, dtype=bool)
+            copy[1:] = (reach[:, 1:] == reach[:, :-1]).all(axis=0)
+            copy[0] = before is not None and bool((reach[:, 0] == before).all())
+            before = reach[:, -1].copy()
+            columns = [*batch.columns[:5], pa.array(copy)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "copy"])
+
+    return ordered.select(*names, "rank", "reach1", "reach2").mapInArrow(
         run, "d long, first int, last int, gram long, inner boolean, copy boolean"
     )
 
@@ -273,7 +288,14 @@ def _fine_blocks(texts: DataFrame, edges: DataFrame) -> DataFrame:
         out = []
         for d, data, own in zip(_ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)):
             begin, end = _regions(own.values.to_numpy())
-            found = blocks(data, FINE_GRAM, np.concatenate([begin, end + 1]))
+            parts = []
+            near = np.flatnonzero(begin[1:] - end[:-1] > SPAN) + 1
+            for some in np.split(np.arange(len(begin)), near):
+                low, high = begin[some[0]], end[some[-1]]
+                cuts = np.concatenate([begin[some], end[some] + 1]) - low
+                found = blocks(data[low : high + SPAN], FINE_GRAM, cuts)
+                parts.append((found[0] + low, found[1] + low, *found[2:]))
+            found = [np.concatenate(column) for column in zip(*parts)]
             region = np.searchsorted(begin, found[0], "right") - 1
             inside = (region >= 0) & (found[0] <= end[region])
             first, last, gram, inner = (column[inside] for column in found)
@@ -368,7 +390,9 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     name = f"touchline_texts_{uuid.uuid4().hex}"
     writer = texts.repartition(count, "d").write.bucketBy(count, "d").sortBy("d")
     writer.option("path", stage_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, with what is staged
+    return table
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -386,11 +410,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     whole = stage(_marked(heads, ["digest"]).where("copy").select("d", "first", "last"), "whole")
     long = long.join(whole.select("d"), "d", "left_anti")
     grams = stage(_grams(long), "grams")
-    repeated = stage(_with_company(grams).select("d", "b"), "repeated")
+    repeated = stage(_with_company(grams), "repeated")
     unstage(grams)
     units = stage(_block_strings(long, repeated), "blocks")
     scratch: list[DataFrame] = [repeated]
-    ranks = suffix_ranks(units.select("d", "r", "i", "sym"), LEVELS, scratch)
+    ranks = ranks_of(units.select("d", "r", "i", "sym", "sym1", "sym2"), LEVELS, scratch)
     ranks = stage(ranks, "ranks")
     unstage(*scratch)
     coarse = stage(_copies(units.join(ranks, ["d", "r", "i"])), "copies")

@@ -60,6 +60,11 @@ def suffix_ranks(strings: DataFrame, levels: int, scratch: list[DataFrame]) -> D
     """
     triples = stage(strings.select(*_PLACE, "sym", *_following("sym", 2)), "triples")
     scratch.append(triples)
+    return ranks_of(triples, levels, scratch)
+
+
+def ranks_of(triples: DataFrame, levels: int, scratch: list[DataFrame]) -> DataFrame:
+    """:func:`suffix_ranks` of strings that bring the two symbols along that follow each one."""
     key = ["sym", "sym1", "sym2"]
     if levels <= 1:
         names = counts_below(triples.withColumn("n", F.lit(1)), key, ["n"], scratch)
