@@ -21,6 +21,7 @@ sequence   binary        the documents' symbols, little-endian
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +43,19 @@ FREQUENT = 32
 #: Pieces whose ids a worker remembers; beyond that those not met again are forgotten.
 REMEMBERED = 300_000
 
+#: The splitting pattern of byte-level vocabularies, and the same with its classes
+#: written out for the characters up to U+024F. The control characters U+001C to U+001F, which
+#: not every definition takes for white space, are far as well.
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LETTER = "A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_NUMBER = "0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
+_BLANK = "\\t-\\r \u0085\u00A0"
+_NEAR = re.compile(
+    f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+"
+    f"|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
+_FAR = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
+
 _SCHEMA = (
     "part long, seq int, docs array<long>, lengths array<long>, symbols array<long>, tokens long,"
     " terminals long, rules binary, expansions binary, width int, sequence binary"
@@ -73,6 +87,7 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(pattern) if pattern else None
+        self.split = self._latin if pattern == GPT2 else self.pattern and self.pattern.findall
         self.characters = _byte_characters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -80,6 +95,10 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _latin(self, text: str) -> list[str]:
+        """Pieces of a text; one without far characters is split by the faster standard module."""
+        return self.pattern.findall(text) if _FAR.search(text) else _NEAR.findall(text)
+
     def _piece(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
@@ -94,7 +113,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         plain = [not any(token in text for token in self.added) for text in texts]
-        cut = [self.pattern.findall(t) if own else [] for t, own in zip(texts, plain)]
+        cut = [self.split(t) if own else [] for t, own in zip(texts, plain)]
         for piece in set().union(*cut).difference(self.known):
             self.known[piece] = self._piece(piece)
         get = self.known.__getitem__
