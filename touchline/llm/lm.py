@@ -24,15 +24,16 @@ CONTEXT = 3
 DIM = 16
 #: Most frequent words whose counts travel to the tasks; the counts of others are joined.
 KNOWN = 200_000
-#: Documents and tokens the model is first fitted on, on the driver, before it sees all shards.
+#: Documents, about, and tokens, at most, the model is first fitted on, on the driver, before every shard trains on
+#: all of its tokens. Documents of more than so many bytes wait for the shards.
 FIRST_DOCS = 1_500
 FIRST_TOKENS = 400_000
-FIRST_BYTES = 200_000  # longer documents wait for the shards
+FIRST_BYTES = 200_000
 _BINS = 50  # of counts, per natural logarithm
 _REST, _END = 0, 1
 _BATCH = 8_192
 _NOISE = 16  # noise classes of a batch
-_NOISE_WORDS = 3  # noise groups and noise words of a token
+_NOISE_WORDS = 2  # noise groups and noise words of a token
 _DRAWS = 512  # entries of a class or group, at least, from which its noise is drawn
 _FAN = 64  # models averaged by one task
 _PART = 4_096  # rows of a table that travel together
@@ -214,6 +215,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, where each begins in sorted order, and that order."""
+    keys = np.sort(ids.astype(np.int64) << 32 | np.arange(len(ids)))
+    own, order = keys >> 32, keys & 0xFFFFFFFF
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[starts], starts, order
+
+
 class Trainer:
     """Adagrad on noise-contrastive estimates of the three factors, a batch of tokens at a time."""
 
@@ -251,15 +260,13 @@ class Trainer:
         fake = guess @ p["classes"][noise].T + odds[noise]
         g_true, g_fake = _sigmoid(true) - 1, _sigmoid(fake)
         d_guess = g_true[:, None] * p["classes"][kinds] + g_fake @ p["classes"][noise]
-        found = [
-            (
-                "classes",
-                np.concatenate([kinds, noise]),
-                np.concatenate([g_true[:, None] * guess, g_fake.T @ guess]),
-                np.concatenate([g_true, g_fake.sum(axis=0)]),
-            )
-        ]
+        moved = np.zeros((side, DIM + 1), dtype=np.float32)
+        chosen = np.zeros((side, n), dtype=np.float32)
+        chosen[kinds, np.arange(n)] = g_true
+        np.add.at(chosen, noise, g_fake.T)
+        moved[:, :DIM], moved[:, DIM] = chosen @ guess, chosen.sum(axis=1)
         # Which group of the class and word of the group: the true one against noise of the same.
+        found = []
         for name, own in (("groups", groups), ("words", ids)):
             parents = own // side
             drawn = self.drawn[name]
@@ -268,27 +275,28 @@ class Trainer:
             nodes = np.column_stack([own, members])
             vectors = p[name][nodes]
             odds = p[name + "_bias"][nodes] - self.odds[name][nodes]
-            g = _sigmoid((vectors @ guess[:, :, None])[:, :, 0] + odds)
+            g = _sigmoid(np.einsum("nkd,nd->nk", vectors, guess) + odds)
             g[:, 0] -= 1
-            d_guess += (g[:, None, :] @ vectors)[:, 0]
-            moved = (g[:, :, None] * guess[:, None, :]).reshape(-1, DIM)
-            found.append((name, nodes.ravel(), moved, g.ravel()))
+            d_guess += np.einsum("nk,nkd->nd", g, vectors)
+            found.append((name, nodes.ravel(), g.ravel()))
         d_mix = np.stack([past[k].T @ d_guess for k in range(CONTEXT)])
-        back = np.concatenate([d_guess @ p["mix"][k].T for k in range(CONTEXT)])
-        for name, nodes, vectors, biases in found:
-            self._move(nodes, n, **{name: vectors, name + "_bias": biases})
-        self._move(before.T.ravel(), n, context=back)
+        back = [d_guess @ p["mix"][k].T for k in range(CONTEXT)]
+        every = np.arange(side)
+        self._move(every, n, classes=moved[:, :DIM], classes_bias=moved[:, DIM])
+        for name, nodes, weights in found:
+            rows, starts, order = _runs(nodes)
+            weights = weights[order]
+            vectors = guess[order // (_NOISE_WORDS + 1)] * weights[:, None]
+            vectors, biases = np.add.reduceat(vectors, starts), np.add.reduceat(weights, starts)
+            self._move(rows, n, **{name: vectors, name + "_bias": biases})
+        rows, starts, order = _runs(before.T.ravel())
+        self._move(rows, n, context=np.add.reduceat(np.concatenate(back)[order], starts))
         self._move(np.arange(CONTEXT), n, mix=d_mix)
 
-    def _move(self, ids: np.ndarray, n: int, **gradients: np.ndarray) -> None:
-        """Moves the rows ``ids`` of tables, each by the sum of its gradients; others stay."""
-        keys = np.sort(ids.astype(np.int64) << 32 | np.arange(len(ids)))
-        own, order = keys >> 32, keys & 0xFFFFFFFF
-        starts = np.flatnonzero(np.diff(own, prepend=-1))
-        rows = own[starts]
+    def _move(self, rows: np.ndarray, n: int, **gradients: np.ndarray) -> None:
+        """Moves the rows of tables by their gradients; others stay."""
         for name, values in gradients.items():
-            gradient = np.add.reduceat(values[order], starts) * np.float32(_BATCH**0.5 / n)
-            gradient = gradient.astype(np.float32)
+            gradient = values * np.float32(_BATCH**0.5 / n)
             squares = self.squares[name][rows] + gradient**2
             self.squares[name][rows] = squares
             self.model.parts[name][rows] -= np.float32(self.rate) * gradient / np.sqrt(squares)
@@ -330,14 +338,20 @@ def _groups(texts: list[bytes], size: int = 200_000) -> Iterator[list[list[bytes
 
 
 def _first_fit(docs: DataFrame, vocab: Vocabulary) -> Model:
-    """A model fitted on a bounded sample, drawn by a hash of the text."""
+    """A model fitted on a sample of about ``FIRST_DOCS`` of ``docs`` (doc, text).
+
+    A row is drawn if the hash of its id and text falls below the share that the sample is of all
+    rows, so that no task sends more than its part.
+    """
     model = Model(vocab.unigram)
+    share = min(1.0, FIRST_DOCS / max(1, vocab.counts[b""]))
     drawn = (
         docs.where(F.octet_length("text") <= FIRST_BYTES)
-        .orderBy(F.xxhash64("text"))
-        .limit(FIRST_DOCS)
+        .where(F.pmod(F.xxhash64("doc", "text"), F.lit(1 << 30)) < round(share * (1 << 30)))
+        .select("text")
         .collect()
     )
+    drawn.sort(key=lambda r: zlib.crc32(r.text.encode()))  # whatever the order of partitions
     texts = [tokens(r.text.encode()) for r in drawn]
     if not texts:
         return model
@@ -388,8 +402,9 @@ def _average(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> Model:
-    """Every shard of ``docs`` (text), one or more partitions, trains the first model on all its tokens; the rows they
-    moved are averaged by their tokens, ``_FAN`` models at a time, until one is left."""
+    """Every shard of ``docs`` (doc, text), one or more partitions, trains the first model on all
+    its tokens; the rows they moved are averaged by their tokens, ``_FAN`` models at a time, until
+    one is left."""
     model = _first_fit(docs, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((model, vocab.ids))
 
@@ -418,6 +433,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
     schema = "shard long, tab int, part int, ids binary, n binary, v binary"
     shards = max(_LEAST_SHARDS, vocab.total // (_SHARD_WORDS * len(vocab.unigram)))
     models = stage(docs.select("text").coalesce(shards).mapInArrow(run, schema), "models")
+    shared.destroy()  # workers drop it before they take the trained model
     last = models.agg(F.max("shard")).first()[0]
     while last:  # shards fold into groups, and groups into one
         grouped = models.withColumn("shard", F.expr(f"shard DIV {_FAN}"))
@@ -447,7 +463,9 @@ def scores(
     an empty table gives no rows, and without training every token has probability one or the
     model's of the rest; other columns are not read.
     """
-    learn = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    learn = training.select(
+        F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
     counts = stage(word_counts(learn), "counts")
     vocab = vocabulary(counts)
     model = train(learn, vocab)
@@ -460,7 +478,7 @@ def scores(
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             done = 0
-            for texts in _groups(raw(batch.column(1)), 400_000):
+            for texts in _groups(raw(batch.column(1))):
                 out = _score(texts, model, vocab)
                 n = len(texts)
                 keys = pa.array(np.arange(key, key + n))
