@@ -85,3 +85,13 @@ def test_without_labels_only_the_base_rules_reject(spark):
         spark.createDataFrame([(None, 0)], "doc_id long, quality int")
     )
     assert rules.judged(odd, nulls).where("doc IS NULL AND kept").count() == 0
+
+
+def test_columns_of_the_caller_come_back(spark):
+    """Names that the counting uses on its way stay the caller's."""
+    kinds = "doc_id long, text string, rule_counts string, _rule_counts_text string, _Rule_counts_words int"
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "a", "b", 3)], kinds)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, "a", "b", 3)]

@@ -98,10 +98,31 @@ def test_odd_rows(spark):
     assert next(r.fp for r in found if r.doc == 5) == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 7, 9, 10]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [2, 7, 9, 10]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_repeated_id_keeps_one_row(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert simhash.keep_one(docs).count() == 1
+
+
+@pytest.mark.parametrize(
+    "rows, wanted",
+    [
+        ([(3, "A"), (5, "A"), (5, "B"), (7, "B")], [(3, "A"), (5, "B")]),
+        ([(3, "A"), (3, "B")], [(3, "A"), (3, "B")]),
+        ([(None, "A"), (None, "A"), (4, "B"), (None, "B")], [(None, "A"), (4, "B")]),
+        ([(1, "A"), (1, "A"), (2, None), (2, "")], [(1, "A"), (2, None)]),
+    ],
+)
+def test_rows_are_judged_and_not_ids(spark, rows, wanted):
+    texts = {"A": "one two three four", "B": "quite another text than that", None: None, "": ""}
+    docs = spark.createDataFrame(
+        [(i, texts[t], "r", 1) for i, t in rows], "doc_id long, text string, row string, mark int"
+    )
+    kept = simhash.keep_one(docs.repartition(3))
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted(((i, texts[t] or "") for i, t in wanted), key=str)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +43,26 @@ def majority(hashes: list[int]) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(doc, fp): one signed 64-bit fingerprint per row; NULL and wordless texts have zero."""
+def fingerprints(
+    docs: DataFrame, id_col: str, text_col: str, length: int, carry: Sequence[str] = ()
+) -> DataFrame:
+    """(doc, fp, ``carry``): one signed 64-bit fingerprint per row; NULL and wordless texts have
+    zero."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [majority(shingle_hashes(text, length)) for text in raw(batch.column(1))]
         values = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc", "fp"])
+        columns = [batch.column(0), values, *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "fp", *carry])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return map_rows(chosen, "doc long, fp long", work)
+    chosen = docs.select(
+        F.col(id_col).cast("long").alias("doc"),
+        F.col(text_col).alias("text"),
+        *(F.col(f"`{c}`") for c in carry),
+    )
+    kinds = dict(docs.dtypes)
+    schema = "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return map_rows(chosen, "doc long, fp long" + schema, work)
 
 
 def _signed(value: int) -> int:
@@ -132,29 +142,56 @@ def near_duplicates(
     """
     marked = stage(fingerprints(docs, id_col, text_col, length), "fingerprints")
     values = stage(marked.groupBy("fp").agg(F.min("doc").alias("low")), "values")
-    roots = stage(components(links(values, radius)), "roots")
-    rooted = values.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(values, radius)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = stage(rooted.join(lowest, "root").select("fp", "component"), "named")
     return marked.join(named, "fp").select("doc", "fp", "component")
 
 
+def _rooted(values: DataFrame, radius: int) -> DataFrame:
+    """(fp, low, root) for ``values`` (fp, low): the root is one fingerprint of the group."""
+    roots = stage(components(links(values, radius)), "roots")
+    return values.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def fingerprint_hex(column: str):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 3,
+    radius: int = 2,
+) -> DataFrame:
     """``docs`` without the near-duplicates: of each group the row with the smallest id stays.
 
-    Rows without an id can't be told apart and all stay; rows that repeat an id count as one
-    document, of which one row stays.
+    Rows are judged, not ids: of rows that share an id each goes or stays with the group of its own
+    text. Within a group rows with an id come before those without, and rows that share the smallest
+    id are told apart by a hash of their text; of equal rows one stays. An empty table gives no rows.
     """
-    id_col = options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options)
-    kept = stage(found.where("doc = component").groupBy("doc").agg(F.count("*").alias("n")), "kept")
-    chosen = docs.join(kept.select(F.col("doc").alias(id_col)), id_col, "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        chosen = chosen.dropDuplicates([id_col])
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
+    names = []
+    for name in ("row", "none", "own", "mark"):
+        while name in [c.lower() for c in docs.columns]:
+            name = "_" + name
+        names.append(name)
+    row, none, own, mark = names
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = stage(numbered, "numbered")  # a row keeps its number whatever is computed again
+    id_ = F.col(f"`{id_col}`")
+    chosen = numbered.select(
+        f"`{text_col}`",
+        F.col(row),
+        id_.isNull().alias(none),
+        id_.cast("long").alias(own),
+        F.xxhash64(f"`{text_col}`").alias(mark),
+    )
+    marked = fingerprints(chosen, row, text_col, length, [none, own, mark])
+    first = F.min(F.struct(none, own, mark, "doc")).alias("low")
+    values = stage(marked.groupBy("fp").agg(first), "values")
+    kept = _rooted(values, radius).groupBy("root").agg(F.min("low").alias("low"))
+    kept = stage(kept.select(F.col("low.doc").alias(row)), "kept")
+    return numbered.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
