@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -67,3 +68,26 @@ def test_odd_rows(spark):
     )
     empty = docs.limit(0)
     assert byte_bpe.encode_and_decode(empty, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_far_pieces_equal_the_library(library, monkeypatch):
+    """Every piece by its changed places: runs, ties and pieces of one and two tokens."""
+    monkeypatch.setattr(byte_bpe, "_FAR", 0)
+    rng = random.Random(6)
+    tool = byte_bpe.Codec(byte_bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    texts = ["a", "aa", "aaa", "a" * 4_097, "ab" * 501 + "b" * 77, "é" * 300 + "中" * 200]
+    for letters in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyzéß中", " -=\n"):
+        texts += ["".join(rng.choices(letters, k=rng.randrange(1, 400))) for _ in range(60)]
+    for text, ids in zip(texts, tool.encode(texts)):
+        assert ids == wanted(library, text), repr(text[:40])
+
+
+def test_pieces_of_a_megabyte_end_within_seconds(library):
+    tool = byte_bpe.Codec(byte_bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    for text in ("a" * 1_000_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))):
+        began = time.process_time()
+        ids = tool.encode([text])[0]
+        assert time.process_time() - began < 30
+        assert ids == wanted(library, text)
+        assert tool.decode([ids]) == [text.encode()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +21,8 @@ from touchline.llm.frames import map_rows, raw
 REMEMBERED = 250_000
 _STEPS = 64  # contractions in one recursive query, whose steps all stay in memory
 _LONG = 64  # tokens beyond which a step contracts every place of the pair
+#: Bytes beyond which a piece is contracted by changed places alone; see ``_contract_far``.
+_FAR = 1_024
 _DECODED = 500_000  # ids decoded in one query
 
 _CONTRACT = f"""
@@ -81,6 +84,9 @@ class Codec:
         ]
         a, b, ids = (np.array(column, dtype=np.int64) for column in zip(*pairs or [(-1, -1, -1)]))
         self._create("merges", {"a": a.astype(np.int32), "b": b.astype(np.int32), "id": ids})
+        codes = a << 32 | b
+        order = np.argsort(codes)
+        self.codes, self.merged = codes[order], ids[order]
         # DuckDB's ordered text aggregation joins text, so bytes travel as the first 256 characters.
         chars = [token.decode("latin-1") for token in ranks]
         self._create("vocabulary", {"id": np.array([*ranks.values()], np.int64), "chars": chars})
@@ -128,6 +134,72 @@ class Codec:
             words = found.filter(pa.compute.invert(found["done"])).select(["word", "toks"])
         return done
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair contracts to, -1 where nothing does."""
+        codes = left << 32 | right
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.merged[at], -1)
+
+    def _contract_far(self, piece: bytes) -> bytes:
+        """Contracts a very long piece, looking again only at places beside a contraction.
+
+        The rows are the same (token, place), with the places before and after. Places wait by the
+        rank of their pair; a step takes all places of the least rank, every second one of a run,
+        and ranks the pairs that begin or end there anew.
+        """
+        toks = self.octets[np.frombuffer(piece, dtype=np.uint8)].astype(np.int64)
+        n = len(toks)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        current = np.append(self._ranks(toks[:-1], toks[1:]), -1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            ranks = current[places]
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            starts = np.flatnonzero(np.diff(ranks, prepend=-2))
+            for rank, part in zip(ranks[starts].tolist(), np.split(places, starts[1:])):
+                if rank < 0:
+                    continue
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(part)
+
+        wait(np.arange(n))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[current[at] == rank]
+            if not len(at):
+                continue
+            fresh = np.concatenate(([True], at[1:] != after[at[:-1]]))
+            first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            toks[at] = rank
+            after[at] = further = after[gone]
+            current[gone] = -1
+            inside = further < n
+            before[further[inside]] = at[inside]
+            beside = before[at]
+            near = np.unique(np.concatenate([at, beside[beside >= 0]]))
+            follows = after[near]
+            pairs = np.full(len(near), -1, dtype=np.int64)
+            paired = follows < n
+            pairs[paired] = self._ranks(toks[near[paired]], toks[follows[paired]])
+            current[near] = pairs
+            wait(near)
+        places, place = [], 0
+        whole = np.zeros(n, dtype=bool)
+        steps = after.tolist()
+        while place < n:
+            places.append(place)
+            place = steps[place]
+        whole[places] = True
+        return toks[whole].astype("<u4").tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
         """Ids of the pieces that are not known."""
         if len(self.known) > REMEMBERED:
@@ -139,8 +211,11 @@ class Codec:
                 self.known[piece] = ids
             else:
                 rest.append(piece)
-        if rest:
-            self.known.update(zip(rest, self._contract([piece.encode() for piece in rest])))
+        far = [piece for piece in rest if len(piece) > _FAR or len(piece.encode()) > _FAR]
+        self.known.update((piece, self._contract_far(piece.encode())) for piece in far)
+        near = [piece for piece in rest if piece not in self.known] if far else rest
+        if near:
+            self.known.update(zip(near, self._contract([piece.encode() for piece in near])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
