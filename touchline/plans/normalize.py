@@ -17,6 +17,7 @@ from touchline.operators.keys import contiguous_ids, label_ids
 from touchline.operators.xml_events import classified_events, readable, unreadable, xml_events
 from touchline.schemas import SLOTS, UNUSED_MATCH_COLUMNS, slot_columns
 from touchline.session import stage
+from touchline.sources.stored import kept_ids
 
 #: Members of a squad that are looked up in a map; a lookup reads the map from its beginning.
 SQUAD_IN_MAP = 512
@@ -169,6 +170,16 @@ def _joined_by_slot(
     )
 
 
+def kept_squad_ids(membership: DataFrame, folder: str, feed: str) -> DataFrame:
+    """:func:`squad_ids` that later feeds keep: a membership an earlier feed brought has its old
+    id, new ones follow in (team, player, season) order. Memberships without a season have none."""
+    named = kept_ids(membership.where("season IS NOT NULL"), folder, feed, "member_id")
+    nameless = membership.where("season IS NULL").selectExpr(
+        "CAST(NULL AS BIGINT) AS member_id", "team_id", "player_id", "season"
+    )
+    return named.unionByName(nameless)
+
+
 def lineup_members(
     matches: DataFrame,
     teams: DataFrame,
@@ -315,11 +326,13 @@ def normalize(
     strict_goals: bool = False,
     slots: int = SLOTS,
     ordered_ids: bool = True,
+    squad_dictionary: tuple[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """All normalized tables of the feed, for every country or for the named one.
 
     ``ordered_ids=False`` saves two range shuffles, at the price of ids that a later run may
-    give to other rows.
+    give to other rows. ``squad_dictionary`` names a folder and this feed: squad members that
+    earlier feeds of the folder brought keep their ids.
     """
     nations = countries(feed["countries"], country)
     selected = None if country is None else nations
@@ -328,7 +341,11 @@ def normalize(
         matches = stage(matches, "matches")  # seven tables are made of it
     fixture_rows = fixtures(matches)
     teams = stage(home_teams(feed["teams"], fixture_rows), "teams")
-    squad = squad_ids(squad_membership(matches, teams, slots), ordered_ids)
+    membership = squad_membership(matches, teams, slots)
+    if squad_dictionary is None:
+        squad = squad_ids(membership, ordered_ids)
+    else:
+        squad = kept_squad_ids(stage(membership, "membership"), *squad_dictionary)
     players = stage(squad_players(feed["players"], squad), "players")
     attributes = dated_attributes(feed["player_attributes"], players, ordered_ids)
     seasons = stage(season_dimension(attributes), "seasons")

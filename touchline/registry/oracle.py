@@ -246,6 +246,14 @@ _SQL = {
             l_partkey AS player_id, label AS season, season_id, {_METRICS}
         FROM line JOIN season USING (yy) WHERE l_partkey IN (SELECT player FROM seat)""",
     "season_dimension": "SELECT season_id, label AS season FROM season",
+    "squad_ids_second_feed": """
+        SELECT row_number() OVER (ORDER BY label > '2009/2010', team, player, label) AS member_id,
+            team AS team_id, player AS player_id, label AS season
+        FROM member""",
+    "stored_matches_second_feed": """
+        SELECT match_id, season_id, CASE WHEN hg = ag THEN hg + 1 ELSE hg END AS home_goals,
+            ag AS away_goals
+        FROM labelled""",
     "season_codes": "SELECT match_id, label AS season, season_id FROM labelled",
     "update_from_join": """
         SELECT c_custkey, coalesce(

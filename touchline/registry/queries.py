@@ -18,6 +18,7 @@ from touchline.plans import rosters as S
 from touchline.schemas import METRICS
 from touchline.session import stage_path
 from touchline.sources.headings import published_result
+from touchline.sources.stored import append_stored, read_stored, update_stored
 from touchline.sources.tables import read_chart, read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +155,33 @@ def update_from_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update_from(target, source, ["c_custkey"], ["label"], ambiguous="min")
 
 
+def _played(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.matches(spark, sf_dir).select("match_id", "season_id", "home_goals", "away_goals")
+
+
+@query
+def stored_matches_second_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first feed of the earlier seasons without scores, a second one of all matches, and a
+    correction of the drawn ones, all to one stored table."""
+    path = stage_path(spark, "stored")
+    whole = _played(spark, sf_dir)
+    unknown = ["match_id", "season_id", "0 AS home_goals", "0 AS away_goals"]
+    append_stored(path, whole.where("season_id <= 3").selectExpr(*unknown), ["match_id"])
+    append_stored(path, whole, ["match_id"])
+    drawn = whole.where("home_goals = away_goals").selectExpr("match_id", "home_goals + 1 AS home_goals")
+    update_stored(path, whole.schema, drawn, ["match_id"], ["home_goals"])
+    return read_stored(spark, path, whole.schema)
+
+
+@query
+def squad_ids_second_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memberships up to one season are numbered by a first feed, and keep their ids."""
+    folder = stage_path(spark, "squads")
+    whole = B.membership(spark, sf_dir)
+    N.kept_squad_ids(whole.where("season <= '2009/2010'"), folder, "first").count()
+    return N.kept_squad_ids(whole, folder, "second")
+
+
 @query
 def goal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.goal_events(B.documents(spark, sf_dir))
