@@ -33,6 +33,9 @@ def _parser() -> argparse.ArgumentParser:
     normalizing.add_argument("--member-of", default="season_exact", choices=["season_exact", "any"])
     normalizing.add_argument("--strict-goals", action="store_true", help="fail on bad documents")
     normalizing.add_argument("--unordered-ids", action="store_true", help="saves two range shuffles")
+    normalizing.add_argument(
+        "--squad-dictionary", nargs=2, metavar=("FOLDER", "FEED"), help="squad ids that later feeds keep"
+    )
     parser.add_argument_group("answer").add_argument("--team", type=int, help="id for one team's series")
     return parser
 
@@ -48,6 +51,7 @@ def results(spark: SparkSession, chosen: argparse.Namespace) -> dict[str, DataFr
         member_of=chosen.member_of,
         strict_goals=chosen.strict_goals,
         ordered_ids=not chosen.unordered_ids,
+        squad_dictionary=chosen.squad_dictionary,
     )
     return published_tables(tables, chosen.suffix) if chosen.published else tables
 
@@ -57,7 +61,9 @@ def main(arguments: list[str] | None = None) -> None:
     if chosen.by_season and (chosen.job == "answer" or chosen.published):
         raise SystemExit("--by-season is for normalized tables under our names")
     spark = SparkSession.builder.appName(f"touchline {chosen.job}").getOrCreate()
-    write_tables(results(spark, chosen), chosen.target, chosen.write, by_season=chosen.by_season)
+    written = write_tables(results(spark, chosen), chosen.target, chosen.write, by_season=chosen.by_season)
+    for name, counts in written.items():
+        print(name, *[f"{what}={n}" for what, n in counts.items()])
     clear_stage(spark)
 
 

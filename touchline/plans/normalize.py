@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.seasons import season_label
+from touchline.operators.filters import may_be_known
 from touchline.operators.joins import FEW_SALTS, keep_known, quoted, salted_join
 from touchline.operators.keys import contiguous_ids, label_ids
 from touchline.operators.xml_events import classified_events, readable, unreadable, xml_events
@@ -249,9 +250,13 @@ def squad_players(raw: DataFrame, squad: DataFrame) -> DataFrame:
 
 
 def dated_attributes(raw: DataFrame, players: DataFrame, ordered: bool = True) -> DataFrame:
-    """Distinct measurements of known players, numbered by player and date, with season label."""
-    rows = raw.withColumnRenamed("player_api_id", "player_id")
-    known = keep_known(rows, players, "player_id", "player_id", distinct=True)
+    """Distinct measurements of known players, numbered by player and date, with season label.
+
+    Most measurements of unknown players go before the first shuffle.
+    """
+    ids = stage(players.select("player_id").distinct(), "known")
+    rows = may_be_known(raw.withColumnRenamed("player_api_id", "player_id"), ids, "player_id")
+    known = keep_known(rows, ids, "player_id", "player_id", distinct=True)
     rest = quoted([c for c in known.columns if c not in ("player_id", "date")])
     labelled = known.selectExpr("player_id", f"{season_label('date')} AS season", "date", *rest)
     order = ["player_id", "date", *rest] if ordered else None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.joins import keep_known, salted_join
 from touchline.operators.ranking import argmax_with_ties
+from touchline.operators.set_counts import member_sets, merged_counts
 from touchline.operators.sides import match_sides, outcome_rows
 from touchline.plans.questions import FIRST_SEASON, LAST_SEASON
 
@@ -70,5 +71,17 @@ def clubs_per_player(squad_members: DataFrame, players: DataFrame) -> DataFrame:
     return players.select("player_id", "player_name").join(counts, "player_id")
 
 
+def club_sets(roster_rows: DataFrame) -> DataFrame:
+    """The teams of each player and season (player_id, season_id, word, bits), which merge."""
+    return member_sets(roster_rows, "team_id", ["player_id", "season_id"])
+
+
+def clubs_in_period(sets: DataFrame, players: DataFrame, first: int, last: int) -> DataFrame:
+    """:func:`clubs_per_player` of the seasons ``first`` to ``last``, merged from :func:`club_sets`."""
+    inside = sets.where(F.col("season_id").between(first, last))
+    counts = merged_counts(inside, ["player_id"], "n_teams")
+    return players.select("player_id", "player_name").join(counts, "player_id")
+
+
 def most_clubs(squad_members: DataFrame, players: DataFrame) -> DataFrame:
     return argmax_with_ties(clubs_per_player(squad_members, players), "n_teams")

@@ -323,6 +323,15 @@ _SQL = {
         SELECT player_id, player_name, wins FROM (
             SELECT *, rank() OVER (ORDER BY wins DESC) AS place FROM victories)
         WHERE place = 1""",
+    "clubs_in_period": """
+        SELECT p_partkey AS player_id, p_name AS player_name,
+            (SELECT count(DISTINCT team) FROM member
+             WHERE player = p_partkey AND season_id IN (3, 4)) AS n_teams
+        FROM part WHERE p_partkey IN (SELECT player FROM member WHERE season_id IN (3, 4))""",
+    "sql_goals": """
+        SELECT team_id, name AS long_name, scored AS goals_for, let_in AS goals_against,
+            scored - let_in AS difference
+        FROM goals""",
     "clubs_per_player": "SELECT * FROM clubs WHERE n_teams > 0",
     "most_clubs": """
         SELECT player_id, player_name, n_teams FROM (

@@ -15,11 +15,12 @@ from touchline.plans import normalize as N
 from touchline.plans import questions as Q
 from touchline.plans import ratings as R
 from touchline.plans import rosters as S
+from touchline.plans.sql_questions import ask
 from touchline.schemas import METRICS
 from touchline.session import stage_path
 from touchline.sources.headings import published_result
 from touchline.sources.stored import append_stored, read_stored, update_stored
-from touchline.sources.tables import read_chart, read_csv, write_csv
+from touchline.sources.tables import read_chart, read_csv, register_views, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,6 +207,28 @@ def goals_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Questions
 
 
+@query
+def sql_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goals per team as parameterised SQL over views."""
+    matches = B.matches(spark, sf_dir)
+    register_views(
+        {
+            "matches": matches.drop("home_team_id", "away_team_id"),
+            "fixtures": matches.select("match_id", "home_team_id", "away_team_id"),
+            "teams": B.all_teams(spark, sf_dir),
+        },
+        "asked_",
+    )
+    return ask(spark, "goals", Q.FIRST_SEASON, Q.LAST_SEASON, "asked_")
+
+
+@query
+def clubs_in_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different teams per player in two of the seasons, merged from sets per season."""
+    sets = S.club_sets(B.memberships_with_season(spark, sf_dir))
+    return S.clubs_in_period(sets, B.all_players(spark, sf_dir), 3, 4)
+
+
 @query
 def season_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, seasons = B.raw_matches(spark, sf_dir), B.seasons(spark, sf_dir)

@@ -30,9 +30,19 @@ def local_session(app: str, cores: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: the session's checkpoint folder, else its warehouse."""
+    """Folder all executors can reach: the session's checkpoint folder, else its warehouse.
+
+    On a cluster a warehouse on the local disk, which is what Spark has by default, is refused: every
+    machine would write to its own.
+    """
     folder = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = not warehouse.startswith("/") and ":" not in warehouse or warehouse.startswith(("/", "file:"))
+    if local and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all machines share")
+    return warehouse.rstrip("/")
 
 
 def stage_path(spark: SparkSession, label: str) -> str:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Collection, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.operators.checks import assert_unique
 from touchline.schemas import CHARTS, MULTILINE_TABLES, NORMALIZED, RAW
 from touchline.session import stage
 from touchline.sources.headings import RESULTS
@@ -136,14 +138,18 @@ def write_tables(
     fmt: str = "parquet",
     mode: str = "overwrite",
     by_season: bool = False,
-) -> None:
-    """One folder per table, written in parallel part files.
+) -> dict[str, dict[str, int]]:
+    """One folder per table, written in parallel part files; returns counts of what was written.
+
+    Counted while it is written: ``rows`` and, of tables with a season id, those ``without_season``.
 
     ``by_season`` lays the long parquet tables out in one folder per season id, so that a question
     about some seasons opens no other file. Rows are rebalanced for that: adaptive execution cuts a
     large season into several tasks and files.
     """
-    for name, df in tables.items():
+    watched = {}
+    for name, table in tables.items():
+        df, watched[name] = _observed(name, table)
         path = os.path.join(folder, f"{name}.{fmt}")
         if fmt == "csv":
             write_csv(df, path, mode)
@@ -154,6 +160,15 @@ def write_tables(
             rows.write.mode(mode).partitionBy("season_id").parquet(path)
         else:
             df.write.mode(mode).parquet(path)
+    return {name: {k: int(v or 0) for k, v in seen.get.items()} for name, seen in watched.items()}
+
+
+def _observed(name: str, df: DataFrame) -> tuple[DataFrame, Observation]:
+    seen = Observation(name)
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if "season_id" in df.columns:
+        counts.append(F.count_if(F.col("season_id").isNull()).alias("without_season"))
+    return df.observe(seen, *counts), seen
 
 
 def save_bucketed(
@@ -161,7 +176,8 @@ def save_bucketed(
 ) -> None:
     """Save the tables to the catalog, the long ones bucketed and sorted by their join key.
 
-    Rows are shuffled to their bucket first, so that each task writes few files.
+    Rows are shuffled to their bucket first, so that each task writes few files. A bucketed key
+    that repeats is an error; the check reads the key column bucket by bucket, without a shuffle.
     """
     for name, df in tables.items():
         key = BUCKET_KEYS.get(name)
@@ -175,6 +191,7 @@ def save_bucketed(
             .sortBy(key)
             .saveAsTable(f"{database}.{name}")
         )
+        assert_unique(df.sparkSession.table(f"{database}.{name}"), [key])
 
 
 def register_views(tables: Mapping[str, DataFrame], prefix: str = "") -> None:
