@@ -18,7 +18,7 @@ from touchline.session import stage
 
 #: Places of the smallest vocabulary, and places per square root of the distinct words of others.
 WORDS = 16**3
-GROWTH = 128
+GROWTH = 64
 #: Words before a token that predict it, and the size of their vectors.
 CONTEXT = 3
 DIM = 16
@@ -308,12 +308,12 @@ class Trainer:
 
 def _sequences(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all tokens, ends included, and the ids before each; a text begins after ends."""
-    parts = []
+    get, flat = ids.__getitem__, []
     for words in texts:
-        parts.append([_END] * CONTEXT)
-        parts.append([ids[word] for word in words])
-        parts.append([_END])
-    whole = np.array([i for part in parts for i in part], dtype=np.int32)
+        flat += [_END] * CONTEXT
+        flat += map(get, words)
+        flat.append(_END)
+    whole = np.array(flat, dtype=np.int32)
     sizes = np.array([CONTEXT + len(words) + 1 for words in texts])
     starts = np.cumsum(sizes) - sizes
     real = np.ones(len(whole), dtype=bool)
@@ -323,16 +323,17 @@ def _sequences(texts: list[list[bytes]], ids: dict[bytes, int]) -> tuple[np.ndar
     return whole[at], np.stack([whole[at - k - 1] for k in range(CONTEXT)], axis=1)
 
 
-def _groups(texts: list[bytes], size: int = 200_000) -> Iterator[list[list[bytes]]]:
-    """Tokens of texts in groups of about ``size`` tokens."""
+def _groups(column: pa.Array, size: int = 100_000) -> Iterator[list[list[bytes]]]:
+    """Tokens of texts in groups of about ``size`` tokens; few texts leave Arrow at a time."""
     held, count = [], 0
-    for text in texts:
-        words = tokens(text)
-        held.append(words)
-        count += len(words)
-        if count >= size:
-            yield held
-            held, count = [], 0
+    for start in range(0, len(column), 100):
+        for text in raw(column[start : start + 100]):
+            words = tokens(text)
+            held.append(words)
+            count += len(words)
+            if count >= size:
+                yield held
+                held, count = [], 0
     if held:
         yield held
 
@@ -414,7 +415,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
         own = first.copy()
         trainer, count = Trainer(own, rate=0.03, seed=shard), 0
         for batch in batches:
-            for texts in _groups(raw(batch.column(0))):
+            for texts in _groups(batch.column(0)):
                 found, before = _sequences(texts, ids)
                 order = trainer.rng.permutation(len(found))
                 trainer.run(found[order], before[order])
@@ -478,7 +479,7 @@ def scores(
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             done = 0
-            for texts in _groups(raw(batch.column(1))):
+            for texts in _groups(batch.column(1)):
                 out = _score(texts, model, vocab)
                 n = len(texts)
                 keys = pa.array(np.arange(key, key + n))
@@ -518,7 +519,8 @@ def _score(texts: list[list[bytes]], model: Model, vocab: Vocabulary) -> list[pa
     sizes = np.array([len(words) + 1 for words in texts])
     starts = np.cumsum(sizes) - sizes
     get = vocab.counts.get
-    flat = [get(word, 0) for words in texts for word in (*words, b"")]
+    every = [word for words in texts for word in (*words, b"")]
+    flat = [get(word, 0) for word in every]
     # Known words have a positive count; the end may have none.
     count = np.array(flat, dtype=np.float64)
     known = count > 0
@@ -528,7 +530,10 @@ def _score(texts: list[list[bytes]], model: Model, vocab: Vocabulary) -> list[pa
     # The share of a word in its place; that of a rare word lacks its count.
     alone = (ids == _END) | ((ids > _END) & (ids < 2 + len(vocab.ids)))
     score += np.where(alone, 0, np.where(known, np.log10(count + 0.5), 0) - np.log10(vocab.sums[ids]))
-    rare = [Counter(w for w in words if not get(w)) for words in texts]
+    unknown = np.flatnonzero(~listed)
+    cuts = np.searchsorted(unknown, np.append(starts, len(every))).tolist()
+    unknown = unknown.tolist()
+    rare = [Counter([every[i] for i in unknown[a:b]]) for a, b in zip(cuts, cuts[1:])]
     total = lambda values: np.add.reduceat(values, starts)
     return [
         pa.array(sizes, pa.int64()),
