@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -59,3 +60,47 @@ def test_odd_rows(spark):
     assert {r.score for r in quality.scores(docs, None).collect()} == {0.5}
     assert quality.scores(docs.limit(0), model).count() == 0
     assert quality.learn(docs.limit(0), labels) is None
+
+
+def test_risk_equals_its_definition():
+    """Both parts by plain loops, their gradients by small steps."""
+    rng = np.random.default_rng(3)
+    xp, xu = rng.normal(0.5, 1, (40, 4)), rng.normal(0, 1, (60, 4))
+    loss = lambda z: math.log(1 + math.exp(-z))
+
+    def parts(w):
+        plus = [sum(a * b for a, b in zip(row, w)) for row in xp]
+        free = [sum(a * b for a, b in zip(row, w)) for row in xu]
+        missed = 0.6 * sum(map(loss, plus)) / len(plus)
+        wrong = sum(loss(-z) for z in free) / len(free) - 0.6 * sum(loss(-z) for z in plus) / len(plus)
+        return missed, wrong
+
+    for scale in (0.1, 1, 5):
+        w = rng.normal(0, scale, 4)
+        missed, negative, up, down = quality.risk(w, xp, xu, 0.6)
+        assert (missed, negative) == pytest.approx(parts(w))
+        for k in range(4):
+            step = np.eye(4)[k] * 1e-6
+            after, before = parts(w + step), parts(w - step)
+            assert up[k] == pytest.approx((after[0] - before[0]) / 2e-6, abs=1e-5)
+            assert down[k] == pytest.approx((after[1] - before[1]) / 2e-6, abs=1e-5)
+
+
+def test_trusted_negatives_teach_nothing(spark, small):
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    bad = labels.where("quality = 0").select("doc_id")
+    without = docs.join(bad, "doc_id", "left_anti")
+    models = [quality.learn(docs, labels), quality.learn(without, labels.where("quality = 1"))]
+    assert np.allclose(models[0].weights, models[1].weights)
+    assert models[0].prior == pytest.approx(models[1].prior)
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """An id that very many rows share brings no more than twice the sample to the driver."""
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: seen.append((len(p), len(u))) or fit(p, u, prior, steps=9))
+    docs = spark.range(3_000).selectExpr("if(id < 2500, 1, id) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(1, 1), (2_600, 1)], "doc_id long, quality int")
+    quality.learn(docs, labels, positives=100, unlabelled=50)
+    assert seen[0][0] == 200 and 20 <= seen[0][1] <= 100

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.frames import fold, map_rows, raw
+from touchline.session import stage
 
-#: Labelled positives and unlabelled rows the classifier is fitted on at most.
+#: Labelled positives, about, that the classifier is fitted on at most, and unlabelled rows: so
+#: many at up to a hundred thousand documents, and more with the cube root of their number.
 POSITIVES = 8_000
-UNLABELLED = 16_000
+UNLABELLED, UNLABELLED_OF = 16_000, 100_000
 #: Score from which a text is predicted to be good.
 THRESHOLD = 0.7
 
@@ -93,16 +95,15 @@ def fit(
 ) -> Model:
     """Minimises the non-negative positive-unlabelled risk of a linear model by Adam.
 
-    The risk is ``prior * E+[loss(z)] + max(0, Eu[loss(-z)] - prior * E+[loss(-z)])`` with the
-    logistic loss; where the second part of a batch is negative, its gradient is reversed. Without
-    a ``prior`` a model that tells positives from unlabelled rows is fitted first, and the prior
-    comes from the masses of its scores.
+    Where the second part of the risk of a batch (see ``risk``) is negative, its gradient is
+    reversed. Without a ``prior`` a model that tells positives from unlabelled rows is fitted first,
+    and the prior comes from the masses of its scores.
     """
     everything = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, scale = everything.mean(axis=0), everything.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     p, u = ((rows - mean) / scale for rows in (positive, unlabelled))
-    p, u = np.clip(p, -8, 8), np.clip(u, -8, 8)
+    p, u = (np.clip(rows, -8, 8).astype(np.float32) for rows in (p, u))
     rng = np.random.default_rng(seed)
     if prior is None:
         # Fitted on one half and measured on the other, or the masses would favour positives.
@@ -116,6 +117,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(weights: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple:
+    """The two parts of the non-negative risk and their gradients, for rows that end with a one.
+
+    ``prior * E+[loss(z)]`` and ``Eu[loss(-z)] - prior * E+[loss(-z)]`` with the logistic loss; the
+    risk is the first and what the second exceeds zero by.
+    """
+    zp, zu = xp @ weights, xu @ weights
+    # Gradients of loss(z) are -sigmoid(-z), of loss(-z) sigmoid(z).
+    missed = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    slope = _sigmoid(zu) @ xu / len(xu) - prior * (_sigmoid(zp) @ xp) / len(xp)
+    return missed, negative, -prior * (_sigmoid(-zp) @ xp) / len(xp), slope
+
+
 def _descend(p, u, prior, steps, batch, rate, decay, rng) -> tuple[np.ndarray, float]:
     weights = np.zeros(p.shape[1] + 1)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
@@ -124,17 +139,11 @@ def _descend(p, u, prior, steps, batch, rate, decay, rng) -> tuple[np.ndarray, f
         xp = p[rng.integers(0, len(p), min(batch, len(p)))]
         xu = u[rng.integers(0, len(u), min(batch, len(u)))]
         xp, xu = (np.column_stack([x, np.ones(len(x))]) for x in (xp, xu))
-        zp, zu = xp @ weights, xu @ weights
-        # Gradients of loss(z) are -sigmoid(-z), of loss(-z) sigmoid(z).
         if prior is None:
-            gradient = -_sigmoid(-zp) @ xp / len(xp) + _sigmoid(zu) @ xu / len(xu)
+            gradient = -_sigmoid(-(xp @ weights)) @ xp / len(xp) + _sigmoid(xu @ weights) @ xu / len(xu)
         else:
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            slope = _sigmoid(zu) @ xu / len(xu) - prior * (_sigmoid(zp) @ xp) / len(xp)
-            if negative >= 0:
-                gradient = slope - prior * (_sigmoid(-zp) @ xp) / len(xp)
-            else:
-                gradient = -slope
+            _, negative, up, down = risk(weights, xp, xu, prior)
+            gradient = up + down if negative >= 0 else -down
         gradient[:-1] += decay * weights[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -168,9 +177,10 @@ def learn(
 ) -> Model | None:
     """A model from labelled positives and rows without a label; ``None`` if either is missing.
 
-    Both are bounded samples, drawn by a hash of the id over all rows. The class prior is the
-    share of positives among the labelled rows, or, where every label is positive, estimated
-    from the scores. Without unlabelled rows the labelled ones stand in, their labels unread.
+    Labelled negatives teach nothing: the class prior is estimated from the positives and the
+    unlabelled rows too, unless it is given. Both are samples of ids, drawn where a hash of the id falls below
+    their share, so that each task sends its part of them; rows that repeat an id count as they come, up
+    to twice the sample. Without unlabelled rows the labelled ones stand in, their labels unread.
     """
     marks = (
         labels.select(F.col(id_col).alias("doc"), F.col(quality_col).cast("double").alias("good"))
@@ -179,23 +189,26 @@ def learn(
         .agg(F.avg("good").alias("good"))
     )
     ids = docs.select(F.col(id_col).alias("doc")).where("doc IS NOT NULL").distinct()
-    known = ids.join(marks, "doc", "left")
-
-    def sample(rows: DataFrame, most: int) -> np.ndarray:
-        drawn = rows.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(most)
-        wanted = F.broadcast(drawn.withColumnRenamed("doc", id_col))  # ``most`` ids at most
-        texts = docs.join(wanted, id_col, "left_semi").select(F.col(text_col).alias("text"))
-        return _vectors(texts)
-
-    plus = sample(known.where("good >= 0.5"), positives)
-    rest = sample(known.where("good IS NULL"), unlabelled)
-    if not len(rest):
-        rest = sample(known, unlabelled)
+    known = stage(ids.join(marks, "doc", "left"), "known")
+    plus_n, free_n, all_n = known.agg(
+        F.count_if(F.col("good") >= 0.5), F.count_if(F.col("good").isNull()), F.count("*")
+    ).first()
+    unlabelled = round(unlabelled * max(1.0, all_n / UNLABELLED_OF) ** (1 / 3))
+
+    def sample(rows: DataFrame, count: int, most: int) -> np.ndarray:
+        share = min(1.0, most / max(1, count))
+        place = F.pmod(F.xxhash64("doc"), F.lit(1 << 30))
+        drawn = rows.where(place < round(share * (1 << 30))).select(F.col("doc").alias(id_col))
+        texts = docs.join(F.broadcast(drawn), id_col, "left_semi")  # about ``most`` ids
+        return _vectors(texts.select(F.col(text_col).alias("text")).limit(2 * most))
+
+    plus = sample(known.where("good >= 0.5"), plus_n, positives)
+    if free_n:
+        rest = sample(known.where("good IS NULL"), free_n, unlabelled)
+    else:
+        rest = sample(known, all_n, unlabelled)
     if not len(plus) or not len(rest):
         return None
-    if prior is None:
-        share = marks.agg(F.avg(F.expr("if(good >= 0.5, 1.0D, 0.0D)"))).first()[0]
-        prior = min(share, 0.99) if share < 1 else None
     return fit(plus, rest, prior)
 
 
