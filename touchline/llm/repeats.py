@@ -233,32 +233,46 @@ def _next_in_run(symbols: np.ndarray, run: np.ndarray, steps: int) -> np.ndarray
 
 
 def _copies(units: DataFrame) -> DataFrame:
-    """``units`` in suffix order with ``copy``: the neighbour before has the same reach.
+    """``units`` in suffix order with ``copy``: an earlier neighbour has the same reach.
 
-    Suffixes of one rank come in the order of the corpus, so that the first of equal ones is the
-    earliest where they tie; a range of the array is read once and one row of it is held. Copies
-    that a range boundary parts, or that other ranks come between, are left to the comparisons
-    that follow.
+    Neighbours with the same reach form a group, whatever follows; the earliest of it in the corpus
+    stands for all. A range of the array is read once, and no more than the group that is still
+    open is held. Copies that a range boundary parts are left to the comparisons that follow.
     """
-    ordered = units.repartitionByRange("rank", "reach1", "d", "first").sortWithinPartitions(
-        "rank", "reach1", "d", "first"
+    ordered = units.repartitionByRange("rank", "d", "first").sortWithinPartitions(
+        "rank", "d", "first"
     )
     names = ["d", "first", "last", "gram", "inner"]
 
+    def marked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        d, first, reach1, reach2 = (
+            table[name].to_numpy() for name in ("d", "first", "reach1", "reach2")
+        )
+        group = np.concatenate(
+            ([0], np.cumsum((reach1[1:] != reach1[:-1]) | (reach2[1:] != reach2[:-1])))
+        )
+        order = np.lexsort((first, d, group))
+        copy = np.ones(table.num_rows, dtype=bool)
+        copy[order[np.concatenate(([True], group[order][1:] != group[order][:-1]))]] = False
+        out = table.select(names).append_column("copy", pa.array(copy))
+        yield from out.to_batches(max_chunksize=100_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            reach = np.stack([_ids(batch.column(k)) for k in (5, 6, 7)])
-            copy = np.zeros(batch.num_rows, dtype=bool)
-            copy[1:] = (reach[:, 1:] == reach[:, :-1]).all(axis=0)
-            copy[0] = before is not None and bool((reach[:, 0] == before).all())
-            before = reach[:, -1].copy()
-            columns = [*batch.columns[:5], pa.array(copy)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "copy"])
-
-    return ordered.select(*names, "rank", "reach1", "reach2").mapInArrow(
+            held.append(batch)
+            reach = np.stack([_ids(batch.column(k)) for k in (5, 6)])
+            begins = np.flatnonzero((reach[:, 1:] != reach[:, :-1]).any(axis=0)) + 1
+            if len(begins):  # what comes before the last group is whole
+                last = int(begins[-1])
+                yield from marked(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]))
+                held = [batch.slice(last)]
+        if held:
+            yield from marked(pa.Table.from_batches(held))
+
+    return ordered.select(*names, "reach1", "reach2").mapInArrow(
         run, "d long, first int, last int, gram long, inner boolean, copy boolean"
     )
 
@@ -413,7 +427,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     repeated = stage(_with_company(grams), "repeated")
     unstage(grams)
     units = stage(_block_strings(long, repeated), "blocks")
-    scratch: list[DataFrame] = [repeated]
+    unstage(repeated)
+    scratch: list[DataFrame] = []
     ranks = ranks_of(units.select("d", "r", "i", "sym", "sym1", "sym2"), LEVELS, scratch)
     ranks = stage(ranks, "ranks")
     unstage(*scratch)
