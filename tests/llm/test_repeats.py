@@ -53,9 +53,10 @@ def odd_texts():
     return texts + [texts[9], texts[9], passage + passage]
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 150])
-def test_odd_texts_equal_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, apart", [(1 << 20, 4_096), (150, 100)])
+def test_odd_texts_equal_brute_force(spark, monkeypatch, chunk, apart):
     monkeypatch.setattr(repeats, "CHUNK", chunk)
+    monkeypatch.setattr(repeats, "APART", apart)
     rows = list(enumerate(odd_texts()))
     docs = spark.createDataFrame([(i * 3, t, "d") for i, t in rows], "doc_id long, text string, d string")
     found = {r.doc: r for r in repeats.remove_repeats(docs.repartition(3)).collect()}

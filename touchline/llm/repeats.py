@@ -27,6 +27,8 @@ from touchline.session import stage, stage_path, unstage
 
 SPAN = 100
 GRAM, FINE_GRAM = 32, 80
+#: Places between edges from which the text between them is not hashed again.
+APART = 4_096
 #: Bytes hashed at a time; a longer text is cut, which costs nothing but a split block.
 CHUNK = 1 << 20
 #: Symbols of a suffix that the array orders, as a power of three.
@@ -303,7 +305,7 @@ def _fine_blocks(texts: DataFrame, edges: DataFrame) -> DataFrame:
         for d, data, own in zip(_ids(batch.column(0)), _texts(batch.column(1)), batch.column(2)):
             begin, end = _regions(own.values.to_numpy())
             parts = []
-            near = np.flatnonzero(begin[1:] - end[:-1] > SPAN) + 1
+            near = np.flatnonzero(begin[1:] - end[:-1] > APART) + 1
             for some in np.split(np.arange(len(begin)), near):
                 low, high = begin[some[0]], end[some[-1]]
                 cuts = np.concatenate([begin[some], end[some] + 1]) - low
