@@ -88,6 +88,40 @@ def test_result_under_skew(shuffling, skewed, name):
     assert compare(queries()[name](shuffling, skewed), connect(skewed), name) == ""
 
 
+@pytest.fixture(scope="module")
+def long_orders(small, tmp_path_factory):
+    """Some sixty lines an order, so that a side has about twenty; one order has three sheets."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    con = duckdb.connect()
+    for name in TABLES:
+        source = f"SELECT * FROM '{small}/{name}.parquet'"
+        if name == "lineitem":
+            source = f"""SELECT * REPLACE (CASE WHEN l_orderkey % 30 = 0 THEN 1 ELSE l_orderkey % 90 END
+                AS l_orderkey) FROM '{small}/{name}.parquet'"""
+        con.execute(f"COPY ({source}) TO '{os.path.join(folder, name)}.parquet'")
+    return folder
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "csv_scan_roundtrip",
+        "league_matches",
+        "wide_lineups",
+        "squad_members",
+        "lineup_ids_any",
+        "goal_events",
+        "goal_rejects",
+        "goals_resolved",
+        "squad_ids_second_feed",
+    ],
+)
+def test_sides_of_more_lines_than_slots(spark, long_orders, name):
+    """Places beyond the row's are members and goals, as in the SQL, on further sheets."""
+    assert B.documents(spark, long_orders).where("sheet > 1").count() > 0
+    assert compare(queries()[name](spark, long_orders), connect(long_orders), name) == ""
+
+
 def test_a_hot_scorer_is_split(shuffling, plan_of):
     """One squad member scores a third of the goals; the rest are spread thin."""
     events = shuffling.range(30000).selectExpr(
