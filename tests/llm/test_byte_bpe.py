@@ -6,11 +6,12 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from touchline.llm import byte_bpe
-from touchline.llm.frames import table
+from touchline.llm.frames import map_rows, slices, table
 from touchline.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -91,3 +92,32 @@ def test_pieces_of_a_megabyte_end_within_seconds(library):
         assert time.process_time() - began < 30
         assert ids == wanted(library, text)
         assert tool.decode([ids]) == [text.encode()]
+
+
+class _Worker:
+    """Takes what a stage would send to workers."""
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_a_worker_forgets_the_vocabulary_when_another_operator_works():
+    """Idle workers would hold it beside the memory of later stages."""
+
+    def own(batch):
+        yield byte_bpe.codec(PATH, public_tokenizers.PATTERN) and batch
+
+    def other(batch):
+        yield batch
+
+    own.__module__, other.__module__ = byte_bpe.__name__, "touchline.llm.simhash"
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["n"])
+    for work, kept in ((own, 1), (own, 1), (other, 0)):
+        assert list(map_rows(_Worker(), "n long", work)(iter([batch]))) == [batch]
+        assert byte_bpe.codec.cache_info().currsize == kept
+
+
+def test_texts_leave_arrow_a_few_at_a_time():
+    column = pa.array(["ab", None, "cde", "f" * 9, "", "g"])
+    assert list(slices(column, 5)) == [slice(0, 3), slice(3, 4), slice(4, 6)]
+    assert list(slices(column[2:4], 100)) == [slice(0, 2)] and list(slices(column[:0], 5)) == []

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -15,10 +14,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.frames import map_rows, raw
+from touchline.llm.frames import map_rows, raw, remembered, slices
 
 #: Pieces whose ids a worker remembers; beyond that those not met again are forgotten.
 REMEMBERED = 250_000
+#: Bytes of text, about, that a worker encodes at a time.
+TEXT_BYTES = 3_000_000
 _STEPS = 64  # contractions in one recursive query, whose steps all stay in memory
 _LONG = 64  # tokens beyond which a step contracts every place of the pair
 #: Bytes beyond which a piece is contracted by changed places alone; see ``_contract_far``.
@@ -260,23 +261,12 @@ class Codec:
         return [chars.encode("latin-1") for chars in found["chars"].to_pylist()]
 
 
-@lru_cache(maxsize=2)
+@remembered
 def codec(path: str, pattern: str) -> Codec:
     """One per worker and vocabulary; the file is read where the task runs."""
     return Codec(read_ranks(path), pattern)
 
 
-def _batches(texts: list[bytes], size: int = 3_000_000) -> Iterator[slice]:
-    start = total = 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > size:
-            yield slice(start, i)
-            start, total = i, 0
-        total += len(text)
-    if texts:
-        yield slice(start, len(texts))
-
-
 def encode_and_decode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -290,9 +280,9 @@ def encode_and_decode(
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        texts = raw(batch.column(1))
-        for part in _batches(texts):
-            encoded = tool.encode([text.decode() for text in texts[part]])
+        for part in slices(batch.column(1), TEXT_BYTES):
+            texts = raw(batch.column(1)[part])  # only these leave Arrow
+            encoded = tool.encode([text.decode() for text in texts])
             columns = [
                 batch.column(0)[part.start : part.stop],
                 pa.array([len(ids) // 4 for ids in encoded], pa.int64()),

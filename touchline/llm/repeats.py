@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline.llm.frames import map_rows
 from touchline.llm.suffixes import ranks_of
-from touchline.session import stage, stage_path, unstage
+from touchline.session import drop_shuffles, stage, stage_path, unstage
 
 SPAN = 100
 GRAM, FINE_GRAM = 32, 80
@@ -406,6 +406,8 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     name = f"touchline_texts_{uuid.uuid4().hex}"
     writer = texts.repartition(count, "d").write.bucketBy(count, "d").sortBy("d")
     writer.option("path", stage_path(spark, "texts")).saveAsTable(name)
+    del writer
+    drop_shuffles(spark)  # whole texts went through it
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, with what is staged
     return table

@@ -293,7 +293,7 @@ def keep_good(
     struct = "rule_counts"
     while any(c.lower().startswith((struct, f"_{struct}")) for c in docs.columns):
         struct = "_" + struct  # neither it nor the steps on the way to it take a caller's name
-    counted = stage(counts(docs, text_col, struct), "counted")
+    counted = stage(counts(docs, text_col, struct), "counted", "zstd")
     known = counted.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{struct}`.*"))
     verdict = learn(stage(_labelled(known, labels, id_col, quality_col), "labelled"), **options)
     prefix = f"`{struct}`."

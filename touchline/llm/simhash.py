@@ -180,7 +180,7 @@ def keep_one(
         names.append(name)
     row, none, own, mark = names
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    numbered = stage(numbered, "numbered")  # a row keeps its number whatever is computed again
+    numbered = stage(numbered, "numbered", "zstd")  # a row keeps its number whatever is computed again
     id_ = F.col(f"`{id_col}`")
     chosen = numbered.select(
         f"`{text_col}`",

@@ -24,7 +24,6 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.frames import map_rows, raw
+from touchline.llm.frames import map_rows, raw, remembered
 
 #: Tokens from which a shard is closed; a document is never split between shards.
 SHARD_TOKENS = 1_000_000
@@ -123,7 +122,7 @@ class Encoder:
         ]
 
 
-@lru_cache(maxsize=2)
+@remembered
 def encoder(path: str, pattern: str | None) -> Encoder:
     return Encoder(path, pattern)
 
