@@ -122,6 +122,30 @@ def test_sides_of_more_lines_than_slots(spark, long_orders, name):
     assert compare(queries()[name](spark, long_orders), connect(long_orders), name) == ""
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "clubs_in_period",
+        "clubs_per_player",
+        "leader_by_metric_keyed",
+        "leader_by_metric",
+        "lineup_ids_season_exact",
+        "most_team_wins",
+        "most_clubs",
+        "player_team_wins",
+        "rating_vs_goals",
+        "players_in_squads",
+        "rating_vs_goals_unmultiplied",
+        "squad_ids",
+        "squad_metric_totals",
+        "squad_metric_grand_totals",
+    ],
+)
+def test_questions_on_sides_of_more_lines_than_slots(spark, long_orders, name):
+    """What is asked of squads counts the members of all sheets."""
+    assert compare(queries()[name](spark, long_orders), connect(long_orders), name) == ""
+
+
 def test_a_hot_scorer_is_split(shuffling, plan_of):
     """One squad member scores a third of the goals; the rest are spread thin."""
     events = shuffling.range(30000).selectExpr(
