@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.llm import repeats
 from touchline.llm.frames import table
@@ -87,3 +88,25 @@ def test_suffix_ranks_equal_sorting(spark):
     suffixes = {(s, i): strings[s][i:] for _, s, i, _ in rows}
     ordered = sorted(suffixes.values())
     assert found == {place: ordered.index(suffix) for place, suffix in suffixes.items()}
+
+
+@pytest.mark.parametrize("ids", [range(40), range(-20, 20), range((1 << 31) - 20, (1 << 31) + 20)])
+def test_ids_of_any_size_equal_brute_force(spark, ids):
+    """The first of equal strings is the same whether an id and a place fit into one long or not."""
+    rows = list(zip(ids, odd_texts()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc: r for r in repeats.remove_repeats(docs.repartition(3)).collect()}
+    for (i, _), (size, _, runs, kept) in zip(rows, brute(rows)):
+        assert (found[i].n_bytes, len(found[i].runs), bytes(found[i].kept)) == (size, runs, kept), i
+
+
+def test_first_places_need_no_sorting(spark, plan_of):
+    rows = spark.range(100).selectExpr("id AS d", "CAST(id AS INT) AS first", "id % 7 AS h1")
+    low = rows.groupBy("h1").agg(F.min(repeats._place(rows)).alias("low"))
+    assert "SortAggregate" not in plan_of(low)
+    assert "shiftleft" not in str(repeats._place(rows.withColumn("d", F.col("d") - 1)))
+
+
+def test_texts_lie_packed(spark):
+    texts = repeats._bucketed(spark.createDataFrame([(1, "a" * 200)], "d long, text string"))
+    assert all(".zstd." in name for name in texts.inputFiles())

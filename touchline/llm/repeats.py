@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -39,8 +39,10 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
+    x = x ^ (x >> _U(32))
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    return x
 
 
 @lru_cache(maxsize=4)
@@ -61,12 +63,16 @@ class Hashes:
     def __init__(self, data: np.ndarray, which: int = 0):
         table, powers, self.inverse = _constants(which, CHUNK + SPAN)
         self.sums = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum(table[data] * powers[: len(data)], out=self.sums[1:])
+        values = table.take(data)
+        values *= powers[: len(data)]
+        np.cumsum(values, out=self.sums[1:])
 
     def every(self, size: int) -> np.ndarray:
         """Of all substrings of ``size`` bytes."""
         count = len(self.sums) - size
-        return _mix((self.sums[size:] - self.sums[:-size]) * self.inverse[:count])
+        values = self.sums[size:] - self.sums[:-size]
+        values *= self.inverse[:count]
+        return _mix(values)
 
     def of(self, starts: np.ndarray, lengths) -> np.ndarray:
         return _mix((self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts])
@@ -353,19 +359,25 @@ def _places(texts: DataFrame, edges: DataFrame) -> DataFrame:
     return map_rows(joined, "d long, first int, h1 long, h2 int", work)
 
 
-def _marked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``copy``: another row has the same keys and comes first.
+def _place(texts: DataFrame) -> Column:
+    """What orders rows (d, first) of ``texts``: one long where every id leaves room for a place,
+    which Spark aggregates without sorting, else both."""
+    if texts.where(~F.col("d").between(0, (1 << 31) - 1)).isEmpty():
+        return F.shiftleft(F.col("d"), 32).bitwiseOR(F.col("first").cast("long"))
+    return F.struct("d", "first")
+
+
+def _marked(rows: DataFrame, keys: list[str], place: Column) -> DataFrame:
+    """``rows`` with ``copy``: another row has the same keys and a smaller ``place``.
 
     The first of each group is found by partial aggregation and joined back; a string that a third
     of the rows share is one row there, and the other side of the join can be split.
     """
-    low = rows.groupBy(*keys).agg(
-        F.min(F.struct("d", "first")).alias("low"), F.count("*").alias("n")
-    )
+    low = rows.groupBy(*keys).agg(F.min(place).alias("low"), F.count("*").alias("n"))
     low = stage(low.where("n > 1").drop("n"), "lowest")
-    return rows.join(low, keys, "left").withColumn(
-        "copy", F.expr("low IS NOT NULL AND NOT (d = low.d AND first = low.first)")
-    ).drop("low")
+    drop_shuffles(rows.sparkSession)  # all keys went through it
+    copy = F.col("low").isNotNull() & (place != F.col("low"))
+    return rows.join(low, keys, "left").withColumn("copy", copy).drop("low")
 
 
 def _cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -405,6 +417,8 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"touchline_texts_{uuid.uuid4().hex}"
     writer = texts.repartition(count, "d").write.bucketBy(count, "d").sortBy("d")
+    # The texts lie there to the end, so they are packed as well as can be.
+    writer = writer.option("compression", "zstd")
     writer.option("path", stage_path(spark, "texts")).saveAsTable(name)
     del writer
     drop_shuffles(spark)  # whole texts went through it
@@ -425,7 +439,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         F.sha2("text", 256).alias("digest"),
     )
     heads = stage(heads, "heads")
-    whole = stage(_marked(heads, ["digest"]).where("copy").select("d", "first", "last"), "whole")
+    place = _place(heads)
+    whole = stage(_marked(heads, ["digest"], place).where("copy").select("d", "first", "last"), "whole")
     long = long.join(whole.select("d"), "d", "left_anti")
     grams = stage(_grams(long), "grams")
     repeated = stage(_with_company(grams), "repeated")
@@ -440,16 +455,16 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     unstage(units, ranks)
     edges = stage(_with_company(coarse.where("NOT copy")).select("d", "first", "last"), "edges")
     fine = stage(_fine_blocks(long, edges), "fine")
-    marked = stage(_marked(fine, ["reach1", "reach2"]), "marked")
+    marked = stage(_marked(fine, ["reach1", "reach2"], place), "marked")
     unstage(edges, fine)
     edges = stage(_with_company(marked.where("NOT copy")).select("d", "first", "last"), "edges")
     places = stage(_places(long, edges), "places")
-    later = stage(_marked(places, ["h1", "h2"]).where("copy").select("d", "first"), "later")
+    later = stage(_marked(places, ["h1", "h2"], place).where("copy").select("d", "first"), "later")
     unstage(edges, places)
-    place = ["d", "first", "last"]
+    span = ["d", "first", "last"]
     return (
-        whole.union(coarse.where("copy").select(place))
-        .union(marked.where("copy").select(place))
+        whole.union(coarse.where("copy").select(span))
+        .union(marked.where("copy").select(span))
         .union(later.select("d", "first", F.col("first").alias("last")))
     )
 
