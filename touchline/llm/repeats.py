@@ -95,25 +95,31 @@ def _chunks(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield start, data[start : start + CHUNK + SPAN - 1]
 
 
-def blocks(data: np.ndarray, size: int, cuts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def blocks(
+    data: np.ndarray, size: int, cuts: np.ndarray | None = None, reach: bool = False
+) -> tuple[np.ndarray, ...]:
     """(first, last, gram, inner): ranges of places whose strings hold the same least gram.
 
     ``inner`` blocks have their gram in more than one place, so strings can repeat inside. Blocks
-    also begin at the places ``cuts``.
+    also begin at the places ``cuts``. With ``reach`` the hash of all bytes of a block's strings
+    comes as well.
     """
-    found = [tuple(np.empty(0, kind) for kind in (np.int64, np.int64, _U, bool))]
+    found = [tuple(np.empty(0, kind) for kind in (np.int64, np.int64, _U, bool, *[_U] * reach))]
     for start, part in _chunks(data):
-        grams = Hashes(part).every(size)
+        tool = Hashes(part)
+        grams = tool.every(size)
         least = _least(grams, SPAN - size + 1)
-        begins = np.concatenate(([True], least[1:] != least[:-1]))
+        same = least[1:] == least[:-1]
+        begins = np.concatenate(([True], ~same))
         if cuts is not None:
             begins[cuts[(cuts >= start) & (cuts < start + len(least))] - start] = True
         first = np.flatnonzero(begins)
         last = np.append(first[1:], len(least)) - 1
         # The gram's first place falls behind and the next string has it all the same.
-        again = (grams[: len(least) - 1] == least[:-1]) & (least[1:] == least[:-1])
+        again = (grams[: len(least) - 1] == least[:-1]) & same
         inner = np.logical_or.reduceat(np.append(again, False), first)
-        found.append((first + start, last + start, least[first], inner))
+        whole = [tool.of(first, last - first + SPAN)] if reach else []
+        found.append((first + start, last + start, least[first], inner, *whole))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
@@ -315,16 +321,16 @@ def _fine_blocks(texts: DataFrame, edges: DataFrame) -> DataFrame:
             for some in np.split(np.arange(len(begin)), near):
                 low, high = begin[some[0]], end[some[-1]]
                 cuts = np.concatenate([begin[some], end[some] + 1]) - low
-                found = blocks(data[low : high + SPAN], FINE_GRAM, cuts)
+                found = blocks(data[low : high + SPAN], FINE_GRAM, cuts, reach=True)
                 parts.append((found[0] + low, found[1] + low, *found[2:]))
             found = [np.concatenate(column) for column in zip(*parts)]
             region = np.searchsorted(begin, found[0], "right") - 1
             inside = (region >= 0) & (found[0] <= end[region])
-            first, last, gram, inner = (column[inside] for column in found)
-            size = last - first + SPAN
-            reach = [_signed(_hash_pieces(data, first, size, which)) for which in (0, 1)]
+            first, last, gram, inner, reach = (column[inside] for column in found)
+            more = _hash_pieces(data, first, last - first + SPAN, 1)
             places = first.astype(np.int32), last.astype(np.int32)
-            out.append((np.full(len(first), d), *places, _signed(gram), inner, *reach))
+            hashes = _signed(reach), _signed(more)
+            out.append((np.full(len(first), d), *places, _signed(gram), inner, *hashes))
         columns = [pa.array(np.concatenate(column)) for column in zip(*out)]
         names = [column.split()[0] for column in schema.split(", ")]
         yield pa.RecordBatch.from_arrays(columns, names)
