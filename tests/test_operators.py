@@ -56,6 +56,31 @@ def test_salted_join_spreads_the_hot_key(spark, plan_of):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_repeats_of_a_table_are_not_broadcast_beyond_the_threshold(spark, plan_of):
+    """Keys that fit the threshold once, but not once per salt, are not gathered on the driver."""
+    fact = spark.range(100_000).selectExpr("id", "id % 5000 AS k")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")
+    try:
+        for keys, broadcast in ((4000, False), (100, True)):
+            dim = spark.range(keys).withColumnRenamed("id", "k")
+            joined, known = salted_join(fact, dim, ["k"]), keep_known(fact, dim, "k", "k", distinct=True)
+            for df in (joined, known):
+                assert len(df.collect()) == 20 * keys
+                assert ("BroadcastExchange" in plan_of(df)) == broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_salted_join_keeps_the_columns_of_both_sides(spark):
+    fact = spark.range(3).selectExpr("id AS k", "id AS `a.b`")
+    dim = spark.createDataFrame([(1, None, {"x": 2})], "k long, `c d` int, m map<string,int>")
+    joined = salted_join(fact, dim, ["k"])
+    assert joined.schema.simpleString() == fact.join(dim, ["k"]).schema.simpleString()
+    assert [tuple(r) for r in joined.collect()] == [(1, 1, None, {"x": 2})]
+    assert salted_join(fact, dim.limit(0), ["k"], "left").count() == 3
+
+
 def test_salted_join_refuses_joins_that_would_repeat_rows(spark):
     df = spark.range(1)
     with pytest.raises(ValueError):

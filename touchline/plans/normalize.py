@@ -213,7 +213,9 @@ def lineup_members(
     )
     for side in ("home", "away"):
         ids = teams.selectExpr(f"team_id AS {side}_team_api_id").distinct()
-        known = salted_join(known, ids, [f"{side}_team_api_id"], spread_by=["match_api_id"])
+        known = salted_join(
+            known, ids, [f"{side}_team_api_id"], spread_by=["match_api_id"], short=True
+        )
     own = [key for key in keys if key != "player_id"]
     maps = stage(_squad_maps(members, own, in_map), "squads")
     for side in ("home", "away"):
